@@ -72,17 +72,20 @@ def nest(x) -> str:
 def run_steps(df, x, out: str):
     """Evaluate a step chain on ``df`` as projections; adds column ``out``.
 
-    A struct-valued stage is stored as one flat column per field (and
-    ``stage.field`` references are rewritten to them): the optimizer then
-    keeps expensive values that are read several times in their own
-    projection instead of inlining copies of them.
+    The chain becomes one SQL statement of nested projections over a
+    temporary view of ``df`` (analysed once).  A struct-valued stage is
+    stored as one flat column per field (``stage.field`` references are
+    rewritten to them): the optimizer then keeps expensive values that are
+    read several times in their own projection instead of inlining copies.
     """
-    tmp = []
     pattern = re.compile(r"`(__" + re.escape(out) + r"_\d+)`\.(\w+)")
 
     def flat(text: str) -> str:
         return pattern.sub(lambda m: f"`{m.group(1)}__{m.group(2)}`", text)
 
+    view = f"_anchorage_{next(_counter)}"
+    df.createOrReplaceTempView(view)
+    sql = f"SELECT * FROM {view}"
     k = 0
     while isinstance(x, Step):
         name = f"__{out}_{k}"
@@ -91,10 +94,11 @@ def run_steps(df, x, out: str):
             cols = [(f"{name}__{f}", e) for f, e in x.value.fields.items()]
         else:
             cols = [(name, x.value)]
-        df = df.select("*", *[F.expr(flat(e)).alias(n) for n, e in cols])
-        tmp.extend(n for n, _ in cols)
+        sql = "SELECT *, " + ", ".join(f"{flat(e)} AS {col(n)}" for n, e in cols) + f" FROM ({sql})"
         x = x.body(col(name))
-    return df.withColumn(out, F.expr(flat(x))).drop(*tmp)
+    keep = ", ".join(col(c) for c in df.columns if c != out)
+    sql = f"SELECT {keep}{', ' if keep else ''}{flat(x)} AS {col(out)} FROM ({sql})"
+    return df.sparkSession.sql(sql)
 
 
 def lam(body, n: int = 1) -> str:

@@ -69,7 +69,7 @@ def resolved_links(links: DataFrame) -> DataFrame:
     pushed down through them and inline every stage.
     """
     df = _page_bases(links)
-    df = df.select(*PAGE_COLS, "scanned", "_base", F.posexplode("links").alias("link_idx", "_l"))
+    df = df.select(*PAGE_COLS, "scanned", "_base", F.posexplode_outer("links").alias("link_idx", "_l"))
     df = df.select(*PAGE_COLS, "scanned", "_base", "link_idx",
                    F.col("_l.dom_index").alias("dom_index"), F.col("_l.href").alias("href"),
                    F.col("_l.text").alias("text"))
@@ -87,7 +87,7 @@ def _with_targets(kept: DataFrame, surface: bool) -> DataFrame:
     cands = F.expr(f"CASE WHEN keep THEN {redirect_candidates_sql('_p')} "
                    "ELSE CAST(array() AS array<string>) END") if surface \
         else F.expr("CAST(array() AS array<string>)")
-    df = kept.select("page_id", "link_idx", "dom_index", "text", "display_url", "keep", "_p",
+    df = kept.select(*PAGE_COLS, "link_idx", "dom_index", "text", "display_url", "keep", "_p",
                      F.posexplode_outer(cands).alias("cand_idx", "cand"))
 
     def attempt(df, value_sql, tag):
@@ -107,6 +107,8 @@ def _with_targets(kept: DataFrame, surface: bool) -> DataFrame:
     df = df.withColumn("_tg", F.expr(
         f"CASE WHEN {target} IS NOT NULL AND {target} <> display_url THEN struct(cand_idx, {target} AS target) END"))
     return df.groupBy("page_id", "link_idx").agg(
+        F.max("page_url").alias("page_url"),
+        F.max("title").alias("title"),
         F.first("dom_index").alias("dom_index"),
         F.first("text").alias("text"),
         F.first("display_url").alias("display_url"),
@@ -120,7 +122,8 @@ def link_entries(links: DataFrame, surface_redirects: bool = True) -> DataFrame:
 
     Output ``page_id, page_url, title, entries`` (one row per page, pages
     without links included).  One hash exchange on ``page_id``; the
-    per-link and per-page aggregates after it reuse that partitioning.
+    per-link and per-page aggregates after it reuse that partitioning and
+    carry the page fields, so nothing is joined back.
     """
     parted = links.repartition("page_id")
     per_link = _with_targets(resolved_links(parted), surface_redirects)
@@ -129,20 +132,17 @@ def link_entries(links: DataFrame, surface_redirects: bool = True) -> DataFrame:
               + lam(lambda t, i: entry_sql(t, "text", "dom_index", f"{i} + 1", "true", "display_url"), 2)
               + ")")
     per_link = per_link.select(
-        "page_id", "link_idx",
+        *PAGE_COLS, "link_idx",
         F.expr(f"CASE WHEN keep THEN concat(array({own}), {hidden}) END").alias("_ents"))
     per_page = per_link.groupBy("page_id").agg(
+        F.max("page_url").alias("page_url"),
+        F.max("title").alias("title"),
         F.expr("flatten(transform(array_sort(collect_list(CASE WHEN _ents IS NOT NULL "
                "THEN struct(link_idx, _ents) END)), x -> x._ents))").alias("_flat"))
     numbered = ("transform(_flat, " + lam(lambda e, i: entry_sql(
         f"{e}.display_url", f"{e}.text", f"{e}.dom_index", f"{e}.variant_index",
         f"{e}.surfaced", f"{e}.source_url", pos=i), 2) + ")")
-    pages = _page_bases(parted).select(*PAGE_COLS)
-    return (
-        pages.join(per_page, "page_id", "left")
-        .select(*PAGE_COLS, F.coalesce(F.expr(numbered), F.expr(f"CAST(array() AS array<{ENTRY_TYPE}>)"))
-                .alias("entries"))
-    )
+    return per_page.select(*PAGE_COLS, F.expr(numbered).alias("entries"))
 
 
 def explode_entries(pages: DataFrame, col: str = "entries") -> DataFrame:

@@ -34,6 +34,17 @@ _BASE = rf"(?is)<base(?=[\s/>])({_TAG_ATTRS})>"
 _UNQUOTE = r"""(?s)^"(.*)"$|^'(.*)'$"""
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a small input that arrives in fewer splits than the
+    cluster has task slots (e.g. one parquet row group), so the scan runs
+    in parallel.  Large inputs already come in many splits and are left
+    alone: no shuffle of raw HTML at scale."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots, key)
+    return df
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """The pages table (page_id, url, html)."""
     return spark.read.parquet(path)
@@ -105,6 +116,7 @@ def scan_html(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     scan; a page without HTML is an empty scan (rA7).
     """
     scanned = F.expr(scan_html_sql(col(html)))
+    pages = spread(pages, "page_id")
     return pages.select(
         F.col("page_id").cast("bigint").alias("page_id"),
         F.when(F.col(html).isNull(), F.lit(DEFAULT_PAGE_URL)).otherwise(F.col(url)).alias("page_url"),
