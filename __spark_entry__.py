@@ -109,6 +109,75 @@ saved AS (SELECT sequence, 'result-' || CAST(sequence AS VARCHAR) AS result_id,
 
 _EXPORT_SUFFIX = "-links-include-github-text-main-page-textexcl-value"
 
+# Wrapped links (see anchorage.plans.wrapped): the same nine hrefs per page,
+# then query / fragment parameters parsed with string_split + url_decode.
+_W = r"""
+w AS (
+  SELECT p.page_id, p.url, CAST(k.k AS BIGINT) AS dom_index,
+    CASE k.k
+      WHEN 0 THEN p.url
+      WHEN 1 THEN 'https://go.example/out?url=' || url_encode(p.url)
+      WHEN 2 THEN 'https://go.example/r?x=1#next=' || url_encode(p.url)
+      WHEN 3 THEN 'https://go.example/out?to=%2Flocal%2F' || CAST(p.page_id AS VARCHAR)
+      WHEN 4 THEN 'https://go.example/out?u=javascript%3Avoid(0)'
+      WHEN 5 THEN 'mailto:p' || CAST(p.page_id AS VARCHAR) || '@example.com'
+      WHEN 6 THEN 'JavaScript:void(' || CAST(p.page_id AS VARCHAR) || ')'
+      WHEN 7 THEN p.url
+      ELSE 'https://files.example/a%20b/' || CAST(p.page_id AS VARCHAR) || '?q=c%26d,e' END AS href,
+    CASE WHEN k.k = 7 THEN 'Again "x", y' ELSE 'Item ' || CAST(k.k AS VARCHAR) END AS text
+  FROM pages p CROSS JOIN range(9) k(k)),
+wk AS (
+  SELECT *, href AS display_url,
+         CASE WHEN contains(href, '?') THEN regexp_extract(href, '^[^?#]*[?]([^#]*)', 1) ELSE '' END AS q,
+         CASE WHEN contains(href, '#') THEN regexp_extract(href, '#(.*)$', 1) ELSE '' END AS frag
+  FROM w WHERE NOT regexp_matches(lower(trim(href)), '^(about|blob|data|javascript|moz-extension):')),
+wl AS (
+  SELECT *, list_concat(list_filter(string_split(q, '&'), lambda x: x <> ''),
+                        CASE WHEN contains(frag, '=') THEN list_filter(string_split(regexp_replace(frag, '^[?]', ''), '&'), lambda x: x <> '')
+                             ELSE [] END) AS pieces
+  FROM wk),
+wp AS (
+  SELECT page_id, dom_index, display_url, text, CAST(i AS BIGINT) AS param_index,
+         url_decode(replace(CASE WHEN contains(pieces[i + 1], '=') THEN split_part(pieces[i + 1], '=', 1) ELSE pieces[i + 1] END, '+', '%20')) AS key,
+         url_decode(replace(CASE WHEN contains(pieces[i + 1], '=') THEN substr(pieces[i + 1], strpos(pieces[i + 1], '=') + 1) ELSE '' END, '+', '%20')) AS value
+  FROM (SELECT *, unnest(range(len(pieces))) AS i FROM wl)),
+wc AS (
+  SELECT page_id, dom_index, display_url, text, param_index,
+         CASE WHEN regexp_matches(trim(value), '^(about|blob|data|javascript|moz-extension):', 'i') THEN NULL
+              WHEN regexp_matches(trim(value), '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN trim(value)
+              WHEN starts_with(trim(value), '/') THEN regexp_extract(display_url, '^([a-z]+://[^/?#]+)', 1) || trim(value)
+         END AS target
+  FROM wp WHERE lower(key) IN ('dest', 'destination', 'next', 'out', 'r', 'redir', 'redirect',
+                               'redirect_uri', 'redirect_url', 'target', 'to', 'u', 'url') AND value <> ''),
+wt AS (
+  SELECT page_id, dom_index, text, display_url AS source_url, target,
+         CAST(row_number() OVER (PARTITION BY page_id, dom_index ORDER BY param_index) AS BIGINT) AS variant_index
+  FROM (SELECT * FROM wc WHERE target IS NOT NULL AND target <> display_url
+        QUALIFY row_number() OVER (PARTITION BY page_id, dom_index, target ORDER BY param_index) = 1)),
+we0 AS (
+  SELECT page_id, dom_index, CAST(0 AS BIGINT) AS variant_index, display_url, text, false AS surfaced,
+         CAST(NULL AS VARCHAR) AS source_url FROM wk
+  UNION ALL
+  SELECT page_id, dom_index, variant_index, target, text, true, source_url FROM wt),
+we AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY dom_index, variant_index) - 1 AS BIGINT) AS pos
+  FROM we0)"""
+
+
+def _decode_uri(x: str) -> str:
+    return (f"url_decode(replace(regexp_replace({x}, '%(2[346BCFbcf]|3[ABDFabdf]|40)', '%25\\1', 'g'), "
+            f"'+', '%2B'))")
+
+
+def _wvisible(where: str = "true", order: str = "dom_index, variant_index, pos", url: str = "display_url",
+              cols: str = "page_id, rank, dom_index, variant_index, display_url, text, surfaced, source_url, url") -> str:
+    return f"""WITH {_W},
+f AS (SELECT * FROM we WHERE {where}),
+d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY page_id, display_url ORDER BY pos) = 1),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY {order}) AS BIGINT) AS rank,
+             {url} AS url FROM d)
+SELECT {cols} FROM r"""
+
 
 def oracle_sql() -> dict[str, str]:
     txt_max = 120 - len(_EXPORT_SUFFIX + ".txt")
@@ -150,6 +219,40 @@ SELECT display_url, page_id, pos, text FROM e
 QUALIFY row_number() OVER (PARTITION BY display_url ORDER BY page_id, pos) = 1""",
         "clean_text": f"""SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '{_JS_SPACE}', ' ', 'g'),
        '^ | $', '', 'g') AS clean FROM documents""",
+        "protocol_filter": f"""WITH {_W} SELECT page_id, dom_index, href,
+            regexp_matches(lower(trim(href)), '^(about|blob|data|javascript|moz-extension):') AS skipped FROM w""",
+        "redirect_params": f"WITH {_W} SELECT page_id, dom_index, param_index, key, value FROM wp",
+        "redirect_targets": f"""WITH {_W} SELECT page_id, dom_index, variant_index, target,
+            source_url AS wrapper FROM wt""",
+        "wrapped_entries": f"""WITH {_W} SELECT page_id, pos, dom_index, variant_index, display_url, text,
+            surfaced, source_url FROM we""",
+        "dedup_page": f"""WITH {_W} SELECT page_id, pos, dom_index, variant_index, display_url, text,
+            surfaced, source_url FROM we
+            QUALIFY row_number() OVER (PARTITION BY page_id, display_url ORDER BY pos) = 1""",
+        "wrapped_dedup_corpus": f"""WITH {_W} SELECT display_url, page_id, pos, text FROM we
+            QUALIFY row_number() OVER (PARTITION BY display_url ORDER BY page_id, pos) = 1""",
+        "sort_original": _wvisible(),
+        "filter_all": _wvisible("contains(lower(display_url), 'example') AND NOT contains(lower(display_url), 'local') "
+                                "AND (contains(lower(text), 'item') OR contains(lower(text), 'again')) "
+                                "AND NOT contains(lower(text), '8')"),
+        "wrapped_decode_urls": _wvisible(order="display_url COLLATE noaccent.nocase, dom_index, variant_index, pos",
+                                         url=_decode_uri("display_url")),
+        "csv_rows": _wvisible(url=_decode_uri("display_url"), cols=(
+            "page_id, rank, " + _csv("url") + " || ',' || " + _csv("text")
+            + " || ',' || CASE WHEN surfaced THEN 'true' ELSE 'false' END || ',' || "
+            + _csv(f"CASE WHEN surfaced THEN {_decode_uri('coalesce(source_url, ' + chr(39) * 2 + ')')} ELSE '' END")
+            + " AS line")),
+        "profile_apply": " UNION ALL ".join([
+            "SELECT * FROM (" + _wvisible(cols="'default' AS profile_id, page_id, rank, url, text, surfaced") + ")",
+            "SELECT * FROM (" + _wvisible("NOT (contains(lower(display_url), 'go.example') OR contains(lower(display_url), 'files'))",
+                                          cols="'targets_only' AS profile_id, page_id, rank, url, text, surfaced") + ")",
+            "SELECT * FROM (" + _wvisible("contains(lower(text), 'item')",
+                                          order="display_url COLLATE noaccent.nocase, dom_index, variant_index, pos",
+                                          cols="'alpha_items' AS profile_id, page_id, rank, url, text, surfaced") + ")",
+            "SELECT * FROM (" + _wvisible("regexp_matches(display_url, '^https://(go|files)[.]', 'i')",
+                                          url=_decode_uri("display_url"),
+                                          cols="'regex_decode' AS profile_id, page_id, rank, url, text, surfaced") + ")",
+        ]),
         "results_append": f"{_SAVED} SELECT sequence, result_id, source_id, page_url, title, n_entries FROM saved",
         "results_prune": f"""{_SAVED},
 cur AS (SELECT max_by(result_id, sequence) AS cid FROM saved),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from anchorage.functions.sql import arg, lam, let, lit, struct
+from anchorage.functions.sql import arg, lam, let, lit, nest, struct
 from anchorage.functions.urls import (
     REDIRECT_KEYS, decode_component_sql, form_decode_sql, in_list, is_skipped_sql,
     js_trim_sql, parse_url_sql, serialize_url_sql,
@@ -52,7 +52,7 @@ def redirect_candidates_sql(u: str) -> str:
 
 def _try_candidate_sql(cand: str, link: str) -> str:
     def body(c):
-        resolved = let(serialize_url_sql(parse_url_sql(c, link)),
+        resolved = let(serialize_url_sql(nest(parse_url_sql(c, link))),
                        lambda r: f"CASE WHEN {r} IS NOT NULL AND NOT {is_skipped_sql(r)} THEN {r} END")
         return f"CASE WHEN {c} <> '' AND NOT {is_skipped_sql(c)} THEN {resolved} END"
     return let(js_trim_sql(cand), body)
@@ -82,12 +82,12 @@ def extract_redirect_targets_sql(url: str) -> str:
     def body(x):
         return (f"CASE WHEN {x}.p IS NULL THEN {EMPTY_STRINGS} "
                 f"ELSE {redirect_targets_sql(f'{x}.u', f'{x}.p')} END")
-    return let(struct(u=url, p=parse_url_sql(url)), body)
+    return let(struct(u=url, p=nest(parse_url_sql(url))), body)
 
 
 def redirect_params(c) -> Column:
     """All query + fragment parameters of a URL string column."""
-    return F.expr(let(parse_url_sql(arg(c)), lambda p: f"CASE WHEN {p} IS NULL THEN CAST(array() AS {PARAM_TYPE}) ELSE {url_params_sql(p)} END"))
+    return F.expr(let(nest(parse_url_sql(arg(c))), lambda p: f"CASE WHEN {p} IS NULL THEN CAST(array() AS {PARAM_TYPE}) ELSE {url_params_sql(p)} END"))
 
 
 def extract_redirect_targets(c) -> Column:

@@ -13,7 +13,13 @@ from anchorage.operators.report import csv_document_sql, export_name_sql
 from anchorage.operators import store as S
 from anchorage.plans.visible import visible_links, visible_pages
 from anchorage.settings import Settings
-from anchorage.sources.pages import read_pages, scan_html
+from anchorage.functions.redirects import redirect_params
+from anchorage.functions.urls import is_skipped
+from anchorage.operators.order import dedup_page
+from anchorage.operators.report import csv_row_sql
+from anchorage.plans.visible import profile_apply
+from anchorage.plans.wrapped import read_wrapped
+from anchorage.sources.pages import from_snapshots, read_pages, scan_html
 
 
 def _pages(spark, sf_dir):
@@ -121,6 +127,70 @@ def q_results_lookup(spark, sf_dir):
     return S.current_record(saved, S.current_of(saved))
 
 
+def wrapped_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested entries of the wrapped links (snapshot path, redirects on)."""
+    return link_entries(from_snapshots(read_wrapped(spark, sf_dir)))
+
+
+def q_protocol_filter(spark, sf_dir):
+    snap = read_wrapped(spark, sf_dir)
+    return (snap.select("page_id", F.explode("links").alias("l"))
+            .select("page_id", F.col("l.domIndex").alias("dom_index"), F.col("l.rawHref").alias("href"))
+            .withColumn("skipped", is_skipped("href")))
+
+
+def q_redirect_params(spark, sf_dir):
+    ents = explode_entries(wrapped_entries(spark, sf_dir)).where("variant_index = 0")
+    return ents.select("page_id", "dom_index", F.posexplode(redirect_params("display_url")).alias("i", "p")) \
+        .select("page_id", "dom_index", F.col("i").cast("bigint").alias("param_index"),
+                F.col("p.key").alias("key"), F.col("p.value").alias("value"))
+
+
+def q_redirect_targets(spark, sf_dir):
+    ents = explode_entries(wrapped_entries(spark, sf_dir))
+    return ents.where("surfaced").select("page_id", "dom_index", "variant_index",
+                                         F.col("display_url").alias("target"),
+                                         F.col("source_url").alias("wrapper"))
+
+
+def q_wrapped_entries(spark, sf_dir):
+    return explode_entries(wrapped_entries(spark, sf_dir)).drop("page_url", "title")
+
+
+def _wrapped_visible(settings):
+    def q(spark, sf_dir):
+        return visible_links(spark, wrapped_entries(spark, sf_dir), settings)
+    return q
+
+
+def q_dedup_page(spark, sf_dir):
+    return explode_entries(dedup_page(wrapped_entries(spark, sf_dir))).drop("page_url", "title")
+
+
+def q_wrapped_dedup_corpus(spark, sf_dir):
+    return dedup_corpus(explode_entries(wrapped_entries(spark, sf_dir)).select(
+        "page_id", "pos", "display_url", "text"))
+
+
+def q_csv_rows(spark, sf_dir):
+    vis = visible_pages(spark, wrapped_entries(spark, sf_dir), Settings(decode_urls=True))
+    return vis.select("page_id", F.posexplode(F.expr(
+        f"transform(visible, e -> {csv_row_sql('e', True)})")).alias("i", "line")).select(
+        "page_id", (F.col("i") + 1).cast("bigint").alias("rank"), "line")
+
+
+def q_profile_apply(spark, sf_dir):
+    return profile_apply(spark, wrapped_entries(spark, sf_dir), PROFILES)
+
+
+PROFILES = {
+    "default": Settings(),
+    "targets_only": Settings(url_exclude="go.example, files"),
+    "alpha_items": Settings(sort_mode="alphabetical", text_include="item"),
+    "regex_decode": Settings(use_regex=True, url_include=r"^https://(go|files)\.", decode_urls=True),
+}
+
+
 QUERIES = {
     "anchors": q_anchors,
     "page_meta": q_page_meta,
@@ -138,6 +208,20 @@ QUERIES = {
     "filter_invalid_regex": _report(SETTINGS["filter_invalid_regex"],
                                     ("page_id", "n_visible", "hint", "message")),
 }
+QUERIES.update({
+    "protocol_filter": q_protocol_filter,
+    "redirect_params": q_redirect_params,
+    "redirect_targets": q_redirect_targets,
+    "wrapped_entries": q_wrapped_entries,
+    "dedup_page": q_dedup_page,
+    "wrapped_dedup_corpus": q_wrapped_dedup_corpus,
+    "csv_rows": q_csv_rows,
+    "profile_apply": q_profile_apply,
+    "sort_original": _wrapped_visible(Settings(sort_mode="original")),
+    "filter_all": _wrapped_visible(Settings(url_include="example", url_exclude="local",
+                                            text_include="item, again", text_exclude="8")),
+    "wrapped_decode_urls": _wrapped_visible(Settings(decode_urls=True, sort_mode="alphabetical")),
+})
 for _k in ("visible_links", "sort_alpha", "filter_url_terms", "filter_url_exclude",
            "filter_text_terms", "filter_text_exclude", "filter_regex", "decode_urls"):
     QUERIES[_k] = _visible(SETTINGS[_k])
