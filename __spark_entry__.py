@@ -253,6 +253,26 @@ QUALIFY row_number() OVER (PARTITION BY display_url ORDER BY page_id, pos) = 1""
                                           url=_decode_uri("display_url"),
                                           cols="'regex_decode' AS profile_id, page_id, rank, url, text, surfaced") + ")",
         ]),
+        "stream_extract": f"WITH {_BASE} SELECT page_id, pos, dom_index, variant_index, display_url, text, "
+                          "surfaced, source_url FROM e",
+        "stream_refresh": f"""{_SAVED},
+n AS (SELECT count(*) AS n FROM pages),
+r AS (SELECT event_id % (SELECT n FROM n) AS source_id, max(ts) AS refreshed_at, count(*) AS n_requests
+      FROM events GROUP BY ALL)
+SELECT result_id, sequence, saved.source_id, n_entries, r.refreshed_at,
+       CAST(coalesce(r.n_requests, 0) AS BIGINT) AS n_requests
+FROM saved LEFT JOIN r USING (source_id)""",
+        "results_update": f"""{_SAVED}
+SELECT result_id, sequence, source_id, page_url,
+       CASE WHEN contains(title, '&') THEN title || ' (updated)' ELSE title END AS title,
+       CAST(NULL AS VARCHAR) AS error
+FROM saved
+UNION ALL
+SELECT 'result-' || CAST(sequence + (SELECT count(*) FROM saved) AS VARCHAR), NULL, NULL, NULL, NULL,
+       'Saved result could not be found. Please run a new extraction.'
+FROM saved""",
+        "results_refresh": f"""{_SAVED}
+SELECT result_id, sequence, source_id, n_entries, CAST(NULL AS VARCHAR) AS error FROM saved""",
         "results_append": f"{_SAVED} SELECT sequence, result_id, source_id, page_url, title, n_entries FROM saved",
         "results_prune": f"""{_SAVED},
 cur AS (SELECT max_by(result_id, sequence) AS cid FROM saved),

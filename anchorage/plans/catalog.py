@@ -13,6 +13,7 @@ from anchorage.operators.report import csv_document_sql, export_name_sql
 from anchorage.operators import store as S
 from anchorage.plans.visible import visible_links, visible_pages
 from anchorage.settings import Settings
+from anchorage.streaming.jobs import stream_extract, stream_refresh
 from anchorage.functions.redirects import redirect_params
 from anchorage.functions.urls import is_skipped
 from anchorage.operators.order import dedup_page
@@ -191,6 +192,50 @@ PROFILES = {
 }
 
 
+def q_stream_extract(spark, sf_dir):
+    return stream_extract(spark, sf_dir, "pages.parquet")
+
+
+def q_stream_refresh(spark, sf_dir):
+    return stream_refresh(spark, sf_dir).select(
+        "result_id", "sequence", "source_id", F.size("entries").cast("bigint").alias("n_entries"),
+        "refreshed_at", "n_requests")
+
+
+def _store_and_updates(spark, sf_dir):
+    saved = _saved(spark, sf_dir).select("sequence", "result_id", "source_id", "page_url", "title")
+    # updates: every record whose title has a '&' gets a new title, plus
+    # one request per record for an id past the end (reported missing)
+    n = saved.count()
+    upd = saved.where(F.col("title").contains("&")).select(
+        "result_id", F.concat("title", F.lit(" (updated)")).alias("title"))
+    missing = saved.select(F.concat(F.lit("result-"), (F.col("sequence") + F.lit(n)).cast("string"))
+                           .alias("result_id"), F.lit("x").alias("title"))
+    return saved, upd.unionByName(missing)
+
+
+def q_results_update(spark, sf_dir):
+    saved, updates = _store_and_updates(spark, sf_dir)
+    merged, errors = S.update_results(saved, updates)
+    return merged.select("result_id", "sequence", "source_id", "page_url", "title",
+                         F.lit(None).cast("string").alias("error")).unionByName(
+        errors.select("result_id", F.lit(None).cast("bigint").alias("sequence"),
+                      F.lit(None).cast("bigint").alias("source_id"),
+                      F.lit(None).cast("string").alias("page_url"),
+                      F.lit(None).cast("string").alias("title"), "error"))
+
+
+def q_results_refresh(spark, sf_dir):
+    """E3 for every saved record: re-scan its page, overlay entries."""
+    pages = _pages(spark, sf_dir)
+    saved = S.save_results(link_entries(scan_html(pages)))
+    rescanned = link_entries(scan_html(pages))
+    store, errors = S.refresh_results(saved, rescanned, saved.select("result_id"))
+    return store.select("result_id", "sequence", "source_id",
+                        F.size("entries").cast("bigint").alias("n_entries")).join(
+        errors, "result_id", "left")
+
+
 QUERIES = {
     "anchors": q_anchors,
     "page_meta": q_page_meta,
@@ -209,6 +254,10 @@ QUERIES = {
                                     ("page_id", "n_visible", "hint", "message")),
 }
 QUERIES.update({
+    "stream_extract": q_stream_extract,
+    "stream_refresh": q_stream_refresh,
+    "results_update": q_results_update,
+    "results_refresh": q_results_refresh,
     "protocol_filter": q_protocol_filter,
     "redirect_params": q_redirect_params,
     "redirect_targets": q_redirect_targets,
