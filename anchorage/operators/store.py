@@ -56,14 +56,24 @@ def number_rows(df: DataFrame, order_col: str, start, out: str = "seq", partitio
             .drop("_part", "_off"))
 
 
-def save_results(pages: DataFrame, store: DataFrame | None = None) -> DataFrame:
+def save_results(pages: DataFrame, store: DataFrame | None = None,
+                 keys: DataFrame | None = None) -> DataFrame:
     """K4 saveResultRecord for every page: new records numbered after the
-    store's highest sequence, in page_id order.  Returns the new rows."""
+    store's highest sequence, in page_id order.  Returns the new rows.
+
+    ``keys`` (the page ids, e.g. a column-pruned read of the pages table)
+    lets the numbering run on the ids alone and join back on ``page_id``,
+    instead of range-sampling the full entries pipeline.
+    """
     start = F.lit(1)
     if store is not None:
         top = store.agg(F.max("sequence").alias("m")).select(F.coalesce("m", F.lit(0)) + 1)
         start = F.lit(top.first()[0])  # one scalar
-    numbered = number_rows(pages, "page_id", start, "sequence")
+    if keys is not None:
+        ids = number_rows(keys.select("page_id"), "page_id", start, "sequence")
+        numbered = pages.join(ids, "page_id")
+    else:
+        numbered = number_rows(pages, "page_id", start, "sequence")
     return numbered.select(
         "sequence",
         F.concat(F.lit(RESULT_ID_PREFIX), F.col("sequence").cast("string")).alias("result_id"),

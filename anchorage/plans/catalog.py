@@ -12,6 +12,7 @@ from anchorage.operators.order import dedup_corpus
 from anchorage.operators.report import csv_document_sql, export_name_sql
 from anchorage.operators import store as S
 from anchorage.plans.visible import visible_links, visible_pages
+from anchorage.session import shared_dir
 from anchorage.settings import Settings
 from anchorage.streaming.jobs import stream_extract, stream_refresh
 from anchorage.functions.redirects import redirect_params
@@ -108,8 +109,17 @@ def q_clean_text(spark, sf_dir):
 
 
 def _saved(spark, sf_dir):
-    ents = page_entries(spark, sf_dir)
-    return S.save_results(ents)
+    """E2 extract job: every page saved as a result record (lazy)."""
+    pages = _pages(spark, sf_dir)
+    return S.save_results(link_entries(scan_html(pages)), keys=pages)
+
+
+def _store(spark, sf_dir):
+    """The saved results written once to the shared folder and read back
+    (the store the later jobs work on; also cuts the lineage)."""
+    path = shared_dir(spark, "results")
+    _saved(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def q_results_append(spark, sf_dir):
@@ -118,13 +128,13 @@ def q_results_append(spark, sf_dir):
 
 
 def q_results_prune(spark, sf_dir):
-    saved = _saved(spark, sf_dir).select("sequence", "result_id", "source_id", "title")
+    saved = _store(spark, sf_dir).select("sequence", "result_id", "source_id", "title")
     kept = S.prune_results(saved, S.current_of(saved), S.DEFAULT_MAX_RESULTS)
     return kept.select("sequence", "result_id", "source_id")
 
 
 def q_results_lookup(spark, sf_dir):
-    saved = _saved(spark, sf_dir).select("sequence", "result_id", "source_id", "page_url")
+    saved = _store(spark, sf_dir).select("sequence", "result_id", "source_id", "page_url")
     return S.current_record(saved, S.current_of(saved))
 
 
@@ -203,7 +213,7 @@ def q_stream_refresh(spark, sf_dir):
 
 
 def _store_and_updates(spark, sf_dir):
-    saved = _saved(spark, sf_dir).select("sequence", "result_id", "source_id", "page_url", "title")
+    saved = _store(spark, sf_dir).select("sequence", "result_id", "source_id", "page_url", "title")
     # updates: every record whose title has a '&' gets a new title, plus
     # one request per record for an id past the end (reported missing)
     n = saved.count()
@@ -228,7 +238,7 @@ def q_results_update(spark, sf_dir):
 def q_results_refresh(spark, sf_dir):
     """E3 for every saved record: re-scan its page, overlay entries."""
     pages = _pages(spark, sf_dir)
-    saved = S.save_results(link_entries(scan_html(pages)))
+    saved = _store(spark, sf_dir)
     rescanned = link_entries(scan_html(pages))
     store, errors = S.refresh_results(saved, rescanned, saved.select("result_id"))
     return store.select("result_id", "sequence", "source_id",

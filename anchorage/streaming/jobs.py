@@ -58,7 +58,7 @@ def stream_refresh(spark: SparkSession, sf_dir: str, out_root: str | None = None
     ev_path = f"{sf_dir}/events.parquet"
     ev_schema = spark.read.parquet(ev_path).schema
     ts_type = ev_schema["ts"].dataType.simpleString()
-    saved = S.save_results(link_entries(scan_html(pages))).withColumn(
+    saved = S.save_results(link_entries(scan_html(pages)), keys=pages).withColumn(
         "refreshed_at", F.lit(None).cast(ts_type)).withColumn("n_requests", F.lit(0).cast("bigint"))
     saved.withColumn("batch", F.lit(-1)).write.mode("overwrite").parquet(f"{out_root}/store/batch=-1")
 
