@@ -242,6 +242,12 @@ QUALIFY row_number() OVER (PARTITION BY display_url ORDER BY page_id, pos) = 1""
             + " || ',' || CASE WHEN surfaced THEN 'true' ELSE 'false' END || ',' || "
             + _csv(f"CASE WHEN surfaced THEN {_decode_uri('coalesce(source_url, ' + chr(39) * 2 + ')')} ELSE '' END")
             + " AS line")),
+        "txt_export": _wvisible(url=_decode_uri("display_url"),
+                                cols="page_id, rank, 'link-scoop-links.txt' AS export_name, url"),
+        "csv_export": _wvisible(url=_decode_uri("display_url"), cols=(
+            "page_id, rank, 'link-scoop-links.csv' AS export_name, url, text AS link_text, "
+            "CASE WHEN surfaced THEN 'true' ELSE 'false' END AS is_redirect, "
+            "CASE WHEN surfaced THEN " + _decode_uri("coalesce(source_url, '')") + " ELSE '' END AS redirect_source")),
         "profile_apply": " UNION ALL ".join([
             "SELECT * FROM (" + _wvisible(cols="'default' AS profile_id, page_id, rank, url, text, surfaced") + ")",
             "SELECT * FROM (" + _wvisible("NOT (contains(lower(display_url), 'go.example') OR contains(lower(display_url), 'files'))",

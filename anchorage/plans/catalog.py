@@ -17,6 +17,7 @@ from anchorage.settings import Settings
 from anchorage.streaming.jobs import stream_extract, stream_refresh
 from anchorage.functions.redirects import redirect_params
 from anchorage.functions.urls import is_skipped
+from anchorage.operators.export import CSV_COLUMNS, read_csv, write_csv, write_txt
 from anchorage.operators.order import dedup_page
 from anchorage.operators.report import csv_row_sql
 from anchorage.plans.visible import profile_apply
@@ -246,6 +247,26 @@ def q_results_refresh(spark, sf_dir):
         errors, "result_id", "left")
 
 
+def q_txt_export(spark, sf_dir):
+    """K1 round trip: write the wrapped visible links, read the rows back."""
+    s = Settings(decode_urls=True)
+    ents = wrapped_entries(spark, sf_dir)
+    path = shared_dir(spark, "txt_export")
+    write_txt(visible_links(spark, ents, s), ents.select("page_id", "title"), s, path)
+    return spark.read.parquet(path).select("page_id", "rank", "export_name", "url")
+
+
+def q_csv_export(spark, sf_dir):
+    """K2 round trip: CSV written with the reference's quoting, read back."""
+    s = Settings(decode_urls=True)
+    ents = wrapped_entries(spark, sf_dir)
+    path = shared_dir(spark, "csv_export")
+    write_csv(visible_links(spark, ents, s), ents.select("page_id", "title"), s, path)
+    back = read_csv(spark, path)
+    return back.select(F.col("page_id").cast("bigint"), F.col("rank").cast("bigint"), "export_name",
+                       *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in CSV_COLUMNS])
+
+
 QUERIES = {
     "anchors": q_anchors,
     "page_meta": q_page_meta,
@@ -264,6 +285,8 @@ QUERIES = {
                                     ("page_id", "n_visible", "hint", "message")),
 }
 QUERIES.update({
+    "txt_export": q_txt_export,
+    "csv_export": q_csv_export,
     "stream_extract": q_stream_extract,
     "stream_refresh": q_stream_refresh,
     "results_update": q_results_update,
