@@ -83,29 +83,26 @@ def resolved_links(links: DataFrame) -> DataFrame:
 
 def _with_targets(kept: DataFrame, surface: bool) -> DataFrame:
     """One row per link with ``targets`` (first-seen order,
-    de-duplicated, never the link itself)."""
+    de-duplicated, never the link itself).
+
+    Each candidate is tried raw, then decoded: both attempts are exploded
+    into rows and resolved by one parser pass; the aggregate keeps the
+    first attempt that resolves to a non-skipped URL.
+    """
     cands = F.expr(f"CASE WHEN keep THEN {redirect_candidates_sql('_p')} "
                    "ELSE CAST(array() AS array<string>) END") if surface \
         else F.expr("CAST(array() AS array<string>)")
     df = kept.select(*PAGE_COLS, "link_idx", "dom_index", "text", "display_url", "keep", "_p",
                      F.posexplode_outer(cands).alias("cand_idx", "cand"))
-
-    def attempt(df, value_sql, tag):
-        df = df.withColumn(f"_t{tag}", F.expr(js_trim_sql(value_sql)))
-        ok = f"(_t{tag} <> '' AND NOT {is_skipped_sql(f'_t{tag}')})"
-        df = df.withColumn(f"_t{tag}", F.expr(f"CASE WHEN {ok} THEN _t{tag} END"))
-        df = with_url(df, f"_t{tag}", f"_q{tag}", base="_p", string_out=f"_r{tag}")
-        return df.withColumn(f"_r{tag}", F.expr(
-            f"CASE WHEN _t{tag} IS NOT NULL AND NOT {is_skipped_sql(f'_r{tag}')} THEN _r{tag} END"))
-
-    if surface:
-        df = attempt(df, "cand", "raw")
-        df = attempt(df, decode_component_sql("cand"), "dec")
-        target = "coalesce(_rraw, _rdec)"
-    else:
-        target = "CAST(NULL AS STRING)"
-    df = df.withColumn("_tg", F.expr(
-        f"CASE WHEN {target} IS NOT NULL AND {target} <> display_url THEN struct(cand_idx, {target} AS target) END"))
+    attempts = (f"CASE WHEN cand IS NULL THEN CAST(array() AS array<struct<att:int,v:string>>) ELSE "
+                f"array(struct(0 AS att, {js_trim_sql('cand')} AS v), "
+                f"struct(1 AS att, {js_trim_sql(decode_component_sql('cand'))} AS v)) END")
+    df = df.select("*", F.explode_outer(F.expr(attempts)).alias("_a"))
+    ok = f"(_a.v <> '' AND NOT {is_skipped_sql('_a.v')})"
+    df = df.withColumn("_t", F.expr(f"CASE WHEN {ok} THEN _a.v END"))
+    df = with_url(df, "_t", "_q", base="_p", string_out="_r")
+    valid = f"_t IS NOT NULL AND _r IS NOT NULL AND NOT {is_skipped_sql('_r')}"
+    df = df.withColumn("_tg", F.expr(f"CASE WHEN {valid} THEN struct(cand_idx, _a.att AS att, _r AS target) END"))
     return df.groupBy("page_id", "link_idx").agg(
         F.max("page_url").alias("page_url"),
         F.max("title").alias("title"),
@@ -113,8 +110,11 @@ def _with_targets(kept: DataFrame, surface: bool) -> DataFrame:
         F.first("text").alias("text"),
         F.first("display_url").alias("display_url"),
         F.first("keep").alias("keep"),
-        F.expr("array_distinct(transform(array_sort(collect_list(_tg)), x -> x.target))").alias("targets"),
-    )
+        F.expr("array_sort(collect_list(_tg))").alias("_tried"),
+    ).withColumn("targets", F.expr(
+        "array_distinct(transform(filter(filter(_tried, (x, i) -> i = 0 OR "
+        "x.cand_idx <> element_at(_tried, i).cand_idx), x -> x.target <> display_url), x -> x.target))")
+    ).drop("_tried")
 
 
 def link_entries(links: DataFrame, surface_redirects: bool = True) -> DataFrame:
