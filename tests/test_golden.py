@@ -166,3 +166,21 @@ def test_settings():
     r = Settings.merge({"sortMode": "alphabetical", "urlIncludePattern": "x", "useRegex": True}).reset_filters()
     assert (r.sort_mode, r.url_include, r.use_regex) == ("alphabetical", "", False)
     assert settings_summary(Settings()) == "Original page order • no active filters • regex off • URL decoding off"
+
+
+def test_saved_html_files(spark, tmp_path):
+    from anchorage.sources.pages import read_html_files
+    (tmp_path / "a.html").write_text('<title>Saved</title><a href="b.html">B</a><a href="https://x.example">X</a>')
+    pages = read_html_files(spark, str(tmp_path / "*.html"))
+    row = link_entries(scan_html(pages)).first()
+    assert row.title == "Saved" and row.page_url.startswith("file:")
+    assert [e.display_url for e in row.entries] == [row.page_url.rsplit("/", 1)[0] + "/b.html", "https://x.example/"]
+    rep = visible_pages(spark, link_entries(scan_html(pages)), Settings()).first()
+    assert rep.is_local_file and rep.lines == 2
+
+
+def test_entry_smoke(spark):
+    import __spark_entry__ as m
+    df = m.entry(spark)
+    assert df.count() > 0
+    assert set(m.queries()) == set(m.oracle_sql())
