@@ -189,23 +189,23 @@ def parse_url_sql(href: str, base: str | None = None) -> str:
     ``run_steps`` one projection per stage.
     """
     base = base or NULL_URL
-    stripped = (f"regexp_replace(regexp_replace({href}, {lit(r'^[\x{0}-\x{20}]+|[\x{0}-\x{20}]+$')}, ''), "
+
+    def stripped(h):
+        return (f"regexp_replace(regexp_replace({h}, {lit(r'^[\x{0}-\x{20}]+|[\x{0}-\x{20}]+$')}, ''), "
                 f"{lit(r'[\t\n\r]')}, '')")
-    return step(struct(s=stripped, b=base), _stage1)
+    scheme_re = lit(r'^([A-Za-z][A-Za-z0-9+.\-]*):')
+    return step(struct(s=stripped(href), b=base,
+                       sr=f"regexp_extract({stripped(href)}, {scheme_re}, 1)"), _stage1)
 
 
 def _stage1(v):
-    s, b = f"{v}.s", f"{v}.b"
-    scheme_raw = f"regexp_extract({s}, {lit(r'^([A-Za-z][A-Za-z0-9+.\-]*):')}, 1)"
+    s, b, sr = f"{v}.s", f"{v}.b", f"{v}.sr"
+    return _stage2_from(b, f"CASE WHEN {sr} <> '' THEN substring({s}, length({sr}) + 2, {BIG}) ELSE {s} END",
+                        f"({sr} <> '')", f"lower({sr})")
 
-    def inner(sr):
-        return step(struct(
-            s=s, b=b,
-            has_scheme=f"({sr} <> '')",
-            scheme_in=f"lower({sr})",
-            rest=f"CASE WHEN {sr} <> '' THEN substring({s}, length({sr}) + 2, {BIG}) ELSE {s} END",
-        ), _stage2)
-    return step(scheme_raw, inner)
+
+def _stage2_from(b, rest_expr, has_scheme_expr, scheme_in_expr):
+    return step(struct(b=b, rest=rest_expr, has_scheme=has_scheme_expr, scheme_in=scheme_in_expr), _stage2)
 
 
 def _stage2(v):
@@ -238,14 +238,11 @@ def _stage2(v):
         (f"startswith({rest}, '#')", "'frag'"),
         otherwise="'rel'",
     )
-
-    def inner(rel):
-        return step(struct(
-            b=b, rest=rest, one_slash=one,
-            mode=f"CASE WHEN {rel} THEN {relative_mode} ELSE {absolute_mode} END",
-            scheme=f"CASE WHEN {rel} THEN {b}.scheme ELSE {scheme_in} END",
-        ), _stage3)
-    return step(relative, inner)
+    return step(struct(
+        b=b, rest=rest, one_slash=one,
+        mode=f"CASE WHEN {relative} THEN {relative_mode} ELSE {absolute_mode} END",
+        scheme=f"CASE WHEN {relative} THEN {b}.scheme ELSE {scheme_in} END",
+    ), _stage3)
 
 
 def _stage3(v):
@@ -260,7 +257,8 @@ def _stage3(v):
         otherwise=rest,
     )
 
-    def inner(p):
+    def inner(w):
+        p = f"{w}.pq"
         authority = case(
             (f"{mode} <> 'auth'", "''"),
             (special, f"regexp_extract({p}, {lit(r'(?s)^([^/\\?#]*)')}, 1)"),
@@ -268,35 +266,36 @@ def _stage3(v):
         )
 
         def inner2(a):
+            has_at = f"contains({a}, '@')"
             return step(struct(
                 b=f"{v}.b", rest=rest, mode=mode, scheme=scheme, special=special,
-                authority=a, tail=f"substring({p}, length({a}) + 1, {BIG})",
+                tail=f"substring({p}, length({a}) + 1, {BIG})",
+                userinfo_raw=f"CASE WHEN {has_at} THEN regexp_extract({a}, {lit('(?s)^(.*)@')}, 1) ELSE '' END",
+                hostport=f"CASE WHEN {has_at} THEN regexp_extract({a}, {lit('(?s)@([^@]*)$')}, 1) ELSE {a} END",
             ), _stage4)
         return step(authority, inner2)
-    return step(pq, inner)
+    return step(struct(pq=pq), inner)
 
 
 def _stage4(v):
     """Authority parts: credentials, host, port."""
-    a, scheme, special, mode = f"{v}.authority", f"{v}.scheme", f"{v}.special", f"{v}.mode"
-    has_at = f"contains({a}, '@')"
-    userinfo_raw = f"CASE WHEN {has_at} THEN regexp_extract({a}, {lit('(?s)^(.*)@')}, 1) ELSE '' END"
-    hostport = f"CASE WHEN {has_at} THEN regexp_extract({a}, {lit('(?s)@([^@]*)$')}, 1) ELSE {a} END"
-
-    def inner(hp):
-        host_raw = f"regexp_extract({hp}, {lit(r'(?s)^(\[[^\]]*\]?|[^:]*)')}, 1)"
+    scheme, special, mode, hp = f"{v}.scheme", f"{v}.special", f"{v}.mode", f"{v}.hostport"
+    host_raw = f"regexp_extract({hp}, {lit(r'(?s)^(\[[^\]]*\]?|[^:]*)')}, 1)"
 
-        def inner2(hr):
-            hp_tail = f"substring({hp}, length({hr}) + 1, {BIG})"
-            return step(struct(
-                b=f"{v}.b", rest=f"{v}.rest", mode=mode, scheme=scheme, special=special,
-                tail=f"{v}.tail", userinfo_raw=userinfo_raw,
-                host=f"CASE WHEN {mode} = 'auth' THEN {_canon_host_sql(hr, scheme, special)} END",
-                hp_bad=f"({hp_tail} <> '' AND NOT startswith({hp_tail}, ':'))",
-                port_raw=f"CASE WHEN startswith({hp_tail}, ':') THEN substring({hp_tail}, 2, {BIG}) ELSE '' END",
-            ), _stage5)
-        return step(host_raw, inner2)
-    return step(hostport, inner)
+    def inner2(hr):
+        hp_tail = f"substring({hp}, length({hr}) + 1, {BIG})"
+        tail = f"{v}.tail"
+        return step(struct(
+            b=f"{v}.b", rest=f"{v}.rest", mode=mode, scheme=scheme, special=special,
+            tail=tail, userinfo_raw=f"{v}.userinfo_raw",
+            host=f"CASE WHEN {mode} = 'auth' THEN {_canon_host_sql(hr, scheme, special)} END",
+            hp_bad=f"({hp_tail} <> '' AND NOT startswith({hp_tail}, ':'))",
+            port_raw=f"CASE WHEN startswith({hp_tail}, ':') THEN substring({hp_tail}, 2, {BIG}) ELSE '' END",
+            p_part0=f"regexp_extract({tail}, '(?s)^([^?#]*)', 1)",
+            q_part=(f"CASE WHEN {tail} RLIKE {lit(r'(?s)^[^?#]*\?')} "
+                    f"THEN regexp_extract({tail}, {lit(r'(?s)^[^?#]*\?([^#]*)')}, 1) END"),
+        ), _stage5)
+    return step(host_raw, inner2)
 
 
 def _stage5(v):
@@ -318,15 +317,15 @@ def _stage5(v):
                 f"OR ({ui} <> '' AND ({host} = '' OR {scheme} = 'file')) "
                 f"OR ({port_raw} <> '' AND {host} = ''))")
     tail = f"{v}.tail"
-    p_part0 = f"regexp_extract({tail}, '(?s)^([^?#]*)', 1)"
+    p_part0 = f"{v}.p_part0"
     p_part = f"CASE WHEN {special} THEN replace({p_part0}, {lit(chr(92))}, '/') ELSE {p_part0} END"
-    q_part = (f"CASE WHEN {tail} RLIKE {lit(r'(?s)^[^?#]*\?')} "
-              f"THEN regexp_extract({tail}, {lit(r'(?s)^[^?#]*\?([^#]*)')}, 1) END")
+    q_part = f"{v}.q_part"
     f_part = f"CASE WHEN contains({tail}, '#') THEN regexp_extract({tail}, '(?s)^[^#]*#(.*)$', 1) END"
     base_dir = f"CASE WHEN {b}.has_auth AND {b}.path = '' THEN '/' ELSE regexp_replace({b}.path, '[^/]*$', '') END"
     keep_base = f"({mode} IN ('abs', 'rel', 'empty', 'query', 'frag'))"
 
     def with_parts(pp):
+        q = q_part
         raw_path = case(
             (f"{mode} = 'rel'", f"concat({base_dir}, {pp})"),
             (f"{mode} = 'auth' AND {special} AND {pp} = ''", "'/'"),
@@ -338,37 +337,35 @@ def _stage5(v):
             otherwise=pct_encode_sql(_remove_dot_segments_sql(raw_path), PATH_SET),
         )
 
-        def with_q(q):
-            query = case(
-                (f"{mode} IN ('empty', 'frag')", f"{b}.query"),
-                (f"{q} IS NULL", "NULL"),
-                (special, pct_encode_sql(q, SPECIAL_QUERY_SET)),
-                otherwise=pct_encode_sql(q, QUERY_SET),
-            )
-            fragment = case(
-                (f"{mode} = 'empty'", "NULL"),
-                (f"{mode} = 'frag'", pct_encode_sql(f"substring({rest}, 2, {BIG})", FRAGMENT_SET)),
-                (f"{f_part} IS NULL", "NULL"),
-                otherwise=pct_encode_sql(f_part, FRAGMENT_SET),
-            )
-            out = struct(
-                scheme=scheme,
-                special=special,
-                has_auth=case((f"{mode} IN ('auth', 'fileabs')", "true"), (keep_base, f"{b}.has_auth"),
-                              otherwise="false"),
-                userinfo=case((f"{mode} = 'auth'", userinfo), (keep_base, f"{b}.userinfo"), otherwise="''"),
-                host=case((f"{mode} = 'auth'", host), (f"{mode} = 'fileabs'", "''"),
-                          (keep_base, f"{b}.host")),
-                port=case((f"{mode} = 'auth'", port), (keep_base, f"{b}.port"), otherwise="''"),
-                path=path,
-                query=query,
-                fragment=fragment,
-                opaque=case((f"{mode} = 'opaque'", "true"), (f"{mode} = 'frag'", f"{b}.opaque"),
-                            otherwise="false"),
-            )
-            failed = f"({mode} = 'fail' OR ({mode} = 'auth' AND {auth_bad}))"
-            return f"CASE WHEN {failed} THEN {NULL_URL} ELSE {out} END"
-        return step(q_part, with_q)
+        query = case(
+            (f"{mode} IN ('empty', 'frag')", f"{b}.query"),
+            (f"{q} IS NULL", "NULL"),
+            (special, pct_encode_sql(q, SPECIAL_QUERY_SET)),
+            otherwise=pct_encode_sql(q, QUERY_SET),
+        )
+        fragment = case(
+            (f"{mode} = 'empty'", "NULL"),
+            (f"{mode} = 'frag'", pct_encode_sql(f"substring({rest}, 2, {BIG})", FRAGMENT_SET)),
+            (f"{f_part} IS NULL", "NULL"),
+            otherwise=pct_encode_sql(f_part, FRAGMENT_SET),
+        )
+        out = struct(
+            scheme=scheme,
+            special=special,
+            has_auth=case((f"{mode} IN ('auth', 'fileabs')", "true"), (keep_base, f"{b}.has_auth"),
+                          otherwise="false"),
+            userinfo=case((f"{mode} = 'auth'", userinfo), (keep_base, f"{b}.userinfo"), otherwise="''"),
+            host=case((f"{mode} = 'auth'", host), (f"{mode} = 'fileabs'", "''"),
+                      (keep_base, f"{b}.host")),
+            port=case((f"{mode} = 'auth'", port), (keep_base, f"{b}.port"), otherwise="''"),
+            path=path,
+            query=query,
+            fragment=fragment,
+            opaque=case((f"{mode} = 'opaque'", "true"), (f"{mode} = 'frag'", f"{b}.opaque"),
+                        otherwise="false"),
+        )
+        failed = f"({mode} = 'fail' OR ({mode} = 'auth' AND {auth_bad}))"
+        return f"CASE WHEN {failed} THEN {NULL_URL} ELSE {out} END"
     return step(p_part, with_parts)
 
 
