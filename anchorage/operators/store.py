@@ -151,3 +151,91 @@ def refresh_results(store: DataFrame, rescanned: DataFrame, result_ids: DataFram
               .select("result_id", F.lit(MISSING_SOURCE_ERROR).alias("error")))
     new_store, _ = update_results(store, fresh)
     return new_store, errors
+
+
+# --- settings as a table (P7, K7, S8) ----------------------------------------------
+
+SETTINGS_DEFAULTS = {
+    "sortMode": "'original'", "themeMode": "'system'",
+    "urlIncludePattern": "''", "urlExcludePattern": "''",
+    "textIncludePattern": "''", "textExcludePattern": "''",
+    "useRegex": "false", "decodeUrls": "false",
+}
+MAX_PROFILES = 1024
+
+
+def _truthy(df: DataFrame, name: str) -> str:
+    """JavaScript Boolean() of a stored value, by the column's type:
+    booleans as they are, numbers non-zero and not NaN, strings non-empty
+    (so the string 'false' is true); null is false."""
+    t = df.schema[name].dataType.typeName()
+    c = f"`{name}`"
+    if t == "boolean":
+        return f"coalesce({c}, false)"
+    if t in ("integer", "long", "short", "byte", "float", "double", "decimal"):
+        return f"coalesce({c} <> 0 AND NOT isnan(CAST({c} AS DOUBLE)), false)"
+    return f"coalesce(CAST({c} AS STRING) <> '', false)"
+
+
+def merge_settings(stored: DataFrame) -> DataFrame:
+    """P7 mergeSettings for many stored records (one row each).
+
+    Missing columns take the defaults; unknown sort / theme values fall
+    back to the default; ``useRegex`` / ``decodeUrls`` follow JavaScript
+    truthiness for the column's type.
+    """
+    cols = set(stored.columns)
+    out = [F.col(c) for c in stored.columns if c not in SETTINGS_DEFAULTS]
+    for name, default in SETTINGS_DEFAULTS.items():
+        if name not in cols:
+            expr = default
+        elif name == "sortMode":
+            expr = "CASE WHEN sortMode IN ('original', 'alphabetical') THEN sortMode ELSE 'original' END"
+        elif name == "themeMode":
+            expr = "CASE WHEN themeMode IN ('system', 'light', 'dark') THEN themeMode ELSE 'system' END"
+        elif name in ("useRegex", "decodeUrls"):
+            expr = _truthy(stored, name)
+        else:
+            expr = f"coalesce(CAST({name} AS STRING), '')"
+        out.append(F.expr(expr).alias(name))
+    return stored.select(*out)
+
+
+def save_settings(current: DataFrame, partial: DataFrame, key: str = "profile_id") -> DataFrame:
+    """K7 saveSettings: overlay ``partial`` (null = not given) onto the
+    merged ``current`` settings per ``key``, then normalise again."""
+    cur = merge_settings(current)
+    names = [c for c in SETTINGS_DEFAULTS if c in partial.columns]
+
+    def given(c):
+        if c in ("useRegex", "decodeUrls"):
+            return F.when(F.col(c).isNotNull(), F.expr(_truthy(partial, c)))
+        return F.col(c).cast("string")
+    p = partial.select(key, *[given(c).alias(f"_p_{c}") for c in names])
+    joined = cur.join(p, key, "full")
+    cols = [F.col(key)] + [
+        (F.coalesce(F.col(f"_p_{c}"), F.col(c)) if c in names else F.col(c)).alias(c)
+        for c in SETTINGS_DEFAULTS]
+    return merge_settings(joined.select(*cols))
+
+
+def reset_filters(settings: DataFrame) -> DataFrame:
+    """P8 getResetFilterState: clear the patterns, regex and decode flags."""
+    return settings.withColumns({
+        "urlIncludePattern": F.lit(""), "urlExcludePattern": F.lit(""),
+        "textIncludePattern": F.lit(""), "textExcludePattern": F.lit(""),
+        "useRegex": F.lit(False), "decodeUrls": F.lit(False)})
+
+
+def load_profiles(settings: DataFrame, key: str = "profile_id", limit: int = MAX_PROFILES) -> dict:
+    """Merged settings rows -> {id: Settings} for ``plans.visible.profile_apply``.
+
+    Profiles are configuration compiled into predicates on the driver; the
+    table is read only up to ``limit`` + 1 rows and refused beyond the
+    bound, so the driver never pulls an unbounded table.
+    """
+    from anchorage.settings import Settings
+    rows = merge_settings(settings).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} filter profiles; apply them in groups")
+    return {r[key]: Settings.merge(r.asDict()) for r in rows}

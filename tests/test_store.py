@@ -67,3 +67,30 @@ def test_export_names(spark):
     name = long.select(F.expr(export_name_sql("title", s))).first()[0]
     assert "-include-wiki" in name and "-exclude-special" in name and "-text-featured-articles" in name
     assert "-textexcl-main-page" in name and len(name) <= 120
+
+
+def test_settings_table(spark):
+    stored = spark.createDataFrame(
+        [("p1", "unexpected-mode", "neon", "1", "yes", None),
+         ("p2", "alphabetical", "dark", "false", None, "github")],
+        "profile_id string, sortMode string, themeMode string, useRegex string, decodeUrls string, "
+        "urlIncludePattern string")
+    rows = {r.profile_id: r for r in S.merge_settings(stored).collect()}
+    assert (rows["p1"].sortMode, rows["p1"].themeMode, rows["p1"].useRegex, rows["p1"].decodeUrls) == \
+        ("original", "system", True, True)
+    assert (rows["p2"].sortMode, rows["p2"].useRegex, rows["p2"].decodeUrls, rows["p2"].urlIncludePattern) == \
+        ("alphabetical", True, False, "github")
+    partial = spark.createDataFrame([("p2", None, "issues")], "profile_id string, sortMode string, "
+                                                              "urlExcludePattern string")
+    merged = {r.profile_id: r for r in S.save_settings(stored, partial).collect()}
+    assert (merged["p2"].sortMode, merged["p2"].urlExcludePattern, merged["p2"].urlIncludePattern) == \
+        ("alphabetical", "issues", "github")
+    reset = S.reset_filters(S.merge_settings(stored)).where("profile_id = 'p2'").first()
+    assert (reset.sortMode, reset.themeMode, reset.urlIncludePattern, reset.useRegex) == \
+        ("alphabetical", "dark", "", False)
+    typed = spark.createDataFrame([("p3", False, 0.0), ("p4", True, float("nan"))],
+                                  "profile_id string, useRegex boolean, decodeUrls double")
+    flags = {r.profile_id: (r.useRegex, r.decodeUrls) for r in S.merge_settings(typed).collect()}
+    assert flags == {"p3": (False, False), "p4": (True, False)}
+    profiles = S.load_profiles(stored)
+    assert profiles["p2"].url_include == "github" and profiles["p1"].sort_mode == "original"
