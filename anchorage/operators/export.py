@@ -2,9 +2,10 @@
 
 The reference downloads one file per page.  At corpus scale one folder per
 page is a small-files problem, so the default writes one dataset sorted by
-``(page_id, rank)`` and carrying the export file name of each page; with
-``per_page=True`` the rows are written under ``page_id=<id>`` folders
-instead (for small selections).
+``(page_id, rank)`` within each task and carrying the export file name of
+each page; with ``per_page=True`` the rows are written under
+``page_id=<id>`` folders instead (for small selections).  Input is the
+per-page frame of ``plans.visible.visible_pages``: no join, no shuffle.
 """
 
 from __future__ import annotations
@@ -12,46 +13,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorage.operators.report import CSV_HEADER, export_name_sql
+from anchorage.operators.report import CSV_HEADER, export_name_sql, format_url_sql
 from anchorage.settings import Settings
 
 CSV_COLUMNS = CSV_HEADER.split(",")
 
 
-def _export_frame(visible: DataFrame, titles: DataFrame, s: Settings, ext: str) -> DataFrame:
-    names = titles.select("page_id", F.expr(export_name_sql("title", s, ext)).alias("export_name"))
-    return visible.join(names, "page_id")
+def _rows(pages: DataFrame, s: Settings, ext: str) -> DataFrame:
+    """Visible pages (``plans.visible.visible_pages``) -> one row per link
+    with the page's export file name (computed once per page row)."""
+    fields = ("display_url", "text", "surfaced", "source_url")
+    return (
+        pages.select("page_id", F.expr(export_name_sql("title", s, ext)).alias("export_name"),
+                     F.posexplode("visible").alias("_i", "_e"))
+        .select("page_id", (F.col("_i") + 1).cast("bigint").alias("rank"), "export_name",
+                *[F.col(f"_e.{f}").alias(f) for f in fields])
+    )
 
 
-def write_txt(visible: DataFrame, titles: DataFrame, s: Settings, path: str, per_page: bool = False) -> None:
+def _url(s: Settings, col: str = "display_url") -> F.Column:
+    return F.expr(format_url_sql(col, s.decode_urls))
+
+
+def write_txt(pages: DataFrame, s: Settings, path: str, per_page: bool = False) -> None:
     """K1: one formatted URL per line, in display order per page."""
-    df = _export_frame(visible, titles, s, "txt").select("page_id", "rank", "export_name", "url")
-    df = df.repartition("page_id").sortWithinPartitions("page_id", "rank")
+    df = _rows(pages, s, "txt").select("page_id", "rank", "export_name", _url(s).alias("url"))
+    df = df.sortWithinPartitions("page_id", "rank")
     if per_page:
         df.select("page_id", "url").write.mode("overwrite").partitionBy("page_id").text(path)
     else:
         df.write.mode("overwrite").parquet(path)
 
 
-def csv_frame(visible: DataFrame, s: Settings) -> DataFrame:
+def csv_frame(pages: DataFrame, s: Settings) -> DataFrame:
     """P6 columns of the CSV export (values formatted, not yet escaped)."""
-    src = F.expr("CASE WHEN surfaced THEN coalesce(source_url, '') ELSE '' END")
-    if s.decode_urls:
-        from anchorage.functions.urls import decode_uri_sql
-        src = F.expr(f"CASE WHEN surfaced THEN {decode_uri_sql('coalesce(source_url, ' + chr(39) * 2 + ')')} ELSE '' END")
-    return visible.select(
-        "page_id", "rank", F.col("url").alias("url"),
+    src = f"CASE WHEN surfaced THEN {format_url_sql('coalesce(source_url, ' + chr(39) * 2 + ')', s.decode_urls)} ELSE '' END"
+    return _rows(pages, s, "csv").select(
+        "page_id", "rank", "export_name", _url(s).alias("url"),
         F.coalesce("text", F.lit("")).alias("link_text"),
         F.when(F.col("surfaced"), F.lit("true")).otherwise(F.lit("false")).alias("is_redirect"),
-        src.alias("redirect_source"))
+        F.expr(src).alias("redirect_source"))
 
 
-def write_csv(visible: DataFrame, titles: DataFrame, s: Settings, path: str, per_page: bool = False) -> None:
+def write_csv(pages: DataFrame, s: Settings, path: str, per_page: bool = False) -> None:
     """K2: header ``url,link_text,is_redirect,redirect_source``; a value is
     quoted only if it holds '"', ',' or a line break; quotes doubled."""
-    df = csv_frame(visible, s).join(
-        titles.select("page_id", F.expr(export_name_sql("title", s, "csv")).alias("export_name")), "page_id")
-    df = df.repartition("page_id").sortWithinPartitions("page_id", "rank")
+    df = csv_frame(pages, s).sortWithinPartitions("page_id", "rank")
     cols = (["page_id"] if per_page else ["page_id", "rank", "export_name"]) + CSV_COLUMNS
     writer = df.select(*cols).write.mode("overwrite").option("header", True) \
         .option("quote", '"').option("escape", '"').option("emptyValue", "") \

@@ -250,18 +250,16 @@ def q_results_refresh(spark, sf_dir):
 def q_txt_export(spark, sf_dir):
     """K1 round trip: write the wrapped visible links, read the rows back."""
     s = Settings(decode_urls=True)
-    ents = wrapped_entries(spark, sf_dir)
     path = shared_dir(spark, "txt_export")
-    write_txt(visible_links(spark, ents, s), ents.select("page_id", "title"), s, path)
+    write_txt(visible_pages(spark, wrapped_entries(spark, sf_dir), s), s, path)
     return spark.read.parquet(path).select("page_id", "rank", "export_name", "url")
 
 
 def q_csv_export(spark, sf_dir):
     """K2 round trip: CSV written with the reference's quoting, read back."""
     s = Settings(decode_urls=True)
-    ents = wrapped_entries(spark, sf_dir)
     path = shared_dir(spark, "csv_export")
-    write_csv(visible_links(spark, ents, s), ents.select("page_id", "title"), s, path)
+    write_csv(visible_pages(spark, wrapped_entries(spark, sf_dir), s), s, path)
     back = read_csv(spark, path)
     return back.select(F.col("page_id").cast("bigint"), F.col("rank").cast("bigint"), "export_name",
                        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in CSV_COLUMNS])
