@@ -47,7 +47,12 @@ def entry_sql(display_url, text, dom_index, variant_index, surfaced="false",
 
 
 def _page_bases(links: DataFrame) -> DataFrame:
-    """Document base: ``<base href>`` against the page URL, else the page URL."""
+    """Document base: ``<base href>`` against the page URL, else the page URL.
+    Sources without a ``base_href`` column (snapshots) skip that parse."""
+    if "base_href" not in links.columns:
+        df = with_url(links, "page_url", "_base")
+        return df.withColumn(
+            "page_url", F.coalesce(F.expr(serialize_url_sql("_base")), F.col("page_url")))
     df = with_url(links, "page_url", "_doc")
     df = df.withColumn("_bh", F.coalesce("base_href", F.lit("")))
     df = with_url(df, "_bh", "_bp", base="_doc")

@@ -2,9 +2,10 @@
 
 Every source yields one row per page with
 
-    page_id bigint, page_url string, base_href string, title string,
+    page_id bigint, page_url string, title string,
     links array<struct<dom_index:bigint, href:string, text:string>>
 
+(HTML scans add ``base_href``, the document's ``<base href>`` if any)
 plus ``scanned`` (True when ``href`` is the attribute text of an HTML
 scan, resolved by the entry builder like ``anchor.href``; False for
 snapshot values).  Nothing here shuffles: one input
@@ -163,7 +164,6 @@ def from_snapshots(snapshots: DataFrame) -> DataFrame:
     return snapshots.select(
         F.col("page_id").cast("bigint").alias("page_id"),
         F.expr(page_url).alias("page_url"),
-        F.lit(None).cast("string").alias("base_href"),
         F.expr(title).alias("title"),
         F.expr(links).alias("links"),
         F.lit(False).alias("scanned"),
