@@ -45,7 +45,7 @@ def _decode_token_sql(t: str) -> str:
     entity_map = f"from_json({lit(_named_entities_json())}, 'map<string,string>')"
     return case(
         (f"{t} RLIKE '^&#([0-9]+|[xX][0-9a-fA-F]+);?$'", let(num, char)),
-        (f"{t} RLIKE '^&[A-Za-z][A-Za-z0-9]*;$'", f"coalesce(element_at({entity_map}, {t}), {t})"),
+        (f"{t} RLIKE '^&[A-Za-z][A-Za-z0-9]*;$'", f"coalesce(try_element_at({entity_map}, {t}), {t})"),
         otherwise=t,
     )
 

@@ -122,7 +122,7 @@ def _ipv4_number_sql(h: str) -> str:
     """Host ending in a number: the IPv4 forms; null if invalid."""
     def part_value(p):
         digits = f"substring({p}, 3, {BIG})"
-        return "CAST(" + case(
+        return "try_cast(" + case(
             (f"{p} RLIKE '^0[xX][0-9a-fA-F]*$'",
              f"CASE WHEN {digits} = '' THEN '0' ELSE conv({digits}, 16, 10) END"),
             (f"{p} RLIKE '^0[0-7]+$'", f"conv({p}, 8, 10)"),
@@ -302,7 +302,7 @@ def _stage5(v):
     """Port, credentials, path / query / fragment and the final struct."""
     b, rest, mode, scheme, special = f"{v}.b", f"{v}.rest", f"{v}.mode", f"{v}.scheme", f"{v}.special"
     host, port_raw, ui = f"{v}.host", f"{v}.port_raw", f"{v}.userinfo_raw"
-    port_num = f"(CASE WHEN {port_raw} RLIKE '^[0-9]+$' THEN CAST({port_raw} AS DECIMAL(38,0)) END)"
+    port_num = f"(CASE WHEN {port_raw} RLIKE '^[0-9]+$' THEN try_cast({port_raw} AS DECIMAL(38,0)) END)"
     default_port = case(*[(f"{scheme} = {lit(s)}", str(p)) for s, p in DEFAULT_PORTS])
     port_bad = f"({port_raw} <> '' AND ({port_num} IS NULL OR {port_num} > 65535 OR {scheme} = 'file'))"
     port = (f"CASE WHEN {port_raw} = '' OR {port_num} = {default_port} THEN '' "

@@ -71,7 +71,7 @@ def _attr_value_sql(attrs: str, name: str) -> str:
         names = f"transform(regexp_extract_all({a}, {lit(_ATTR)}, 1), {lam(lambda n: f'lower({n})')})"
 
         def pick(idx):
-            raw = f"element_at(regexp_extract_all({a}, {lit(_ATTR)}, 2), CAST(greatest({idx}, 1) AS INT))"
+            raw = f"try_element_at(regexp_extract_all({a}, {lit(_ATTR)}, 2), CAST(greatest({idx}, 1) AS INT))"
             unq = f"regexp_replace({raw}, {lit(_UNQUOTE)}, '$1$2')"
             return f"CASE WHEN {idx} > 0 THEN {decode_entities_sql(unq)} END"
         return let(f"array_position({names}, {lit(name)})", pick)
