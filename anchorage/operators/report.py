@@ -99,3 +99,15 @@ def settings_summary(s: Settings) -> str:
     return " • ".join([SORT_LABELS.get(s.sort_mode, SORT_LABELS["original"]), filters,
                        "regex on" if s.use_regex else "regex off",
                        "URL decoding on" if s.decode_urls else "URL decoding off"])
+
+
+def settings_summary_sql() -> str:
+    """G7 for a merged settings table (``operators.store.merge_settings``)."""
+    n = " + ".join(f"CASE WHEN trim({c}) <> '' THEN 1 ELSE 0 END" for c in (
+        "urlIncludePattern", "urlExcludePattern", "textIncludePattern", "textExcludePattern"))
+    sort = (f"CASE WHEN sortMode = 'alphabetical' THEN {lit(SORT_LABELS['alphabetical'])} "
+            f"ELSE {lit(SORT_LABELS['original'])} END")
+    filters = (f"CASE WHEN ({n}) = 0 THEN 'no active filters' WHEN ({n}) = 1 THEN '1 active filter' "
+               f"ELSE concat(CAST(({n}) AS STRING), ' active filters') END")
+    return (f"concat_ws(' • ', {sort}, {filters}, CASE WHEN useRegex THEN 'regex on' ELSE 'regex off' END, "
+            f"CASE WHEN decodeUrls THEN 'URL decoding on' ELSE 'URL decoding off' END)")

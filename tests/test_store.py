@@ -94,3 +94,14 @@ def test_settings_table(spark):
     assert flags == {"p3": (False, False), "p4": (True, False)}
     profiles = S.load_profiles(stored)
     assert profiles["p2"].url_include == "github" and profiles["p1"].sort_mode == "original"
+
+
+def test_settings_summary_table(spark):
+    from anchorage.operators.report import settings_summary, settings_summary_sql
+    stored = spark.createDataFrame([("p", "alphabetical", "a", " ", "b", True)],
+                                   "profile_id string, sortMode string, urlIncludePattern string, "
+                                   "urlExcludePattern string, textIncludePattern string, useRegex boolean")
+    got = S.merge_settings(stored).select(F.expr(settings_summary_sql())).first()[0]
+    assert got == "Alphabetical • 2 active filters • regex on • URL decoding off"
+    assert got == settings_summary(Settings(sort_mode="alphabetical", url_include="a", url_exclude=" ",
+                                            text_include="b", use_regex=True))
