@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _counter = itertools.count()
+_SIMPLE = re.compile(r"(`[^`]+`|[A-Za-z_]\w*)(\.[A-Za-z_]\w*)*")
 
 
 def lit(s) -> str:
@@ -40,6 +41,8 @@ def let(value: str, body) -> str:
     a value used several times is neither recomputed nor copied into the
     expression tree.
     """
+    if _SIMPLE.fullmatch(value.strip()):
+        return body(value.strip())  # a column or variable: nothing to bind
     v = var()
     return f"element_at(transform(array({value}), {v} -> {body(v)}), 1)"
 
