@@ -11,9 +11,9 @@ scheme-relative, path-absolute, path-relative, query-only, fragment-only
 and empty references, opaque schemes (mailto:, tel:, magnet:, ...),
 dot segments (also ``%2e``), backslashes in special URLs, default
 ports, credentials, ASCII host lower-casing, IPv4 number forms and
-percent-encoding per URL part.  Known gaps: internationalised host
-names are lower-cased but not converted to punycode, and IPv6 hosts are
-lower-cased but not re-compressed.
+percent-encoding per URL part, IPv6 serialisation.  Known gap:
+internationalised host names are lower-cased but not converted to
+punycode.
 """
 
 from __future__ import annotations
@@ -149,11 +149,68 @@ def _ipv4_number_sql(h: str) -> str:
     return let(f"transform({parts}, {lam(part_value)})", body)
 
 
+def _ipv6_sql(h: str) -> str:
+    """'[...]' host -> serialised IPv6 address ('[' + compressed + ']') or null.
+
+    Pieces of 1-4 hex digits, at most one '::', an optional dotted IPv4
+    tail (two pieces); serialised in lower-case hex without leading zeros,
+    the first longest run of two or more zero pieces written as '::'.
+    """
+    hexp = "'^[0-9A-Fa-f]{1,4}$'"
+
+    def body(inner):
+        def with_parts(parts):
+            has_dc = f"(size({parts}) = 2)"
+            left, right = f"element_at({parts}, 1)", f"CASE WHEN {has_dc} THEN element_at({parts}, 2) ELSE '' END"
+            lp = f"CASE WHEN {left} = '' THEN CAST(array() AS array<string>) ELSE split({left}, ':', -1) END"
+            rp = f"CASE WHEN {right} = '' THEN CAST(array() AS array<string>) ELSE split({right}, ':', -1) END"
+
+            def with_pieces(pc):
+                last = f"element_at({pc}, -1)"
+                v4 = f"({last} RLIKE {lit(_DOTTED_QUAD)})"
+                quad = f"transform(split({last}, {lit(chr(92) + '.')}), x -> CAST(x AS INT))"
+                v4_pieces = (f"array(element_at({quad}, 1) * 256 + element_at({quad}, 2), "
+                             f"element_at({quad}, 3) * 256 + element_at({quad}, 4))")
+                hex_part = f"CASE WHEN size({pc}) > 0 AND {v4} THEN slice({pc}, 1, size({pc}) - 1) ELSE {pc} END"
+                ok_hex = f"forall({hex_part}, x -> x RLIKE {hexp})"
+                vals = (f"concat(transform({hex_part}, x -> CAST(conv(x, 16, 10) AS INT)), "
+                        f"CASE WHEN size({pc}) > 0 AND {v4} THEN {v4_pieces} ELSE CAST(array() AS array<int>) END)")
+
+                def with_vals(vv):
+                    n = f"size({vv})"
+                    nl = f"size({lp})"
+                    full = (f"CASE WHEN {has_dc} THEN concat(slice({vv}, 1, {nl}), array_repeat(0, 8 - {n}), "
+                            f"slice({vv}, {nl} + 1, {n})) ELSE {vv} END")
+
+                    def ser(p8):
+                        runs = (f"transform(sequence(1, 8), i -> CASE WHEN element_at({p8}, i) = 0 THEN "
+                                f"coalesce(nullif(array_position(transform(slice({p8}, i, 9 - i), x -> x <> 0), true), 0) - 1, 9 - i) "
+                                f"ELSE 0 END)")
+
+                        def with_runs(rr):
+                            best = f"array_max({rr})"
+                            pos = f"array_position({rr}, {best})"
+                            hx = lambda arr: f"array_join(transform({arr}, x -> lower(hex(x))), ':')"
+                            compressed = (f"concat({hx(f'slice({p8}, 1, {pos} - 1)')}, '::', "
+                                          f"{hx(f'slice({p8}, {pos} + {best}, 9 - {pos} - {best})')})")
+                            return f"concat('[', CASE WHEN {best} >= 2 THEN {compressed} ELSE {hx(p8)} END, ']')"
+                        return let(runs, with_runs)
+                    valid = f"(({has_dc} AND {n} <= 7) OR (NOT {has_dc} AND {n} = 8))"
+                    return f"CASE WHEN {valid} THEN {let(full, ser)} END"
+                return f"CASE WHEN {ok_hex} THEN {let(vals, with_vals)} END"
+            return let(f"concat({lp}, {rp})", with_pieces)
+        shape = (f"({inner} RLIKE '^[0-9A-Fa-f:.]+$' AND NOT contains({inner}, ':::') "
+                 f"AND NOT {inner} RLIKE '::.*::' AND NOT {inner} RLIKE '^:[^:]' AND NOT {inner} RLIKE '[^:]:$')")
+        return f"CASE WHEN {shape} THEN {let(f'split({inner}, {lit(chr(58) * 2)}, -1)', with_parts)} END"
+    bracketed = lit(r"^\[.*\]$")
+    return let(f"CASE WHEN {h} RLIKE {bracketed} THEN substring({h}, 2, length({h}) - 2) END", body)
+
+
 def _canon_host_sql(host: str, scheme: str, special: str) -> str:
     """Host parser: the serialised host, or null on failure."""
     def body(h):
         bracket = f"startswith({h}, '[')"
-        ipv6 = f"CASE WHEN {h} RLIKE {lit(r'^\[[0-9A-Fa-f:.]+\]$')} THEN lower({h}) END"
+        ipv6 = _ipv6_sql(h)
 
         def special_host(dom):
             last_label = f"regexp_extract({dom}, {lit(r'([^.]*)\.?$')}, 1)"

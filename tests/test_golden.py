@@ -184,3 +184,13 @@ def test_entry_smoke(spark):
     df = m.entry(spark)
     assert df.count() > 0
     assert set(m.queries()) == set(m.oracle_sql())
+
+
+def test_ipv6_hosts(spark):
+    cases = [("http://[0:0:0:0:0:0:0:1]/x", "http://[::1]/x"),
+             ("http://[2001:DB8:0:0:1:0:0:1]/", "http://[2001:db8::1:0:0:1]/"),
+             ("http://[::ffff:1.2.3.4]/", "http://[::ffff:102:304]/"),
+             ("http://[1:0:0:2:0:0:0:3]/", "http://[1:0:0:2::3]/"),
+             ("http://[1::2::3]/", None), ("http://[g::1]/", None)]
+    df = spark.createDataFrame(cases, "h string, e string")
+    assert [r.g for r in df.select(U.resolve("h").alias("g")).collect()] == [e for _, e in cases]
