@@ -36,10 +36,13 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     and registered, so ``checkpoint()`` and stream checkpoints agree.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
     if not root:
-        root = sc.getCheckpointDir()
-    if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="anchorage-"))
-        root = sc.getCheckpointDir()
+        try:
+            sc = spark.sparkContext
+            root = sc.getCheckpointDir()
+            if not root:
+                sc.setCheckpointDir(tempfile.mkdtemp(prefix="anchorage-"))
+                root = sc.getCheckpointDir()
+        except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): local test folder
+            root = tempfile.mkdtemp(prefix="anchorage-")
     return "/".join([root.rstrip("/"), *parts, uuid.uuid4().hex])

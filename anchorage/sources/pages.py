@@ -40,10 +40,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cluster has task slots (e.g. one parquet row group), so the scan runs
     in parallel.  Large inputs already come in many splits and are left
     alone: no shuffle of raw HTML at scale."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots, key)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect)
+        return df
+    return df.repartition(slots, key) if splits < slots else df
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
