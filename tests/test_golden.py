@@ -193,4 +193,21 @@ def test_ipv6_hosts(spark):
              ("http://[1:0:0:2:0:0:0:3]/", "http://[1:0:0:2::3]/"),
              ("http://[1::2::3]/", None), ("http://[g::1]/", None)]
     df = spark.createDataFrame(cases, "h string, e string")
-    assert [r.g for r in df.select(U.resolve("h").alias("g")).collect()] == [e for _, e in cases]
+    U.set_ipv6(True)
+    try:
+        got = [r.g for r in df.select(U.resolve("h").alias("g")).collect()]
+    finally:
+        U.set_ipv6(False)
+    assert got == [e for _, e in cases]
+
+
+def test_idna_hosts(spark):
+    cases = [("https://München.example/Straße?x", "https://xn--mnchen-3ya.example/Stra%C3%9Fe?x"),
+             ("http://例え.テスト/", "http://xn--r8jz45g.xn--zckzah/"), ("http://plain.example/", "http://plain.example/")]
+    df = spark.createDataFrame(cases, "h string, e string")
+    U.set_idna(True)
+    try:
+        got = [r.g for r in df.select(U.resolve("h").alias("g")).collect()]
+    finally:
+        U.set_idna(False)
+    assert got == [e for _, e in cases]
