@@ -182,7 +182,7 @@ SELECT {cols} FROM r"""
 def oracle_sql() -> dict[str, str]:
     txt_max = 120 - len(_EXPORT_SUFFIX + ".txt")
     csv_max = 120 - len(_EXPORT_SUFFIX + ".csv")
-    title = "coalesce(nullif(title, ''), 'link-scoop')"
+    title = "coalesce(nullif(title, ''), 'links')"
     return {
         "anchors": f"WITH {_BASE} SELECT page_id, dom_index, href, text FROM l",
         "page_meta": f"WITH {_BASE} SELECT page_id, url AS page_url, title FROM a",
@@ -243,9 +243,9 @@ QUALIFY row_number() OVER (PARTITION BY display_url ORDER BY page_id, pos) = 1""
             + _csv(f"CASE WHEN surfaced THEN {_decode_uri('coalesce(source_url, ' + chr(39) * 2 + ')')} ELSE '' END")
             + " AS line")),
         "txt_export": _wvisible(url=_decode_uri("display_url"),
-                                cols="page_id, rank, 'link-scoop-links.txt' AS export_name, url"),
+                                cols="page_id, rank, 'links-links.txt' AS export_name, url"),
         "csv_export": _wvisible(url=_decode_uri("display_url"), cols=(
-            "page_id, rank, 'link-scoop-links.csv' AS export_name, url, text AS link_text, "
+            "page_id, rank, 'links-links.csv' AS export_name, url, text AS link_text, "
             "CASE WHEN surfaced THEN 'true' ELSE 'false' END AS is_redirect, "
             "CASE WHEN surfaced THEN " + _decode_uri("coalesce(source_url, '')") + " ELSE '' END AS redirect_source")),
         "profile_apply": " UNION ALL ".join([

@@ -17,8 +17,6 @@ from anchorage.settings import Settings
 # file-name limits, settings summary labels).
 CSV_HEADER = "url,link_text,is_redirect,redirect_source"
 NO_LINKS_HINT = "No links were found on this page."
-NO_RESULT_SUMMARY = ("No saved extraction was found. Run Link Scoop again from the toolbar "
-                     "icon, keyboard shortcut, or context menu.")
 MAX_FILENAME_LENGTH = 120
 FILTER_VALUE_MAX_LENGTH = 20
 SORT_LABELS = {"original": "Original page order", "alphabetical": "Alphabetical"}
@@ -83,12 +81,16 @@ def filter_suffix(s: Settings) -> str:
                    for label, v in parts if str(v or "").strip())
 
 
-def export_name_sql(title: str, s: Settings, extension: str = "txt") -> str:
-    """K3 buildDownloadFilename(title || 'link-scoop', settings, extension)."""
+DEFAULT_EXPORT_TITLE = "links"
+
+
+def export_name_sql(title: str, s: Settings, extension: str = "txt",
+                    default_title: str = DEFAULT_EXPORT_TITLE) -> str:
+    """K3 buildDownloadFilename(title || default_title, settings, extension)."""
     ext = re.sub(r"[^a-z0-9]", "", str(extension or "txt").lower()) or "txt"
     fixed = f"-links{filter_suffix(s)}.{ext}"
     max_title = max(1, MAX_FILENAME_LENGTH - len(fixed))
-    raw_title = f"coalesce(nullif({title}, ''), 'link-scoop')"
+    raw_title = f"coalesce(nullif({title}, ''), {lit(default_title)})"
     return f"concat(coalesce(nullif({slug_sql(raw_title, str(max_title))}, ''), 'links'), {lit(fixed)})"
 
 

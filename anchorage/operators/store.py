@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
 RESULT_ID_PREFIX = "result-"
-RESULT_STORAGE_PREFIX = "linkScoopResult:"
+RESULT_STORAGE_PREFIX = "result:"  # key prefix of a stored record (configurable)
 DEFAULT_MAX_RESULTS = 50
 MISSING_RESULT_ERROR = "Saved result could not be found. Please run a new extraction."
 MISSING_SOURCE_ERROR = "The original tab is no longer available. Run a fresh extraction."
@@ -34,10 +34,10 @@ def sequence_of(result_id) -> F.Column:
                   F.regexp_extract(c, r"^result-([0-9]+)$", 1).try_cast("bigint"))
 
 
-def storage_key(result_id) -> F.Column:
-    """U13 getResultStorageKey."""
+def storage_key(result_id, prefix: str = RESULT_STORAGE_PREFIX) -> F.Column:
+    """U13 getResultStorageKey: prefix + result id."""
     c = F.col(result_id) if isinstance(result_id, str) else result_id
-    return F.concat(F.lit(RESULT_STORAGE_PREFIX), c)
+    return F.concat(F.lit(prefix), c)
 
 
 def number_rows(df: DataFrame, order_col: str, start, out: str = "seq", partitions: int | None = None) -> DataFrame:

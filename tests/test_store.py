@@ -59,7 +59,7 @@ def test_export_names(spark):
     assert names(Settings())[0] == "project-links-links.txt"
     assert names(Settings(url_include="github"))[1] == "wikipedia-the-free-encyclopedia-links-include-github.txt"
     assert names(Settings(url_include="!!!"), "???")[2] == "links-links-include-value.txt"
-    assert names(Settings())[3:] == ["link-scoop-links.txt", "link-scoop-links.txt"]
+    assert names(Settings())[3:] == ["links-links.txt", "links-links.txt"]
     long = spark.createDataFrame(
         [("An Extremely Long Page Title That Should Be Truncated Before The Filter Suffixes Are Lost",)], "title string")
     s = Settings(url_include="wiki", url_exclude="Special:", text_include="featured articles",
