@@ -18,6 +18,7 @@ def _plan(df):
 
 
 def test_one_exchange(spark):
+    spark.catalog.clearCache()  # other modules cache these frames
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         # snapshots: exactly the one page_id exchange of the entries builder
