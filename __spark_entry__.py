@@ -20,6 +20,15 @@ from anchorage.plans.visible import visible_links  # noqa: E402
 from anchorage.plans.catalog import page_entries  # noqa: E402
 from anchorage.settings import Settings  # noqa: E402
 
+# The training-data operators are an optional part: without their folder and
+# corpus_pipeline.py the rest works alone.  Other import errors still surface.
+try:
+    from anchorage.llm.catalog import ORACLE_SQL as LLM_ORACLE_SQL, QUERIES as LLM_QUERIES  # noqa: E402
+except ModuleNotFoundError as missing:
+    if not str(missing.name).startswith(("anchorage.llm", "corpus_pipeline")):
+        raise
+    LLM_QUERIES, LLM_ORACLE_SQL = {}, {}
+
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: visible links of every page at sf0.001."""
@@ -27,7 +36,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {**QUERIES, **LLM_QUERIES}
 
 
 # --- DuckDB oracle -------------------------------------------------------------------
@@ -288,4 +297,5 @@ SELECT sequence, result_id, source_id FROM saved
 WHERE result_id NOT IN (SELECT result_id FROM c WHERE rk <= (SELECT count(*) FROM saved) - 50)""",
         "results_lookup": f"""{_SAVED}
 SELECT result_id, sequence, source_id, page_url FROM saved ORDER BY sequence DESC LIMIT 1""",
+        **LLM_ORACLE_SQL,
     }

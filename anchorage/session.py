@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used when ``spark.checkpoint.dir`` is unset and the master is one local JVM.
+LOCAL_SHARED = os.path.join(tempfile.gettempdir(), "anchorage-shared")
 
 
 def get_spark(cpus: int | str = "*", app: str = "anchorage") -> SparkSession:
@@ -29,20 +34,28 @@ def get_spark(cpus: int | str = "*", app: str = "anchorage") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder under the folder that ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only when no
-    checkpoint folder is known (local tests) a temporary one is created
-    and registered, so ``checkpoint()`` and stream checkpoints agree.
+    The setting is required: intermediate tables must be seen by every
+    executor.  Only a single local JVM (``local`` / ``local[n]``), where all
+    tasks share one disk, may leave it unset; any other master raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        try:
-            sc = spark.sparkContext
-            root = sc.getCheckpointDir()
-            if not root:
-                sc.setCheckpointDir(tempfile.mkdtemp(prefix="anchorage-"))
-                root = sc.getCheckpointDir()
-        except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): local test folder
-            root = tempfile.mkdtemp(prefix="anchorage-")
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(
+                "spark.checkpoint.dir must name a folder that the driver and all executors share "
+                f"(master is {master!r})")
+        root = LOCAL_SHARED
     return "/".join([root.rstrip("/"), *parts, uuid.uuid4().hex])
+
+
+def materialize(df: DataFrame, *parts: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back.
+
+    Cuts the lineage: later stages read files that outlive any executor.
+    """
+    path = shared_dir(df.sparkSession, *parts)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
