@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from anchorage.llm import repetition
+from anchorage.llm import mixing, packing, repetition, spotsigs, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_source_mixing": mixing.op2_source_mixing,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op6_spotsigs": spotsigs.op6_spotsigs,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op10_quality_rules": repetition.op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op2_source_mixing": mixing.OP2_SQL,
+    "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op10_quality_rules": repetition.OP10_SQL,
 }
