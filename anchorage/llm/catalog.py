@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from anchorage.llm import mixing, packing, repetition, spotsigs, substring_dedup, toxicity
+from anchorage.llm import mixing, packing, pii, repetition, secrets, spotsigs, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op5_secret_scans": secrets.op5_secret_scans,
     "op6_spotsigs": spotsigs.op6_spotsigs,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op9_pii": pii.op9_pii,
     "op10_quality_rules": repetition.op10_quality_rules,
 }
 
