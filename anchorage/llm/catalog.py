@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from anchorage.llm import mixing, packing, pii, repetition, secrets, spotsigs, substring_dedup, toxicity
+from anchorage.llm import jaccard_join, mixing, packing, pii, repetition, secrets, spotsigs, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_ngram_jaccard_join": jaccard_join.op4_ngram_jaccard_join,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_spotsigs": spotsigs.op6_spotsigs,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_source_mixing": mixing.OP2_SQL,
+    "op4_ngram_jaccard_join": jaccard_join.OP4_SQL,
     "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op10_quality_rules": repetition.OP10_SQL,
 }
