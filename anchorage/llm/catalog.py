@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from anchorage.llm import jaccard_join, mixing, packing, pii, repetition, secrets, spotsigs, substring_dedup, toxicity
+import corpus_pipeline
+from anchorage.llm import chat, jaccard_join, mixing, packing, pii, repetition, secrets, spotsigs, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,13 +13,16 @@ QUERIES = {
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_spotsigs": spotsigs.op6_spotsigs,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": repetition.op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
     "op2_source_mixing": mixing.OP2_SQL,
     "op4_ngram_jaccard_join": jaccard_join.OP4_SQL,
     "op7_substring_dedup": substring_dedup.OP7_SQL,
+    "op8_chat_formatting": chat.OP8_SQL,
     "op10_quality_rules": repetition.OP10_SQL,
 }
