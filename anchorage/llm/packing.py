@@ -139,7 +139,7 @@ def reduce(counts: dict[int, int], capacity: int) -> list[Pattern]:
     def others(long: int) -> tuple[int, int, int]:
         """The three smallest pieces beside one of ``long``; capacity + 1 where there is none."""
         found: list[int] = []
-        for x in present[:3]:
+        for x in present[:4]:
             found += [x] * min(3, counts[x] - (x == long))
         return tuple((found + [capacity + 1] * 3)[:3])
 
