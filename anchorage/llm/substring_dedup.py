@@ -52,6 +52,15 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
+def _distinct(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, hash) pairs, in order."""
+    order = np.lexsort((hashes, doc))
+    doc, hashes = doc[order], hashes[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+    return doc[new], hashes[new]
+
+
 def _lists(groups: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     """A list for each of ``n`` groups, of the values of sorted ``groups``."""
     offsets = np.searchsorted(groups, np.arange(n + 1)).astype(np.int32)
@@ -100,13 +109,11 @@ def short_windows(docs: DataFrame, window: int) -> DataFrame:
         for batch in source:
             for lo, hi, words in sliced(batch.column(1)):
                 at, hashes, _ = _short(words, window)
-                doc = words.doc[at]
-                both = np.unique(np.stack([doc.astype(np.uint64), hashes]), axis=1) if len(at) else np.zeros((2, 0), np.uint64)
                 long = np.diff(words.first) >= window
-                found = both[:, long[both[0].astype(np.int64)]]
+                at, hashes = at[long[words.doc[at]]], hashes[long[words.doc[at]]]
                 out = pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), _signed(_whole_hash(words)),
-                     _lists(found[0].astype(np.int64), np.ascontiguousarray(found[1]), hi - lo)], names=["doc_id", "whole", "hashes"])
+                     _lists(*_distinct(words.doc[at], hashes), hi - lo)], names=["doc_id", "whole", "hashes"])
                 yield out.filter(pa.array(long))
 
     return docs.mapInArrow(batches, "doc_id long, whole long, hashes array<long>")
@@ -123,9 +130,9 @@ def extended(docs: DataFrame, window: int) -> DataFrame:
                 near = covered(len(words), np.maximum(at - (window - half), 0), window - half + 1)
                 at, hashes = words.windows(window)
                 near = near[at]
+                doc, hashes = _distinct(words.doc[at[near]], hashes[near])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).take(pa.array(words.doc[at[near]])), _signed(hashes[near])],
-                    names=["doc_id", "hash"])
+                    [batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), _signed(hashes)], names=["doc_id", "hash"])
 
     return docs.mapInArrow(batches, "doc_id long, hash long")
 
@@ -180,7 +187,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = short.join(copies.withColumnRenamed("hash", "whole"), ["doc_id", "whole"], "left_anti")
     halves = _repeated(own.select(F.explode("hashes").alias("hash"), "doc_id"))
     dealt = known.repartition(n, "doc_id")  # the one shuffle of texts, for both joins
-    full = _repeated(extended(dealt.join(_per_document(halves), "doc_id"), window).distinct())
+    full = _repeated(extended(dealt.join(_per_document(halves), "doc_id"), window))
     found = _per_document(full.where("doc_id > first").select("doc_id", "hash").unionByName(copies))
     none = F.array().cast("array<long>")
     return remaining(dealt.join(found, "doc_id", "left").withColumn("hashes", F.coalesce("hashes", none))
