@@ -188,6 +188,20 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY {order}) A
 SELECT {cols} FROM r"""
 
 
+_SETTINGS = """
+e AS (
+  SELECT user_id, event_type, regexp_extract(props, '([0-9]+)', 1) AS n, value FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+m AS (
+  SELECT user_id AS profile_id, CASE event_type WHEN 'click' THEN 'alphabetical' ELSE 'original' END AS sortMode,
+         CASE event_type WHEN 'signup' THEN 'dark' ELSE 'system' END AS themeMode,
+         CASE WHEN n::INT % 3 = 0 THEN n ELSE chr(9) || ' ' END AS urlIncludePattern,
+         CASE WHEN n::INT % 2 = 0 THEN 'local, ' || n ELSE '' END AS urlExcludePattern,
+         CASE WHEN n::INT % 5 = 0 THEN 'item' ELSE '' END AS textIncludePattern, '' AS textExcludePattern,
+         coalesce(value > 20, false) AS useRegex, coalesce(value - 5 <> 0, false) AS decodeUrls
+  FROM e)"""
+
+
 def oracle_sql() -> dict[str, str]:
     txt_max = 120 - len(_EXPORT_SUFFIX + ".txt")
     csv_max = 120 - len(_EXPORT_SUFFIX + ".csv")
@@ -204,7 +218,7 @@ def oracle_sql() -> dict[str, str]:
         "filter_url_exclude": _visible("NOT (contains(lower(display_url), 'the') OR contains(lower(display_url), 'er'))"),
         "filter_text_terms": _visible("contains(lower(text), 'ou') OR contains(lower(text), 'th')"),
         "filter_text_exclude": _visible("NOT contains(lower(text), 'e')"),
-        "filter_regex": _visible("regexp_matches(display_url, '/[a-z]{2,4}$', 'i')"),
+        "filter_regex": _visible(r"regexp_matches(display_url, '/[a-z]{2,4}$|a\{|\[', 'i')"),
         "decode_urls": _visible(url="url_decode(display_url)"),
         "page_report": _report("contains(lower(text), 'the')", ": Text include"),
         "filter_invalid_regex": f"""SELECT page_id, n_visible, hint, message FROM ({_report(
@@ -251,6 +265,35 @@ QUALIFY row_number() OVER (PARTITION BY display_url ORDER BY page_id, pos) = 1""
             + " || ',' || CASE WHEN surfaced THEN 'true' ELSE 'false' END || ',' || "
             + _csv(f"CASE WHEN surfaced THEN {_decode_uri('coalesce(source_url, ' + chr(39) * 2 + ')')} ELSE '' END")
             + " AS line")),
+        "snapshot_source": f"""WITH {_BASE}
+SELECT a.page_id, a.url AS page_url, CASE WHEN a.page_id % 4 = 2 THEN '' ELSE a.title END AS title,
+       CASE WHEN a.page_id % 4 = 0 THEN dom_index * 10 ELSE dom_index END AS dom_index, href,
+       CASE WHEN a.page_id % 4 = 3 AND href IS NOT NULL THEN '' ELSE text END AS text
+FROM a LEFT JOIN l ON l.page_id = a.page_id AND a.page_id % 8 <> 5""",
+        "settings_merge": f"WITH {_SETTINGS} SELECT * FROM m",
+        "settings_summary": f"""WITH {_SETTINGS},
+c AS (
+  SELECT *, CAST(urlIncludePattern NOT IN ('', chr(9) || ' ') AS INT) + CAST(urlExcludePattern <> '' AS INT)
+            + CAST(textIncludePattern <> '' AS INT) AS n FROM m)
+SELECT profile_id, concat_ws(' • ',
+    CASE sortMode WHEN 'alphabetical' THEN 'Alphabetical' ELSE 'Original page order' END,
+    CASE n WHEN 0 THEN 'no active filters' WHEN 1 THEN '1 active filter' ELSE n || ' active filters' END,
+    CASE WHEN useRegex THEN 'regex on' ELSE 'regex off' END,
+    CASE WHEN decodeUrls THEN 'URL decoding on' ELSE 'URL decoding off' END) AS summary
+FROM c""",
+        "html_variants": """
+SELECT page_id, 'https://site.example/c/' AS page_url, 'Té ' || chr(CAST(page_id % 90 + 33 AS INT)) || ' A' AS title, 0::BIGINT AS dom_index,
+       'https://site.example/c/x?a=1&copy=' || page_id || '&copy=2' AS display_url, 'one <b>' AS text
+FROM pages WHERE page_id % 3 = 0
+UNION ALL
+SELECT page_id, 'https://site.example/a/b', page_id::VARCHAR, NULL, NULL, NULL FROM pages WHERE page_id % 3 = 1
+UNION ALL
+SELECT page_id, 'https://site.example/a/b', '', k, CASE k
+         WHEN 0 THEN 'https://xn--mnchen-3ya.example/' || page_id
+         WHEN 1 THEN 'http://[2001:db8::' || CASE page_id % 10 WHEN 0 THEN '' ELSE (page_id % 10)::VARCHAR END || ']/'
+         ELSE 'http://127.0.0.1/' || page_id END,
+       CASE k WHEN 0 THEN 'idn' WHEN 1 THEN 'six' ELSE '’four' END
+FROM pages, range(3) r(k) WHERE page_id % 3 = 2""",
         "txt_export": _wvisible(url=_decode_uri("display_url"),
                                 cols="page_id, rank, 'links-links.txt' AS export_name, url"),
         "csv_export": _wvisible(url=_decode_uri("display_url"), cols=(

@@ -1,9 +1,8 @@
 """Redirect surfacing (rules rC1-rC6) as SQL expressions.
 
 A link URL is parsed once; its query string and, if the fragment holds
-``=``, its fragment are read as form-encoded parameter lists.  Values of
-redirect keys are tried raw, then decoded, resolved against the link,
-and the surviving targets are de-duplicated in first-seen order.
+``=``, its fragment are read as form-encoded parameter lists.  The values of
+redirect keys are candidates; ``operators.entries`` resolves them.
 """
 
 from __future__ import annotations
@@ -13,12 +12,10 @@ from pyspark.sql import functions as F
 
 from anchorage.functions.sql import arg, lam, let, lit, nest, struct
 from anchorage.functions.urls import (
-    REDIRECT_KEYS, decode_component_sql, form_decode_sql, in_list, is_skipped_sql,
-    js_trim_sql, parse_url_sql, serialize_url_sql,
+    REDIRECT_KEYS, form_decode_sql, in_list, parse_url_sql,
 )
 
 PARAM_TYPE = "array<struct<key:string,value:string>>"
-EMPTY_STRINGS = "CAST(array() AS array<string>)"
 QMARK_PREFIX = r"^\?"
 
 
@@ -50,45 +47,6 @@ def redirect_candidates_sql(u: str) -> str:
     return f"transform(filter({url_params_sql(u)}, {keep}), {lam(lambda p: f'{p}.value')})"
 
 
-def _try_candidate_sql(cand: str, link: str) -> str:
-    def body(c):
-        resolved = let(serialize_url_sql(nest(parse_url_sql(c, link))),
-                       lambda r: f"CASE WHEN {r} IS NOT NULL AND NOT {is_skipped_sql(r)} THEN {r} END")
-        return f"CASE WHEN {c} <> '' AND NOT {is_skipped_sql(c)} THEN {resolved} END"
-    return let(js_trim_sql(cand), body)
-
-
-def normalize_candidate_sql(value: str, link: str) -> str:
-    """The raw value first, then its decoded form; the first that resolves."""
-    return let(value, lambda v: f"coalesce({_try_candidate_sql(v, link)}, "
-                                f"{_try_candidate_sql(decode_component_sql(v), link)})")
-
-
-def redirect_targets_sql(url: str, parsed: str) -> str:
-    """Hidden targets of a link (its URL string and parsed struct).
-
-    Links whose query and fragment hold no '=' cannot carry a target and
-    skip the parameter work.
-    """
-    cands = f"transform({redirect_candidates_sql(parsed)}, {lam(lambda v: normalize_candidate_sql(v, parsed))})"
-    targets = f"array_distinct(filter({cands}, {lam(lambda t: f'{t} IS NOT NULL AND {t} <> {url}')}))"
-    maybe = (f"(contains(coalesce({parsed}.query, ''), '=') OR "
-             f"contains(coalesce({parsed}.fragment, ''), '='))")
-    return f"CASE WHEN {maybe} THEN {targets} ELSE {EMPTY_STRINGS} END"
-
-
-def extract_redirect_targets_sql(url: str) -> str:
-    """extractRedirectTargets(url): [] when the URL does not parse."""
-    def body(x):
-        return (f"CASE WHEN {x}.p IS NULL THEN {EMPTY_STRINGS} "
-                f"ELSE {redirect_targets_sql(f'{x}.u', f'{x}.p')} END")
-    return let(struct(u=url, p=nest(parse_url_sql(url))), body)
-
-
 def redirect_params(c) -> Column:
     """All query + fragment parameters of a URL string column."""
     return F.expr(let(nest(parse_url_sql(arg(c))), lambda p: f"CASE WHEN {p} IS NULL THEN CAST(array() AS {PARAM_TYPE}) ELSE {url_params_sql(p)} END"))
-
-
-def extract_redirect_targets(c) -> Column:
-    return F.expr(extract_redirect_targets_sql(arg(c)))

@@ -75,8 +75,8 @@ def nest(x) -> str:
 def run_steps(df, x, out: str):
     """Evaluate a step chain on ``df`` as projections; adds column ``out``.
 
-    The chain becomes one SQL statement of nested projections over a
-    temporary view of ``df`` (analysed once).  A struct-valued stage is
+    The chain becomes one SQL statement of nested projections over
+    ``df`` (analysed once).  A struct-valued stage is
     stored as one flat column per field (``stage.field`` references are
     rewritten to them): the optimizer then keeps expensive values that are
     read several times in their own projection instead of inlining copies.
@@ -86,9 +86,7 @@ def run_steps(df, x, out: str):
     def flat(text: str) -> str:
         return pattern.sub(lambda m: f"`{m.group(1)}__{m.group(2)}`", text)
 
-    view = f"_anchorage_{next(_counter)}"
-    df.createOrReplaceTempView(view)
-    sql = f"SELECT * FROM {view}"
+    sql = "SELECT * FROM {src}"
     k = 0
     while isinstance(x, Step):
         name = f"__{out}_{k}"
@@ -101,7 +99,8 @@ def run_steps(df, x, out: str):
         x = x.body(col(name))
     keep = ", ".join(col(c) for c in df.columns if c != out)
     sql = f"SELECT {keep}{', ' if keep else ''}{flat(x)} AS {col(out)} FROM ({sql})"
-    return df.sparkSession.sql(sql)
+    # the frame is passed as an argument: no view stays behind
+    return df.sparkSession.sql(sql.replace("{", "{{").replace("}", "}}").replace("{{src}}", "{src}"), src=df)
 
 
 def lam(body, n: int = 1) -> str:

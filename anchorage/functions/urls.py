@@ -11,12 +11,11 @@ scheme-relative, path-absolute, path-relative, query-only, fragment-only
 and empty references, opaque schemes (mailto:, tel:, magnet:, ...),
 dot segments (also ``%2e``), backslashes in special URLs, default
 ports, credentials, ASCII host lower-casing, IPv4 number forms and
-percent-encoding per URL part.  Two host rules are switches, off by
-default because their nested folds cost seconds of planning per parser
-pass: ``set_ipv6(True)`` serialises IPv6 hosts (otherwise they are kept
-lower-cased) and ``set_idna(True)`` converts internationalised host names
-to punycode per label (otherwise they are lower-cased; other UTS #46
-mappings and Unicode normalisation are not applied).
+percent-encoding per URL part, Windows drive letters of file URLs.  IPv6
+hosts are serialised with plain string functions; internationalised host
+names become punycode through the JVM's ``java.net.IDN`` (IDNA 2003 with
+unassigned code points allowed: unlike UTS #46 it maps U+00DF to ``ss``
+and final sigma to sigma, and a label of more than 63 characters fails).
 """
 
 from __future__ import annotations
@@ -24,7 +23,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from anchorage.functions.idna import domain_to_ascii_sql
 from anchorage.functions.sql import Sql, arg, case, lam, let, lit, nest, run_steps, step, struct
 
 # ---------------------------------------------------------------------------
@@ -59,22 +57,6 @@ _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _DOTTED_QUAD = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
 BIG = "1073741824"
 
-# Internationalised host names -> punycode (``functions.idna``).  Off by
-# default: the encoder's nested folds add several seconds of planning per
-# URL-parser pass, and the test pages hold ASCII hosts only.
-# IPv6 hosts -> compressed serialisation (``_ipv6_sql``).  Also off by
-# default for the same planning cost; when off, a bracketed host of hex
-# digits, ':' and '.' is kept lower-cased.
-OPTIONS = {"idna": False, "ipv6": False}
-
-
-def set_idna(enabled: bool) -> None:
-    OPTIONS["idna"] = bool(enabled)
-
-
-def set_ipv6(enabled: bool) -> None:
-    OPTIONS["ipv6"] = bool(enabled)
-
 URL_TYPE = (
     "struct<scheme:string,special:boolean,has_auth:boolean,userinfo:string,"
     "host:string,port:string,path:string,query:string,fragment:string,opaque:boolean>"
@@ -114,13 +96,17 @@ def pct_encode_sql(x: str, charset: str) -> str:
     return let(x, body)
 
 
-def _remove_dot_segments_sql(x: str) -> str:
-    """Path state of the URL parser for a path starting with '/'."""
+_DRIVE = "'^[A-Za-z][:|]$'"
+
+
+def _remove_dot_segments_sql(x: str, is_file: str) -> str:
+    """Path state of the URL parser for a path starting with '/'.  In file URLs a leading drive letter is never removed."""
     def body(p):
         def fold(segs):
             def step(acc, e):
                 seg = f"lower({e}.s)"
-                popped = f"CASE WHEN size({acc}) > 0 THEN slice({acc}, 1, size({acc}) - 1) ELSE {acc} END"
+                drive = f"({is_file} AND size({acc}) = 1 AND {acc}[0] RLIKE {_DRIVE})"
+                popped = f"CASE WHEN size({acc}) > 0 AND NOT {drive} THEN slice({acc}, 1, size({acc}) - 1) ELSE {acc} END"
                 return case(
                     (f"{seg} IN ('..', '.%2e', '%2e.', '%2e%2e')",
                      f"CASE WHEN {e}.last THEN concat({popped}, array('')) ELSE {popped} END"),
@@ -143,9 +129,10 @@ def _ipv4_number_sql(h: str) -> str:
     def part_value(p):
         digits = f"substring({p}, 3, {BIG})"
         return "try_cast(" + case(
-            (f"{p} RLIKE '^0[xX][0-9a-fA-F]*$'",
-             f"CASE WHEN {digits} = '' THEN '0' ELSE conv({digits}, 16, 10) END"),
-            (f"{p} RLIKE '^0[0-7]+$'", f"conv({p}, 8, 10)"),
+            # more than 8 hex or 11 octal digits exceed 32 bits: null, an invalid host
+            (f"{p} RLIKE '^0[xX]0*[0-9a-fA-F]{{0,8}}$'",
+             f"CASE WHEN {digits} = '' THEN '0' ELSE conv(regexp_replace({digits}, '^0+(?=.)', ''), 16, 10) END"),
+            (f"{p} RLIKE '^0+[0-7]{{0,11}}$'", f"conv(regexp_replace({p}, '^0+(?=.)', ''), 8, 10)"),
             (f"{p} RLIKE '^(0|[1-9][0-9]*)$'", p),
         ) + " AS DECIMAL(38,0))"
 
@@ -169,97 +156,71 @@ def _ipv4_number_sql(h: str) -> str:
     return let(f"transform({parts}, {lam(part_value)})", body)
 
 
-def _ipv6_sql(h: str) -> str:
-    """'[...]' host -> serialised IPv6 address ('[' + compressed + ']') or null.
+def _ipv6_groups_sql(h: str) -> str:
+    """'[...]' host -> its eight groups as ':0:...:1:', lower-case hex without leading zeros; null if invalid.
 
-    Pieces of 1-4 hex digits, at most one '::', an optional dotted IPv4
-    tail (two pieces); serialised in lower-case hex without leading zeros,
-    the first longest run of two or more zero pieces written as '::'.
+    Groups of 1-4 hex digits, at most one '::' (for one group or more), an optional dotted IPv4 tail.
     """
-    hexp = "'^[0-9A-Fa-f]{1,4}$'"
-
-    def body(inner):
-        def with_parts(parts):
-            has_dc = f"(size({parts}) = 2)"
-            left, right = f"element_at({parts}, 1)", f"CASE WHEN {has_dc} THEN element_at({parts}, 2) ELSE '' END"
-            lp = f"CASE WHEN {left} = '' THEN CAST(array() AS array<string>) ELSE split({left}, ':', -1) END"
-            rp = f"CASE WHEN {right} = '' THEN CAST(array() AS array<string>) ELSE split({right}, ':', -1) END"
-
-            def with_pieces(pc):
-                last = f"element_at({pc}, -1)"
-                v4 = f"({last} RLIKE {lit(_DOTTED_QUAD)})"
-                quad = f"transform(split({last}, {lit(chr(92) + '.')}), x -> CAST(x AS INT))"
-                v4_pieces = (f"array(element_at({quad}, 1) * 256 + element_at({quad}, 2), "
-                             f"element_at({quad}, 3) * 256 + element_at({quad}, 4))")
-                hex_part = f"CASE WHEN size({pc}) > 0 AND {v4} THEN slice({pc}, 1, size({pc}) - 1) ELSE {pc} END"
-                ok_hex = f"forall({hex_part}, x -> x RLIKE {hexp})"
-                vals = (f"concat(transform({hex_part}, x -> CAST(conv(x, 16, 10) AS INT)), "
-                        f"CASE WHEN size({pc}) > 0 AND {v4} THEN {v4_pieces} ELSE CAST(array() AS array<int>) END)")
-
-                def with_vals(vv):
-                    n = f"size({vv})"
-                    nl = f"size({lp})"
-                    full = (f"CASE WHEN {has_dc} THEN concat(slice({vv}, 1, {nl}), array_repeat(0, 8 - {n}), "
-                            f"slice({vv}, {nl} + 1, {n})) ELSE {vv} END")
-
-                    def ser(p8):
-                        runs = (f"transform(sequence(1, 8), i -> CASE WHEN element_at({p8}, i) = 0 THEN "
-                                f"coalesce(nullif(array_position(transform(slice({p8}, i, 9 - i), x -> x <> 0), true), 0) - 1, 9 - i) "
-                                f"ELSE 0 END)")
-
-                        def with_runs(rr):
-                            best = f"array_max({rr})"
-                            pos = f"array_position({rr}, {best})"
-                            hx = lambda arr: f"array_join(transform({arr}, x -> lower(hex(x))), ':')"
-                            compressed = (f"concat({hx(f'slice({p8}, 1, {pos} - 1)')}, '::', "
-                                          f"{hx(f'slice({p8}, {pos} + {best}, 9 - {pos} - {best})')})")
-                            return f"concat('[', CASE WHEN {best} >= 2 THEN {compressed} ELSE {hx(p8)} END, ']')"
-                        return let(runs, with_runs)
-                    valid = f"(({has_dc} AND {n} <= 7) OR (NOT {has_dc} AND {n} = 8))"
-                    return f"CASE WHEN {valid} THEN {let(full, ser)} END"
-                return f"CASE WHEN {ok_hex} THEN {let(vals, with_vals)} END"
-            return let(f"concat({lp}, {rp})", with_pieces)
-        shape = (f"({inner} RLIKE '^[0-9A-Fa-f:.]+$' AND NOT contains({inner}, ':::') "
-                 f"AND NOT {inner} RLIKE '::.*::' AND NOT {inner} RLIKE '^:[^:]' AND NOT {inner} RLIKE '[^:]:$')")
-        return f"CASE WHEN {shape} THEN {let(f'split({inner}, {lit(chr(58) * 2)}, -1)', with_parts)} END"
-    bracketed = lit(r"^\[.*\]$")
-    return let(f"CASE WHEN {h} RLIKE {bracketed} THEN substring({h}, 2, length({h}) - 2) END", body)
-
-
-def _canon_host_sql(host: str, scheme: str, special: str) -> str:
-    """Host parser: the serialised host, or null on failure."""
-    def body(h):
-        bracket = f"startswith({h}, '[')"
-        if OPTIONS["ipv6"]:
-            ipv6 = _ipv6_sql(h)
-        else:
-            ipv6 = f"CASE WHEN {h} RLIKE {lit(r'^\[[0-9A-Fa-f:.]+\]$')} THEN lower({h}) END"
-
-        def special_host(dom):
-            last_label = f"regexp_extract({dom}, {lit(r'([^.]*)\.?$')}, 1)"
-            ends_num = f"({last_label} RLIKE '^(0[xX][0-9a-fA-F]*|[0-9]+)$')"
-            return case(
-                (bracket, ipv6),
-                (f"{dom} IS NULL", "NULL"),
-                (f"{dom} RLIKE {lit(_FORBIDDEN_DOMAIN)}", "NULL"),
-                (f"{scheme} = 'file' AND {dom} = 'localhost'", "''"),
-                (f"{dom} = '' AND {scheme} <> 'file'", "NULL"),
-                (f"{ends_num} AND {dom} RLIKE {lit(_DOTTED_QUAD)}", dom),
-                (ends_num, _ipv4_number_sql(dom)),
-                otherwise=dom,
-            )
-        decoded = f"CASE WHEN contains({h}, '%') THEN try_url_decode(replace({h}, '+', '%2B')) ELSE {h} END"
-        opaque_host = case(
-            (bracket, ipv6),
-            (f"{h} RLIKE {lit(_FORBIDDEN_HOST)}", "NULL"),
-            otherwise=pct_encode_sql(h, C0_SET),
-        )
-        if OPTIONS["idna"]:
-            ascii_host = let(f"lower({decoded})", lambda d: let(domain_to_ascii_sql(d), special_host))
-        else:
-            ascii_host = let(f"lower({decoded})", special_host)
-        return f"CASE WHEN {special} THEN {ascii_host} ELSE {opaque_host} END"
-    return let(host, body)
+    inner = f"lower(substring({h}, 2, length({h}) - 2))"
+    tail = lit(rf"^(.*:){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$")
+
+    def pair(v, k):
+        octets = [f"CAST(regexp_extract({v}, {tail}, {n}) AS INT)" for n in (k, k + 1)]
+        return f"hex({octets[0]} * 256 + {octets[1]})"
+
+    def plain(v):
+        quad = f"concat(regexp_extract({v}, {tail}, 1), {pair(v, 2)}, ':', {pair(v, 4)})"
+        return f"CASE WHEN {v} RLIKE {tail} THEN lower({quad}) ELSE {v} END"
+
+    def expand(v):
+        groups = f"size(filter(split({v}, ':', -1), x -> x <> ''))"
+        left, right = (f"regexp_extract({v}, '^(.*)::(.*)$', {k})" for k in (1, 2))
+        full = (f"concat_ws(':', nullif({left}, ''), array_join(array_repeat('0', 8 - {groups}), ':'), nullif({right}, ''))")
+        shape = f"{v} RLIKE '^(([0-9a-f]{{1,4}}(:[0-9a-f]{{1,4}})*)?::([0-9a-f]{{1,4}}(:[0-9a-f]{{1,4}})*)?|[0-9a-f]{{1,4}}(:[0-9a-f]{{1,4}}){{7}})$'"
+        return (f"CASE WHEN {shape} AND (NOT contains({v}, '::') OR {groups} <= 7) THEN "
+                f"concat(':', regexp_replace(CASE WHEN contains({v}, '::') THEN {full} ELSE {v} END, '(?<![0-9a-f])0+(?=[0-9a-f])', ''), ':') END")
+    bracketed = lit(r"^\[[0-9A-Fa-f:.]{2,45}\]$")
+    return f"CASE WHEN {h} RLIKE {bracketed} THEN {let(plain(inner), expand)} END"
+
+
+def _ipv6_host_sql(groups: str) -> str:
+    """Serialised IPv6 host of ``_ipv6_groups_sql``: the first longest run of two or more zeros as '::'."""
+    runs = [(f"{groups} RLIKE ':0(:0){{{k - 1}}}:'", f"regexp_replace({groups}, '^(.*?):0(?::0){{{k - 1}}}:', '$1::')")
+            for k in range(8, 1, -1)]
+    short = case(*runs, otherwise=groups)
+    return f"concat('[', regexp_replace({short}, '^:(?!:)|(?<!:):$', ''), ']')"
+
+
+def _domain_sql(h: str) -> str:
+    """Percent-decoded, lower-cased ASCII form of a special URL's host; null on failure."""
+    decoded = f"CASE WHEN contains({h}, '%') THEN try_url_decode(replace({h}, '+', '%2B')) ELSE {h} END"
+    return let(f"lower({decoded})", lambda d: (
+        f"CASE WHEN {d} RLIKE {lit(r'[^\x00-\x7F]')} THEN try_reflect('java.net.IDN', 'toASCII', {d}, 1) ELSE {d} END"))
+
+
+def _canon_host_sql(h: str, v6: str, dom: str, scheme: str, special: str) -> str:
+    """Host parser: the serialised host, or null on failure.  ``v6`` and ``dom`` are the host as
+    ``_ipv6_groups_sql`` and ``_domain_sql`` have it."""
+    bracket = f"startswith({h}, '[')"
+    ipv6 = _ipv6_host_sql(v6)
+    last_label = f"regexp_extract({dom}, {lit(r'([^.]*)\.?$')}, 1)"
+    ends_num = f"({last_label} RLIKE '^(0[xX][0-9a-fA-F]*|[0-9]+)$')"
+    ascii_host = case(
+        (bracket, ipv6),
+        (f"{dom} IS NULL", "NULL"),
+        (f"{dom} RLIKE {lit(_FORBIDDEN_DOMAIN)}", "NULL"),
+        (f"{scheme} = 'file' AND {dom} = 'localhost'", "''"),
+        (f"{dom} = '' AND {scheme} <> 'file'", "NULL"),
+        (f"{ends_num} AND {dom} RLIKE {lit(_DOTTED_QUAD)}", dom),
+        (ends_num, _ipv4_number_sql(dom)),
+        otherwise=dom,
+    )
+    opaque_host = case(
+        (bracket, ipv6),
+        (f"{h} RLIKE {lit(_FORBIDDEN_HOST)}", "NULL"),
+        otherwise=pct_encode_sql(h, C0_SET),
+    )
+    return f"CASE WHEN {special} THEN {ascii_host} ELSE {opaque_host} END"
 
 
 # --- the parser ------------------------------------------------------------------
@@ -366,20 +327,24 @@ def _stage4(v):
     scheme, special, mode, hp = f"{v}.scheme", f"{v}.special", f"{v}.mode", f"{v}.hostport"
     host_raw = f"regexp_extract({hp}, {lit(r'(?s)^(\[[^\]]*\]?|[^:]*)')}, 1)"
 
-    def inner2(hr):
+    def hosts(hr):
+        return step(struct(hr=hr, v6=_ipv6_groups_sql(hr), dom=f"CASE WHEN NOT startswith({hr}, '[') THEN {_domain_sql(hr)} END"), inner2)
+
+    def inner2(w):
+        hr = f"{w}.hr"
         hp_tail = f"substring({hp}, length({hr}) + 1, {BIG})"
         tail = f"{v}.tail"
         return step(struct(
             b=f"{v}.b", rest=f"{v}.rest", mode=mode, scheme=scheme, special=special,
             tail=tail, userinfo_raw=f"{v}.userinfo_raw",
-            host=f"CASE WHEN {mode} = 'auth' THEN {_canon_host_sql(hr, scheme, special)} END",
+            host=f"CASE WHEN {mode} = 'auth' THEN {_canon_host_sql(hr, f'{w}.v6', f'{w}.dom', scheme, special)} END",
             hp_bad=f"({hp_tail} <> '' AND NOT startswith({hp_tail}, ':'))",
             port_raw=f"CASE WHEN startswith({hp_tail}, ':') THEN substring({hp_tail}, 2, {BIG}) ELSE '' END",
             p_part0=f"regexp_extract({tail}, '(?s)^([^?#]*)', 1)",
             q_part=(f"CASE WHEN {tail} RLIKE {lit(r'(?s)^[^?#]*\?')} "
                     f"THEN regexp_extract({tail}, {lit(r'(?s)^[^?#]*\?([^#]*)')}, 1) END"),
         ), _stage5)
-    return step(host_raw, inner2)
+    return step(host_raw, hosts)
 
 
 def _stage5(v):
@@ -410,7 +375,11 @@ def _stage5(v):
 
     def with_parts(pp):
         q = q_part
+        is_file = f"({scheme} = 'file')"
+        base_drive = f"regexp_extract({b}.path, '^(/[A-Za-z]:)(/|$)', 1)"
         raw_path = case(
+            (f"{is_file} AND {pp} RLIKE '^/?[A-Za-z][:|](/|$)'", f"regexp_replace({pp}, '^/?([A-Za-z])[:|]', '/$1:')"),
+            (f"{mode} = 'abs' AND {is_file} AND NOT startswith({pp}, '//')", f"concat({base_drive}, {pp})"),
             (f"{mode} = 'rel'", f"concat({base_dir}, {pp})"),
             (f"{mode} = 'auth' AND {special} AND {pp} = ''", "'/'"),
             otherwise=pp,
@@ -418,7 +387,7 @@ def _stage5(v):
         path = case(
             (f"{mode} IN ('empty', 'query', 'frag')", f"{b}.path"),
             (f"{mode} = 'opaque'", pct_encode_sql(pp, C0_SET)),
-            otherwise=pct_encode_sql(_remove_dot_segments_sql(raw_path), PATH_SET),
+            otherwise=pct_encode_sql(_remove_dot_segments_sql(raw_path, is_file), PATH_SET),
         )
 
         query = case(
@@ -468,8 +437,9 @@ def serialize_url_sql(u: str) -> str:
 
 def resolve_href_sql(raw: str, base_parsed: str) -> str:
     """U3 resolveHref: null for empty or skipped hrefs, else the URL or null."""
-    return let(raw, lambda r: f"CASE WHEN {r} IS NULL OR {r} = '' OR {is_skipped_sql(r)} THEN NULL "
-                              f"ELSE {serialize_url_sql(nest(parse_url_sql(r, base_parsed)))} END")
+    return let(raw, lambda r: let(base_parsed, lambda b: (
+        f"CASE WHEN {r} IS NULL OR {r} = '' OR {b} IS NULL OR {is_skipped_sql(r)} THEN NULL "
+        f"ELSE {serialize_url_sql(nest(parse_url_sql(r, b)))} END")))
 
 
 def with_url(df, href, out: str, base: str | None = None, string_out: str | None = None):
@@ -547,8 +517,10 @@ def parse_url(href, base=None) -> Column:
 
 def resolve(href, base=None) -> Column:
     """``new URL(href, base).href`` or null."""
-    b = nest(parse_url_sql(arg(base))) if base is not None else None
-    return _c(serialize_url_sql(nest(parse_url_sql(arg(href), b))))
+    if base is None:
+        return _c(serialize_url_sql(nest(parse_url_sql(arg(href)))))
+    return _c(let(nest(parse_url_sql(arg(base))), lambda b: (
+        f"CASE WHEN {b} IS NOT NULL THEN {serialize_url_sql(nest(parse_url_sql(arg(href), b)))} END")))
 
 
 def resolve_href(raw, base) -> Column:

@@ -6,11 +6,12 @@ on which de-duplication and stable ordering depend.  Each link yields
 its own entry (variant 0) followed by one entry per hidden redirect
 target (variant 1, 2, ...).
 
-Plan: the link arrays are hash-partitioned on ``page_id`` once; links and
+Plan: every page row gets a number at the source, so pages that share an id
+(or have none) stay apart.  The link arrays are hash-partitioned on it once; links and
 redirect candidates are exploded and resolved with one projection per
 URL-parser stage (whole-stage codegen, no lambdas), and the entries are
 re-assembled per link and per page by aggregates whose keys start with
-``page_id``, so they reuse that single exchange.
+the row number, so they reuse that single exchange.
 """
 
 from __future__ import annotations
@@ -46,13 +47,11 @@ def entry_sql(display_url, text, dom_index, variant_index, surfaced="false",
     )
 
 
-def _page_bases(links: DataFrame) -> DataFrame:
+def page_bases(links: DataFrame) -> DataFrame:
     """Document base: ``<base href>`` against the page URL, else the page URL.
-    Sources without a ``base_href`` column (snapshots) skip that parse."""
+    Sources without a ``base_href`` column (snapshots) keep their page URL as it is."""
     if "base_href" not in links.columns:
-        df = with_url(links, "page_url", "_base")
-        return df.withColumn(
-            "page_url", F.coalesce(F.expr(serialize_url_sql("_base")), F.col("page_url")))
+        return with_url(links, "page_url", "_base")
     df = with_url(links, "page_url", "_doc")
     df = df.withColumn("_bh", F.coalesce("base_href", F.lit("")))
     df = with_url(df, "_bh", "_bp", base="_doc")
@@ -68,21 +67,22 @@ def resolved_links(links: DataFrame) -> DataFrame:
     ``keep`` (False for dropped links).
 
     Snapshot hrefs are raw: empty or skipped values are dropped before
-    resolving.  HTML scans hold the attribute value; like ``anchor.href``
+    resolving.  Without a valid base no link resolves.  HTML scans hold the attribute value; like ``anchor.href``
     it is resolved first and the skip test sees the resolved URL.  Rows
     are flagged, not filtered: a filter above the parser stages would be
     pushed down through them and inline every stage.
     """
-    df = _page_bases(links)
-    df = df.select(*PAGE_COLS, "scanned", "_base", F.posexplode_outer("links").alias("link_idx", "_l"))
-    df = df.select(*PAGE_COLS, "scanned", "_base", "link_idx",
+    df = page_bases(links)
+    row = [c for c in ("_row",) if c in links.columns]
+    df = df.select(*row, *PAGE_COLS, "scanned", "_base", F.posexplode_outer("links").alias("link_idx", "_l"))
+    df = df.select(*row, *PAGE_COLS, "scanned", "_base", "link_idx",
                    F.col("_l.dom_index").alias("dom_index"), F.col("_l.href").alias("href"),
                    F.col("_l.text").alias("text"))
     pre_skip = f"(href IS NULL OR (NOT scanned AND (href = '' OR {is_skipped_sql('href')})))"
     df = df.withColumn("_h", F.expr(f"CASE WHEN {pre_skip} THEN NULL ELSE href END"))
     df = with_url(df, "_h", "_p", base="_base", string_out="display_url")
     return df.withColumn(
-        "keep", F.expr(f"display_url IS NOT NULL AND NOT {is_skipped_sql('display_url')}")
+        "keep", F.expr(f"display_url IS NOT NULL AND _base IS NOT NULL AND NOT {is_skipped_sql('display_url')}")
     ).drop("_base", "href", "_h", "scanned")
 
 
@@ -97,7 +97,7 @@ def _with_targets(kept: DataFrame, surface: bool) -> DataFrame:
     cands = F.expr(f"CASE WHEN keep THEN {redirect_candidates_sql('_p')} "
                    "ELSE CAST(array() AS array<string>) END") if surface \
         else F.expr("CAST(array() AS array<string>)")
-    df = kept.select(*PAGE_COLS, "link_idx", "dom_index", "text", "display_url", "keep", "_p",
+    df = kept.select("_row", *PAGE_COLS, "link_idx", "dom_index", "text", "display_url", "keep", "_p",
                      F.posexplode_outer(cands).alias("cand_idx", "cand"))
     attempts = (f"CASE WHEN cand IS NULL THEN CAST(array() AS array<struct<att:int,v:string>>) ELSE "
                 f"array(struct(0 AS att, {js_trim_sql('cand')} AS v), "
@@ -108,9 +108,8 @@ def _with_targets(kept: DataFrame, surface: bool) -> DataFrame:
     df = with_url(df, "_t", "_q", base="_p", string_out="_r")
     valid = f"_t IS NOT NULL AND _r IS NOT NULL AND NOT {is_skipped_sql('_r')}"
     df = df.withColumn("_tg", F.expr(f"CASE WHEN {valid} THEN struct(cand_idx, _a.att AS att, _r AS target) END"))
-    return df.groupBy("page_id", "link_idx").agg(
-        F.max("page_url").alias("page_url"),
-        F.max("title").alias("title"),
+    return df.groupBy("_row", "link_idx").agg(
+        *(F.first(c).alias(c) for c in PAGE_COLS),
         F.first("dom_index").alias("dom_index"),
         F.first("text").alias("text"),
         F.first("display_url").alias("display_url"),
@@ -126,22 +125,21 @@ def link_entries(links: DataFrame, surface_redirects: bool = True) -> DataFrame:
     """P3 extractLinksFromSnapshot: page link arrays -> page entry arrays.
 
     Output ``page_id, page_url, title, entries`` (one row per page, pages
-    without links included).  One hash exchange on ``page_id``; the
+    without links included).  One hash exchange on the row number; the
     per-link and per-page aggregates after it reuse that partitioning and
     carry the page fields, so nothing is joined back.
     """
-    parted = links.repartition("page_id")
+    parted = links.withColumn("_row", F.monotonically_increasing_id()).repartition("_row")
     per_link = _with_targets(resolved_links(parted), surface_redirects)
     own = entry_sql("display_url", "text", "dom_index", 0)
     hidden = ("transform(targets, "
               + lam(lambda t, i: entry_sql(t, "text", "dom_index", f"{i} + 1", "true", "display_url"), 2)
               + ")")
     per_link = per_link.select(
-        *PAGE_COLS, "link_idx",
+        "_row", *PAGE_COLS, "link_idx",
         F.expr(f"CASE WHEN keep THEN concat(array({own}), {hidden}) END").alias("_ents"))
-    per_page = per_link.groupBy("page_id").agg(
-        F.max("page_url").alias("page_url"),
-        F.max("title").alias("title"),
+    per_page = per_link.groupBy("_row").agg(
+        *(F.first(c).alias(c) for c in PAGE_COLS),
         F.expr("flatten(transform(array_sort(collect_list(CASE WHEN _ents IS NOT NULL "
                "THEN struct(link_idx, _ents) END)), x -> x._ents))").alias("_flat"))
     numbered = ("transform(_flat, " + lam(lambda e, i: entry_sql(

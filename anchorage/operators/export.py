@@ -2,9 +2,9 @@
 
 The reference downloads one file per page.  At corpus scale one folder per
 page is a small-files problem, so the default writes one dataset sorted by
-``(page_id, rank)`` within each task and carrying the export file name of
-each page; with ``per_page=True`` the rows are written under
-``page_id=<id>`` folders instead (for small selections).  Input is the
+``(page_id, rank)`` within each task and laid out by export file name;
+with ``per_page=True`` the rows are written under
+``page_id=<id>`` folders (for small selections).  Input is the
 per-page frame of ``plans.visible.visible_pages``: no join, no shuffle.
 """
 
@@ -36,13 +36,22 @@ def _url(s: Settings, col: str = "display_url") -> F.Column:
 
 
 def write_txt(pages: DataFrame, s: Settings, path: str, per_page: bool = False) -> None:
-    """K1: one formatted URL per line, in display order per page."""
+    """K1: text files of one formatted URL per line, in display order.
+
+    Folders are named by the export file name, with ``per_page=True`` by page and name; a page's lines are
+    together in one file of its name's folder.
+    """
     df = _rows(pages, s, "txt").select("page_id", "rank", "export_name", _url(s).alias("url"))
-    df = df.sortWithinPartitions("page_id", "rank")
-    if per_page:
-        df.select("page_id", "url").write.mode("overwrite").partitionBy("page_id").text(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
+    keys = ["page_id", "export_name"] if per_page else ["export_name"]
+    (df.repartition("page_id").sortWithinPartitions(*dict.fromkeys([*keys, "page_id", "rank"]))
+     .select(*keys, "url").write.mode("overwrite").partitionBy(*keys).text(path))
+
+
+def read_txt(spark, path: str) -> DataFrame:
+    """Files of ``write_txt(..., per_page=True)``: page_id, rank, export_name, url; the folders give page and name."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select("page_id", "export_name", F.posexplode(F.split(F.regexp_replace("value", "\\n$", ""), "\n")).alias("i", "url")) \
+        .select(F.col("page_id").cast("bigint").alias("page_id"), (F.col("i") + 1).cast("bigint").alias("rank"), "export_name", "url")
 
 
 def csv_frame(pages: DataFrame, s: Settings) -> DataFrame:

@@ -3,7 +3,8 @@
 Settings are compiled on the driver into SQL predicates: blank patterns
 add nothing, plain patterns become a disjunction of ``contains`` on the
 lower-cased value, regex patterns one ``RLIKE`` (compiled once per
-task).  An invalid regex disables its filter and adds
+task) of the pattern rewritten for Java (``functions.jsregex``, no Spark job).  An
+invalid regex disables its filter and adds
 ``"<label> regex is invalid."`` in the fixed label order.
 """
 
@@ -12,34 +13,32 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.utils import AnalysisException
 
+from anchorage.functions.jsregex import InvalidPattern, to_java
 from anchorage.functions.sql import lit
 from anchorage.settings import Settings
 
-try:  # the JVM error class differs between Spark builds
-    from pyspark.errors import PySparkException
-except ImportError:  # pragma: no cover
-    PySparkException = Exception
+# JavaScript's white space, as in ``functions.jsregex.JS_SPACE``.
+_SPACE = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def plain_terms(pattern: str) -> list[str]:
     """Split on ',', trim, lower-case, drop empties."""
-    return [t.strip().lower() for t in pattern.split(",") if t.strip()]
+    return [t for t in (part.strip(_SPACE).lower() for part in pattern.split(",")) if t]
 
 
-def regex_is_valid(spark: SparkSession, pattern: str) -> bool:
-    """ask the JVM (one-row driver check of the literal pattern)."""
+def regex_is_valid(pattern: str) -> bool:
+    """whether the reference's constructor takes the pattern."""
     try:
-        spark.range(1).selectExpr(f"'' RLIKE {lit('(?iu)' + pattern)} AS ok").collect()
+        to_java(pattern)
         return True
-    except (AnalysisException, PySparkException, Exception):  # noqa: BLE001
+    except InvalidPattern:
         return False
 
 
 def matcher_sql(value_sql: str, pattern: str, use_regex: bool, valid: bool) -> str | None:
     """createMatcher: SQL predicate on ``value_sql`` (null -> ''), or None."""
-    if not pattern.strip():
+    if not pattern.strip(_SPACE):
         return None
     v = f"coalesce({value_sql}, '')"
     if not use_regex:
@@ -49,7 +48,7 @@ def matcher_sql(value_sql: str, pattern: str, use_regex: bool, valid: bool) -> s
         return "(" + " OR ".join(f"contains(lower({v}), {lit(t)})" for t in terms) + ")"
     if not valid:
         return None
-    return f"({v} RLIKE {lit('(?iu)' + pattern)})"
+    return f"({v} RLIKE {lit(to_java(pattern))})"
 
 
 @dataclass(frozen=True)
@@ -80,8 +79,8 @@ def compile_filter(spark: SparkSession, s: Settings) -> CompiledFilter:
     compiled = []
     for (label, pattern), target in zip(s.patterns(), ("\x00U", "\x00U", "\x00T", "\x00T")):
         valid = True
-        if s.use_regex and pattern.strip():
-            valid = regex_is_valid(spark, pattern)
+        if s.use_regex and pattern.strip(_SPACE):
+            valid = regex_is_valid(pattern)
             if not valid:
                 errors.append(f"{label} regex is invalid.")
                 invalid.append(label)
@@ -90,7 +89,7 @@ def compile_filter(spark: SparkSession, s: Settings) -> CompiledFilter:
 
 
 def active_labels(s: Settings, invalid=()) -> list[str]:
-    return [label for label, p in s.patterns() if p.strip() and label not in invalid]
+    return [label for label, p in s.patterns() if p.strip(_SPACE) and label not in invalid]
 
 
 def format_label_list(labels: list[str]) -> str:

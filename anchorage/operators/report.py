@@ -9,7 +9,7 @@ import re
 
 from anchorage.functions.sql import lam, lit
 from anchorage.functions.text import csv_escape_sql, slug_sql
-from anchorage.functions.urls import decode_uri_sql
+from anchorage.functions.urls import decode_uri_sql, js_trim_sql
 from anchorage.settings import Settings
 
 # ---------------------------------------------------------------------------
@@ -105,7 +105,7 @@ def settings_summary(s: Settings) -> str:
 
 def settings_summary_sql() -> str:
     """G7 for a merged settings table (``operators.store.merge_settings``)."""
-    n = " + ".join(f"CASE WHEN trim({c}) <> '' THEN 1 ELSE 0 END" for c in (
+    n = " + ".join(f"CASE WHEN {js_trim_sql(c)} <> '' THEN 1 ELSE 0 END" for c in (
         "urlIncludePattern", "urlExcludePattern", "textIncludePattern", "textExcludePattern"))
     sort = (f"CASE WHEN sortMode = 'alphabetical' THEN {lit(SORT_LABELS['alphabetical'])} "
             f"ELSE {lit(SORT_LABELS['original'])} END")

@@ -5,18 +5,19 @@ page_url string, title string, entries array<entry>``.  ``result_id`` is
 ``result-<sequence>``; the current result is the one-row table
 ``current(result_id)``.
 
-Consecutive sequence numbers are assigned without a global single-task
-window: rows are range-partitioned on the ordering key into a fixed
-number of partitions, each partition's row count (one small row per
-partition, a proven broadcast bound) gives its offset, and
-``row_number`` runs inside each partition.
+Consecutive sequence numbers come from ``operators.ranking`` (no global
+single-task window).  The last number given out is kept apart from the records
+(a one-row table ``sequence(last)``), so numbers of pruned records are not used again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from anchorage.operators.ranking import with_rank
+from anchorage.session import materialize
+
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
 RESULT_ID_PREFIX = "result-"
@@ -40,46 +41,49 @@ def storage_key(result_id, prefix: str = RESULT_STORAGE_PREFIX) -> F.Column:
     return F.concat(F.lit(prefix), c)
 
 
-def number_rows(df: DataFrame, order_col: str, start, out: str = "seq", partitions: int | None = None) -> DataFrame:
-    """Consecutive numbers ``start, start+1, ...`` in ``order_col`` order
-    (unique key), computed in parallel (see module doc)."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, order_col).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    within = Window.partitionBy("_part").orderBy(order_col)
-    start_col = start if isinstance(start, F.Column) else F.lit(start)
-    return (ranged.join(F.broadcast(offsets), "_part")
-            .withColumn(out, (start_col + F.col("_off") + F.row_number().over(within) - 1).cast("bigint"))
-            .drop("_part", "_off"))
-
-
-def save_results(pages: DataFrame, store: DataFrame | None = None,
-                 keys: DataFrame | None = None) -> DataFrame:
-    """K4 saveResultRecord for every page: new records numbered after the
-    store's highest sequence, in page_id order.  Returns the new rows.
-
-    ``keys`` (the page ids, e.g. a column-pruned read of the pages table)
-    lets the numbering run on the ids alone and join back on ``page_id``,
-    instead of range-sampling the full entries pipeline.
+def sequence_key(result_id) -> F.Column:
+    """U12 as an ordering key for digits of any number: struct(how many, digits) without leading zeros; null otherwise."""
+    c = F.col(result_id) if isinstance(result_id, str) else result_id
+    digits = F.regexp_replace(F.regexp_extract(c, r"^result-([0-9]+)$", 1), r"^0+(?=.)", "")
+    return F.when(c.rlike(r"^result-[0-9]+$"), F.struct(F.length(digits).alias("length"), digits.alias("digits")))
+
+
+def save_results(pages: DataFrame, store: DataFrame | None = None, last: int | None = None) -> DataFrame:
+    """K4 saveResultRecord for every page row: new records numbered in page_id
+    order.  Returns the new rows.
+
+    Numbering goes on after ``last``, the last number given out so far (``last_sequence`` of the
+    previous save); without it, after the store's highest.  Pages that share an id or
+    have none are records of their own.  The pages are written once; only their row numbers and ids are ranked.
     """
-    start = F.lit(1)
-    if store is not None:
-        top = store.agg(F.max("sequence").alias("m")).select(F.coalesce("m", F.lit(0)) + 1)
-        start = F.lit(top.first()[0])  # one scalar
-    if keys is not None:
-        ids = number_rows(keys.select("page_id"), "page_id", start, "sequence")
-        numbered = pages.join(ids, "page_id")
-    else:
-        numbered = number_rows(pages, "page_id", start, "sequence")
-    return numbered.select(
+    if last is None:
+        last = store.agg(F.max("sequence")).first()[0] if store is not None else 0  # one scalar
+    rows = materialize(pages.withColumn("_row", F.monotonically_increasing_id()), "results")
+    ranks = with_rank(rows.select("page_id", "_row"), ["page_id", "_row"], out="_n").select("_row", "_n")
+    return rows.join(ranks, "_row").withColumn("sequence", F.col("_n") + F.lit(last or 0)).select(
         "sequence",
         F.concat(F.lit(RESULT_ID_PREFIX), F.col("sequence").cast("string")).alias("result_id"),
         F.col("page_id").alias("source_id"), "page_url", "title", "entries")
 
 
+def last_sequence(new_rows: DataFrame, last: int = 0) -> DataFrame:
+    """The one-row table ``sequence(last)`` after a save; ``last`` is its value before."""
+    return new_rows.agg(F.greatest(F.max("sequence"), F.lit(last)).cast("bigint").alias("last"))
+
+
+def extract_job(pages: DataFrame, store: DataFrame | None = None, last: int | None = None,
+                max_results: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Save every page's entries, make the last record current, prune.
+
+    ``pages`` as ``link_entries`` returns them.  Returns (store, current, sequence).
+    """
+    new = materialize(save_results(pages, store, last), "saved")
+    before = 0 if last is None else last
+    current = current_of(new)
+    whole = new if store is None else store.unionByName(new.select(*store.columns))
+    return prune_results(whole, current, max_results), current, last_sequence(new, before)
+
+
 def current_of(new_rows: DataFrame) -> DataFrame:
     """rI1: the last saved record becomes current (one row)."""
     return new_rows.agg(F.max_by("result_id", "sequence").alias("result_id"))
@@ -95,15 +99,17 @@ def prune_results(store: DataFrame, current: DataFrame, max_results: int = DEFAU
     safe_max = max(0, int(max_results or 0))
     row = current.select("result_id").first()  # the one-row current table
     cur = row[0] if row else None
-    tagged = store.withColumn("_seq", sequence_of("result_id")).withColumn(
+    tagged = store.withColumn("_seq", sequence_key("result_id")).withColumn(
         "_cand", F.col("_seq").isNotNull() & ~F.coalesce(F.col("result_id") == F.lit(cur), F.lit(False)))
-    counted = tagged.where(F.col("_seq").isNotNull()).count()
-    overflow = counted - safe_max
+    n = tagged.agg(F.count("_seq").alias("counted"), F.count_if("_cand").alias("cands")).first()  # two scalars
+    overflow = n["counted"] - safe_max
     if overflow <= 0:
         return store
-    cands = number_rows(tagged.where("_cand").select("result_id", "_seq"), "_seq", 1, "_rank")
-    removed = cands.where(F.col("_rank") <= overflow).select("result_id")
-    return store.join(removed, "result_id", "left_anti")
+    # the newest candidates stay, max_results of them at most: a top-k, no global order
+    stay = (tagged.where("_cand").orderBy(F.col("_seq").desc(), F.col("result_id").desc())
+            .limit(max(0, n["cands"] - overflow)).select("result_id"))
+    others = tagged.where("NOT _cand").select(*store.columns)
+    return others.unionByName(store.join(stay, "result_id", "left_semi").select(*store.columns))
 
 
 def removed_ids(store: DataFrame, kept: DataFrame) -> DataFrame:
@@ -122,31 +128,56 @@ def current_record(store: DataFrame, current: DataFrame) -> DataFrame:
     return store.join(current.select("result_id"), "result_id", "left_semi")
 
 
-def update_results(store: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def update_results(store: DataFrame, updates: DataFrame, order: str | None = None,
+                   given: str | None = None) -> tuple[DataFrame, DataFrame]:
     """K5 updateResultRecord for many ids: (new store, error rows).
 
-    ``updates`` has ``result_id`` plus any of the record columns; a null
-    means "not given" and keeps the stored value.  Ids missing from the
-    store are reported, not inserted.
+    ``updates`` has ``result_id`` plus any of the record columns.  Of several updates of an id the one
+    with the greatest ``order`` counts (without ``order``, the greatest row).  ``given`` names an
+    array column of the fields that an update sets, null values included; without it a null means "not given" and
+    keeps the stored value.  Ids missing from the store are reported once, not inserted.
     """
-    fields = [c for c in store.columns if c not in ("result_id", "sequence")]
-    u = updates.select("result_id", *[F.col(c).alias(f"_u_{c}") for c in fields if c in updates.columns])
-    merged = store.join(u, "result_id", "left").select(
-        "sequence", "result_id",
-        *[(F.coalesce(F.col(f"_u_{c}"), F.col(c)) if c in updates.columns else F.col(c)).alias(c)
-          for c in fields])
-    errors = updates.select("result_id").join(store.select("result_id"), "result_id", "left_anti") \
+    fields = [c for c in store.columns if c not in ("result_id", "sequence") and c in updates.columns]
+    extra = [given] if given else []
+    # one row for an id; maps and arrays have no order, so rows are told apart by a hash
+    by = F.struct(*([F.col(order)] if order else []), F.xxhash64(*fields, *extra))
+    one = updates.groupBy("result_id").agg(F.max_by(F.struct(*fields, *extra), by).alias("_u"))
+    joined = store.join(one, "result_id", "left")
+
+    def value(c):
+        new = F.col(f"_u.{c}")
+        if given:
+            return F.when(F.coalesce(F.array_contains(F.col(f"_u.{given}"), c), F.lit(False)), new).otherwise(F.col(c))
+        return F.coalesce(new, F.col(c))
+
+    merged = joined.select(*((value(c) if c in fields else F.col(c)).alias(c) for c in store.columns))
+    errors = one.select("result_id").join(store.select("result_id"), "result_id", "left_anti") \
         .withColumn("error", F.lit(MISSING_RESULT_ERROR))
     return merged, errors
 
 
-def refresh_results(store: DataFrame, rescanned: DataFrame, result_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """J1/E3 refreshResult: re-extracted entries of each record's source
-    page overlaid onto the record (no prune).  Returns (store, errors)."""
-    req = result_ids.select("result_id").join(store.select("result_id", "source_id"), "result_id", "left")
-    ok = req.where(F.col("source_id").isNotNull())
-    fresh = (ok.join(rescanned.withColumnRenamed("page_id", "source_id"), "source_id", "inner")
-             .select("result_id", "page_url", "title", "entries"))
+def current_after_update(store: DataFrame, updates: DataFrame, order: str, current: DataFrame) -> DataFrame:
+    """rI2: the record updated last becomes current; without any known id ``current`` stays (one row)."""
+    known = updates.join(store.select("result_id"), "result_id", "left_semi")
+    last = known.agg(F.max_by("result_id", F.struct(order, "result_id")).alias("updated"))
+    return last.join(current.agg(F.max("result_id").alias("before"))).select(  # two one-row tables
+        F.coalesce("updated", "before").alias("result_id"))
+
+
+def refresh_results(store: DataFrame, pages: DataFrame, result_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """J1/E3 refreshResult: re-extracted entries of each requested record's source
+    page overlaid onto the record (no prune).  Returns (store, errors).
+
+    ``pages(page_id, url, html)``: only the requested ones are scanned.
+    """
+    from anchorage.operators.entries import link_entries
+    from anchorage.sources.pages import scan_html
+
+    req = result_ids.select("result_id").distinct().join(store.select("result_id", "source_id"), "result_id", "left")
+    wanted = req.where(F.col("source_id").isNotNull()).select(F.col("source_id").alias("page_id")).distinct()
+    rescanned = link_entries(scan_html(pages.join(wanted, "page_id", "left_semi")))
+    fresh = materialize(req.join(rescanned.withColumnRenamed("page_id", "source_id"), "source_id")
+                        .select("result_id", "page_url", "title", "entries"), "refreshed")
     errors = (req.join(fresh.select("result_id"), "result_id", "left_anti")
               .select("result_id", F.lit(MISSING_SOURCE_ERROR).alias("error")))
     new_store, _ = update_results(store, fresh)
@@ -161,7 +192,6 @@ SETTINGS_DEFAULTS = {
     "textIncludePattern": "''", "textExcludePattern": "''",
     "useRegex": "false", "decodeUrls": "false",
 }
-MAX_PROFILES = 1024
 
 
 def _truthy(df: DataFrame, name: str) -> str:
@@ -227,15 +257,8 @@ def reset_filters(settings: DataFrame) -> DataFrame:
         "useRegex": F.lit(False), "decodeUrls": F.lit(False)})
 
 
-def load_profiles(settings: DataFrame, key: str = "profile_id", limit: int = MAX_PROFILES) -> dict:
-    """Merged settings rows -> {id: Settings} for ``plans.visible.profile_apply``.
-
-    Profiles are configuration compiled into predicates on the driver; the
-    table is read only up to ``limit`` + 1 rows and refused beyond the
-    bound, so the driver never pulls an unbounded table.
-    """
+def load_profiles(settings: DataFrame, key: str = "profile_id") -> dict:
+    """Merged settings rows -> {id: Settings} for ``plans.visible.profile_apply``: the few saved
+    profiles of one user.  Profiles in a large table are applied by ``plans.visible.profile_join``."""
     from anchorage.settings import Settings
-    rows = merge_settings(settings).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} filter profiles; apply them in groups")
-    return {r[key]: Settings.merge(r.asDict()) for r in rows}
+    return {r[key]: Settings.merge(r.asDict()) for r in merge_settings(settings).collect()}

@@ -7,17 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorage.functions.text import clean_text
-from anchorage.operators.entries import explode_entries, link_entries
+from anchorage.operators.entries import explode_entries, link_entries, page_bases, resolved_links
 from anchorage.operators.order import dedup_corpus
-from anchorage.operators.report import csv_document_sql, export_name_sql
+from anchorage.operators.report import csv_document_sql, export_name_sql, settings_summary_sql
 from anchorage.operators import store as S
 from anchorage.plans.visible import visible_links, visible_pages
-from anchorage.session import shared_dir
+from anchorage.session import materialize, shared_dir
 from anchorage.settings import Settings
 from anchorage.streaming.jobs import stream_extract, stream_refresh
-from anchorage.functions.redirects import redirect_params
+from anchorage.functions.redirects import url_params_sql
 from anchorage.functions.urls import is_skipped
-from anchorage.operators.export import CSV_COLUMNS, read_csv, write_csv, write_txt
+from anchorage.operators.export import CSV_COLUMNS, read_csv, read_txt, write_csv, write_txt
 from anchorage.operators.order import dedup_page
 from anchorage.operators.report import csv_row_sql
 from anchorage.plans.visible import profile_apply
@@ -41,8 +41,7 @@ def q_anchors(spark, sf_dir):
 
 
 def q_page_meta(spark, sf_dir):
-    ents = page_entries(spark, sf_dir)
-    return ents.select("page_id", "page_url", "title")
+    return page_bases(scan_html(_pages(spark, sf_dir))).select("page_id", "page_url", "title")
 
 
 def q_entries(spark, sf_dir):
@@ -50,8 +49,7 @@ def q_entries(spark, sf_dir):
 
 
 def q_resolved_links(spark, sf_dir):
-    return explode_entries(page_entries(spark, sf_dir)).where("variant_index = 0").select(
-        "page_id", "dom_index", "display_url", "text")
+    return resolved_links(scan_html(_pages(spark, sf_dir))).where("keep").select("page_id", "dom_index", "display_url", "text")
 
 
 def _visible(settings):
@@ -76,7 +74,7 @@ SETTINGS = {
     "filter_url_exclude": Settings(url_exclude="the,,  er "),
     "filter_text_terms": Settings(text_include=" ou , Th"),
     "filter_text_exclude": Settings(text_exclude="e"),
-    "filter_regex": Settings(use_regex=True, url_include=r"/[a-z]{2,4}$"),
+    "filter_regex": Settings(use_regex=True, url_include=r"/[a-z]{2,4}$|a{|[[]"),
     "filter_invalid_regex": Settings(use_regex=True, url_include="[", text_exclude="^t"),
     "page_report": Settings(text_include="the"),
     "decode_urls": Settings(decode_urls=True),
@@ -111,16 +109,13 @@ def q_clean_text(spark, sf_dir):
 
 def _saved(spark, sf_dir):
     """E2 extract job: every page saved as a result record (lazy)."""
-    pages = _pages(spark, sf_dir)
-    return S.save_results(link_entries(scan_html(pages)), keys=pages)
+    return S.save_results(page_entries(spark, sf_dir))
 
 
 def _store(spark, sf_dir):
     """The saved results written once to the shared folder and read back
     (the store the later jobs work on; also cuts the lineage)."""
-    path = shared_dir(spark, "results")
-    _saved(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+    return materialize(_saved(spark, sf_dir), "results")
 
 
 def q_results_append(spark, sf_dir):
@@ -129,9 +124,9 @@ def q_results_append(spark, sf_dir):
 
 
 def q_results_prune(spark, sf_dir):
-    saved = _store(spark, sf_dir).select("sequence", "result_id", "source_id", "title")
-    kept = S.prune_results(saved, S.current_of(saved), S.DEFAULT_MAX_RESULTS)
-    return kept.select("sequence", "result_id", "source_id")
+    """E2 with its prune: the store after every page was saved."""
+    store, _, _ = S.extract_job(page_entries(spark, sf_dir))
+    return store.select("sequence", "result_id", "source_id")
 
 
 def q_results_lookup(spark, sf_dir):
@@ -152,8 +147,8 @@ def q_protocol_filter(spark, sf_dir):
 
 
 def q_redirect_params(spark, sf_dir):
-    ents = explode_entries(wrapped_entries(spark, sf_dir)).where("variant_index = 0")
-    return ents.select("page_id", "dom_index", F.posexplode(redirect_params("display_url")).alias("i", "p")) \
+    links = resolved_links(from_snapshots(read_wrapped(spark, sf_dir))).where("keep")
+    return links.select("page_id", "dom_index", F.posexplode(F.expr(url_params_sql("_p"))).alias("i", "p")) \
         .select("page_id", "dom_index", F.col("i").cast("bigint").alias("param_index"),
                 F.col("p.key").alias("key"), F.col("p.value").alias("value"))
 
@@ -219,15 +214,16 @@ def _store_and_updates(spark, sf_dir):
     # one request per record for an id past the end (reported missing)
     n = saved.count()
     upd = saved.where(F.col("title").contains("&")).select(
-        "result_id", F.concat("title", F.lit(" (updated)")).alias("title"))
+        "result_id", F.explode(F.array(F.lit(" (draft)"), F.lit(" (updated)"))).alias("_mark"), "title").select(
+        "result_id", F.concat("title", "_mark").alias("title"), F.when(F.col("_mark") == " (draft)", 1).otherwise(2).alias("at"))
     missing = saved.select(F.concat(F.lit("result-"), (F.col("sequence") + F.lit(n)).cast("string"))
-                           .alias("result_id"), F.lit("x").alias("title"))
+                           .alias("result_id"), F.lit("x").alias("title"), F.lit(1).alias("at"))
     return saved, upd.unionByName(missing)
 
 
 def q_results_update(spark, sf_dir):
     saved, updates = _store_and_updates(spark, sf_dir)
-    merged, errors = S.update_results(saved, updates)
+    merged, errors = S.update_results(saved, updates, order="at")
     return merged.select("result_id", "sequence", "source_id", "page_url", "title",
                          F.lit(None).cast("string").alias("error")).unionByName(
         errors.select("result_id", F.lit(None).cast("bigint").alias("sequence"),
@@ -240,8 +236,7 @@ def q_results_refresh(spark, sf_dir):
     """E3 for every saved record: re-scan its page, overlay entries."""
     pages = _pages(spark, sf_dir)
     saved = _store(spark, sf_dir)
-    rescanned = link_entries(scan_html(pages))
-    store, errors = S.refresh_results(saved, rescanned, saved.select("result_id"))
+    store, errors = S.refresh_results(saved, pages, saved.select("result_id"))
     return store.select("result_id", "sequence", "source_id",
                         F.size("entries").cast("bigint").alias("n_entries")).join(
         errors, "result_id", "left")
@@ -251,8 +246,8 @@ def q_txt_export(spark, sf_dir):
     """K1 round trip: write the wrapped visible links, read the rows back."""
     s = Settings(decode_urls=True)
     path = shared_dir(spark, "txt_export")
-    write_txt(visible_pages(spark, wrapped_entries(spark, sf_dir), s), s, path)
-    return spark.read.parquet(path).select("page_id", "rank", "export_name", "url")
+    write_txt(visible_pages(spark, wrapped_entries(spark, sf_dir), s), s, path, per_page=True)
+    return read_txt(spark, path)
 
 
 def q_csv_export(spark, sf_dir):
@@ -265,6 +260,52 @@ def q_csv_export(spark, sf_dir):
                        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in CSV_COLUMNS])
 
 
+def q_snapshot_source(spark, sf_dir):
+    """S4 fallbacks: which snapshot fields a page has goes by its id."""
+    k = F.col("page_id") % 4
+    link = ("named_struct('domIndex', IF(page_id % 4 = 0, CAST(i * 10 AS BIGINT), NULL), 'resolvedHref', IF(page_id % 4 < 2, l.href, ''), "
+            "'rawHref', IF(page_id % 4 = 2, l.href, NULL), 'href', IF(page_id % 4 = 3, l.href, 'unused'), 'text', IF(page_id % 4 = 3, NULL, l.text))")
+    snaps = scan_html(_pages(spark, sf_dir)).select(
+        "page_id", F.when(k < 3, F.col("page_url")).alias("pageUrl"), F.when(k != 1, F.col("page_url")).alias("url"),
+        F.when(k != 2, F.col("title")).alias("title"), F.expr(f"IF(page_id % 8 = 5, NULL, transform(links, (l, i) -> {link}))").alias("links"))
+    return from_snapshots(snaps).select("page_id", "page_url", "title", F.explode_outer("links").alias("l")).select(
+        "page_id", "page_url", "title", "l.dom_index", "l.href", "l.text")
+
+
+def _user_settings(spark, sf_dir):
+    """Stored settings of every user in ``events``: the latest event says how links are sorted, decoded and filtered."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    last = events.groupBy("user_id").agg(F.max_by(F.struct("event_type", "props", "value"), F.struct("ts", "event_id")).alias("e"))
+    n = "regexp_extract(e.props, '([0-9]+)', 1)"
+    return last.selectExpr(
+        "user_id AS profile_id", "CASE e.event_type WHEN 'view' THEN 'original' WHEN 'click' THEN 'alphabetical' ELSE e.event_type END AS sortMode",
+        "CASE e.event_type WHEN 'signup' THEN 'dark' WHEN 'error' THEN 'neon' END AS themeMode",
+        f"IF({n} % 3 = 0, {n}, '\t ') AS urlIncludePattern", f"IF({n} % 2 = 0, concat('local, ', {n}), NULL) AS urlExcludePattern",
+        f"IF({n} % 5 = 0, 'item', '') AS textIncludePattern", "IF(e.value > 20, 'x', '') AS useRegex", "e.value - 5 AS decodeUrls")
+
+
+def q_settings_merge(spark, sf_dir):
+    return S.merge_settings(_user_settings(spark, sf_dir))
+
+
+def q_settings_summary(spark, sf_dir):
+    return q_settings_merge(spark, sf_dir).select("profile_id", F.expr(settings_summary_sql()).alias("summary"))
+
+
+def q_html_variants(spark, sf_dir):
+    """S2-S5, U7 on odd markup built from every page: titles and anchors in comments and scripts, a base, quotes, references,
+    hosts in other forms, pages without links."""
+    pages = _pages(spark, sf_dir).select("page_id", F.lit("https://site.example/a/b").alias("url"), F.expr("""CASE page_id % 3
+        WHEN 0 THEN concat('<!-- <title>no</title><a href=/no>no</a> --><title>T&eacute; &#', page_id % 90 + 33, '; &#x0041</title>',
+            '<script>"<a href=/no>"</script><base href="../c/"><A title=">" HREF=\\'x?a=1&amp;copy=', page_id, '&copy=2\\'>one&nbsp&lt;b&gt;</A>')
+        WHEN 1 THEN concat('<title>', page_id, '</title><p>no links &amp <a name=x>none</a>')
+        ELSE concat('<a href="https://M\u00fcnchen.example/', page_id, '">idn</a><a href="http://[2001:DB8:0:0:0:0:0:', page_id % 10, ']/">six</a>',
+            '<a href="http://0x7f.1/', page_id, '">&#146;four</a><a href="http://0xfffffffffffffffff/">bad</a><a href="javascript:void(0)">skip</a>') END""").alias("html"))
+    found = link_entries(scan_html(pages))
+    return found.select("page_id", "page_url", "title", F.explode_outer("entries").alias("e")).select(
+        "page_id", "page_url", "title", "e.dom_index", "e.display_url", "e.text")
+
+
 QUERIES = {
     "anchors": q_anchors,
     "page_meta": q_page_meta,
@@ -283,6 +324,10 @@ QUERIES = {
                                     ("page_id", "n_visible", "hint", "message")),
 }
 QUERIES.update({
+    "snapshot_source": q_snapshot_source,
+    "settings_merge": q_settings_merge,
+    "settings_summary": q_settings_summary,
+    "html_variants": q_html_variants,
     "txt_export": q_txt_export,
     "csv_export": q_csv_export,
     "stream_extract": q_stream_extract,

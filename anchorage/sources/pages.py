@@ -18,15 +18,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorage.functions.sql import col, lam, let, lit, struct
-from anchorage.functions.text import clean_text_sql, collapse_ascii_ws_sql, decode_entities_sql
+from anchorage.functions.text import clean_text_sql, collapse_ascii_ws_sql, decode_entities_sql, entity_table_sql
 
 LINK_TYPE = "array<struct<dom_index:bigint,href:string,text:string>>"
 DEFAULT_PAGE_URL = "https://example.invalid/"
 
 # Elements whose content is not parsed for anchors by a browser.
-_RAW_TEXT = "script|style|textarea|title|template|noscript|iframe|xmp|noembed|noframes"
-_HIDDEN = rf"(?is)<!--.*?(?:-->|$)|<({_RAW_TEXT})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|$)"
-_TAG_ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+_RAW_TEXT = "script|style|textarea|template|noscript|iframe|xmp|noembed|noframes"
+_TITLE_ELEMENT = r"<title(?=[\s/>])[^>]*>.*?(?:</title\s*>|$)"
+# titles (group 1, kept), comments and raw-text elements, whichever begins first
+_HIDDEN = rf"(?is)({_TITLE_ELEMENT})|<!--.*?(?:-->|$)|<({_RAW_TEXT})(?=[\s/>])[^>]*>.*?(?:</\2\s*>|$)"
+# possessive: walked without recursion, however long a start tag is
+_TAG_ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 # one anchor: start tag and the content up to </a>, the next <a, or the end
 _ANCHOR = rf"(?is)<a(?=[\s/>]){_TAG_ATTRS}>.*?(?=</a\s*>|<a[\s/>]|$)"
 _ATTR = r"""(?s)([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
@@ -35,19 +38,6 @@ _BASE = rf"(?is)<base(?=[\s/>])({_TAG_ATTRS})>"
 _UNQUOTE = r"""(?s)^"(.*)"$|^'(.*)'$"""
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a small input that arrives in fewer splits than the
-    cluster has task slots (e.g. one parquet row group), so the scan runs
-    in parallel.  Large inputs already come in many splits and are left
-    alone: no shuffle of raw HTML at scale."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect)
-        return df
-    return df.repartition(slots, key) if splits < slots else df
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """The pages table (page_id, url, html)."""
     return spark.read.parquet(path)
@@ -66,7 +56,7 @@ def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _attr_value_sql(attrs: str, name: str) -> str:
+def _attr_value_sql(attrs: str, name: str, table: str) -> str:
     """First attribute ``name`` (case-insensitive) of a tag's attribute text:
     its value ('' if it has none), null if absent."""
     def body(a):
@@ -75,34 +65,37 @@ def _attr_value_sql(attrs: str, name: str) -> str:
         def pick(idx):
             raw = f"try_element_at(regexp_extract_all({a}, {lit(_ATTR)}, 2), CAST(greatest({idx}, 1) AS INT))"
             unq = f"regexp_replace({raw}, {lit(_UNQUOTE)}, '$1$2')"
-            return f"CASE WHEN {idx} > 0 THEN {decode_entities_sql(unq)} END"
+            return f"CASE WHEN {idx} > 0 THEN {decode_entities_sql(unq, table, attribute=True)} END"
         return let(f"array_position({names}, {lit(name)})", pick)
     return let(attrs, body)
 
 
-def _anchor_sql(a: str) -> str:
+def _anchor_sql(a: str, table: str) -> str:
     attrs = f"regexp_extract({a}, {lit(f'(?is)^<a({_TAG_ATTRS})>')}, 1)"
     content = f"regexp_extract({a}, {lit(f'(?is)^<a{_TAG_ATTRS}>(.*)$')}, 1)"
-    text = clean_text_sql(decode_entities_sql(f"regexp_replace({content}, {lit('(?s)<[^>]*>')}, '')"))
-    return struct(href=_attr_value_sql(attrs, "href"), text=text)
+    text = clean_text_sql(decode_entities_sql(f"regexp_replace({content}, {lit('(?s)<[^>]*>')}, '')", table))
+    return struct(href=_attr_value_sql(attrs, "href", table), text=text)
+
 
+def scan_html_sql(html: str, table: str) -> str:
+    """struct<base_href, title, links> of one page (see ``scan_html``); ``table``: named references."""
+    shown = f"regexp_replace({html}, {lit(_HIDDEN)}, '$1')"
 
-def scan_html_sql(html: str) -> str:
-    """struct<base_href, title, links> of one page (see ``scan_html``)."""
-    visible = f"regexp_replace({html}, {lit(_HIDDEN)}, '')"
-    title = collapse_ascii_ws_sql(decode_entities_sql(f"regexp_extract({html}, {lit(_TITLE)}, 1)"))
+    def build(kept):
+        title = collapse_ascii_ws_sql(decode_entities_sql(f"regexp_extract({kept}, {lit(_TITLE)}, 1)", table))
+        return let(f"regexp_replace({kept}, {lit(f'(?is){_TITLE_ELEMENT}')}, '')", lambda v: links_of(v, title))
 
-    def build(v):
+    def links_of(v, title):
         base_attrs = f"regexp_extract({v}, {lit(_BASE)}, 1)"
-        base_href = f"CASE WHEN {base_attrs} <> '' THEN {_attr_value_sql(base_attrs, 'href')} END"
-        anchors = f"transform(regexp_extract_all({v}, {lit(_ANCHOR)}, 0), {lam(_anchor_sql)})"
+        base_href = f"CASE WHEN {base_attrs} <> '' THEN {_attr_value_sql(base_attrs, 'href', table)} END"
+        anchors = f"transform(regexp_extract_all({v}, {lit(_ANCHOR)}, 0), {lam(lambda a: _anchor_sql(a, table))})"
         with_href = f"filter({anchors}, {lam(lambda x: f'{x}.href IS NOT NULL')})"
         link = lam(lambda x, i: struct(dom_index=f"CAST({i} AS BIGINT)", href=f"{x}.href",
                                        text=f"{x}.text"), 2)
         return struct(base_href=base_href, title=title, links=f"transform({with_href}, {link})")
 
     empty = struct(base_href="CAST(NULL AS STRING)", title="''", links=f"CAST(array() AS {LINK_TYPE})")
-    return f"CASE WHEN {html} IS NULL THEN {empty} ELSE {let(visible, build)} END"
+    return f"CASE WHEN {html} IS NULL THEN {empty} ELSE {let(shown, build)} END"
 
 
 def scan_html(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -118,9 +111,8 @@ def scan_html(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     as ``document.baseURI`` does).  ``html`` is dropped right after the
     scan; a page without HTML is an empty scan (rA7).
     """
-    scanned = F.expr(scan_html_sql(col(html)))
-    pages = spread(pages, "page_id")
-    return pages.select(
+    scanned = F.expr(scan_html_sql(col(html), "_entities"))
+    return pages.withColumn("_entities", F.expr(entity_table_sql())).select(
         F.col("page_id").cast("bigint").alias("page_id"),
         F.when(F.col(html).isNull(), F.lit(DEFAULT_PAGE_URL)).otherwise(F.col(url)).alias("page_url"),
         scanned.alias("_s"),

@@ -3,8 +3,9 @@
 Each micro-batch is a static DataFrame, so the batch operators (scan,
 entries, store overlay) run unchanged inside ``foreachBatch``.  Output is
 written to a folder keyed by the batch id, so a retried batch overwrites
-its own output (idempotent sink); checkpoints live under the cluster's
-shared checkpoint folder (``session.shared_dir``).
+its own output.  The refresh job reads only versions older than its batch id, so a retry sees the
+state before its first try and counts nothing twice; it writes only the records it
+changes, and readers take the newest version of each record.
 """
 
 from __future__ import annotations
@@ -18,11 +19,21 @@ from anchorage.session import shared_dir
 from anchorage.sources.pages import read_pages, scan_html
 
 
-def _versions_latest(spark: SparkSession, root: str) -> DataFrame:
-    """Newest ``batch=<id>`` version of a table written by ``foreachBatch``."""
-    allv = spark.read.parquet(root)
-    top = allv.agg(F.max("batch")).first()[0]
-    return allv.where(F.col("batch") == top).drop("batch")
+def newest_records(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The newest version of every record under ``batch=<id>`` folders, of batches below ``before`` if given.
+
+    The batch filter prunes folders; the newest version of a record is a partial aggregate.
+    """
+    versions = spark.read.parquet(root)
+    if before is not None:
+        versions = versions.where(F.col("batch") < before)
+    columns = [c for c in versions.columns if c != "batch"]
+    return versions.groupBy("result_id").agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("r.*")
+
+
+def compact(spark: SparkSession, root: str, into: str) -> None:
+    """Write the newest records of ``root`` as the base version of a new store folder ``into``."""
+    newest_records(spark, root).write.mode("overwrite").parquet(f"{into}/batch=-1")
 
 
 def _file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,39 +59,39 @@ def stream_extract(spark: SparkSession, folder: str, name: str = "pages.parquet"
     return spark.read.parquet(f"{out_root}/data").drop("batch")
 
 
-def stream_refresh(spark: SparkSession, sf_dir: str, out_root: str | None = None) -> DataFrame:
+def refresh_batch(spark: SparkSession, batch: DataFrame, batch_id: int, pages: DataFrame, root: str) -> None:
+    """Apply one batch of requests (page_id, ts) to the store under ``root``."""
+    latest = batch.groupBy("page_id").agg(F.max("ts").alias("_at"), F.count(F.lit(1)).alias("_new"))
+    asked = newest_records(spark, root, batch_id).join(latest, F.col("source_id") == F.col("page_id"))
+    fresh = link_entries(scan_html(pages.join(latest.select("page_id"), "page_id", "left_semi"))).select(
+        "page_id", *(F.col(c).alias(f"_{c}") for c in ("page_url", "title", "entries")))
+    # a record whose page is gone keeps its content
+    (asked.join(fresh, "page_id", "left").select(
+        "sequence", "result_id", "source_id", *(F.coalesce(f"_{c}", c).alias(c) for c in ("page_url", "title", "entries")),
+        F.greatest("refreshed_at", "_at").alias("refreshed_at"), (F.col("n_requests") + F.col("_new")).alias("n_requests"))
+     .write.mode("overwrite").parquet(f"{root}/batch={batch_id}"))
+
+
+def stream_refresh(spark: SparkSession, sf_dir: str, out_root: str | None = None, requests_dir: str | None = None,
+                   files_per_batch: int | None = None) -> DataFrame:
     """Refresh requests (events) joined with the pages, upserted into
     the result store; within a batch the latest request per result wins,
     across batches the newer batch overlays the older store version."""
     out_root = out_root or shared_dir(spark, "stream_refresh")
     pages = read_pages(spark, f"{sf_dir}/pages.parquet")
     n_pages = pages.count()  # one scalar: requests name page event_id % n
-    ev_path = f"{sf_dir}/events.parquet"
-    ev_schema = spark.read.parquet(ev_path).schema
-    ts_type = ev_schema["ts"].dataType.simpleString()
-    saved = S.save_results(link_entries(scan_html(pages)), keys=pages).withColumn(
-        "refreshed_at", F.lit(None).cast(ts_type)).withColumn("n_requests", F.lit(0).cast("bigint"))
-    saved.withColumn("batch", F.lit(-1)).write.mode("overwrite").parquet(f"{out_root}/store/batch=-1")
-
-    events = _file_stream(spark, sf_dir, "events.parquet")
-    requests = events.select((F.col("event_id") % F.lit(n_pages)).alias("page_id"), "ts")
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.groupBy("page_id").agg(F.max("ts").alias("refreshed_at"),
-                                              F.count(F.lit(1)).alias("n_new"))
-        store = _versions_latest(spark, f"{out_root}/store")
-        ids = store.select("result_id", F.col("source_id").alias("page_id")).join(latest, "page_id")
-        fresh = link_entries(scan_html(pages.join(ids.select("page_id"), "page_id", "left_semi")))
-        updates = (ids.join(fresh, "page_id", "left")
-                   .join(store.select("result_id", F.col("n_requests").alias("_old")), "result_id")
-                   .select("result_id", "page_url", "title", "entries", "refreshed_at",
-                           (F.col("_old") + F.col("n_new")).alias("n_requests")))
-        merged, _ = S.update_results(store, updates)
-        merged.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{out_root}/store/batch={batch_id}")
-
-    q = (requests.writeStream.foreachBatch(upsert)
+    folder, name = (requests_dir, "*.parquet") if requests_dir else (sf_dir, "events.parquet")
+    schema = spark.read.parquet(folder if requests_dir else f"{folder}/{name}").schema
+    saved = S.save_results(link_entries(scan_html(pages))).withColumn(
+        "refreshed_at", F.lit(None).cast(schema["ts"].dataType)).withColumn("n_requests", F.lit(0).cast("bigint"))
+    saved.write.mode("overwrite").parquet(f"{out_root}/store/batch=-1")
+
+    events = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    if files_per_batch:
+        events = events.option("maxFilesPerTrigger", files_per_batch)
+    requests = events.parquet(folder).select((F.col("event_id") % F.lit(n_pages)).alias("page_id"), "ts")
+    q = (requests.writeStream.foreachBatch(lambda batch, batch_id: refresh_batch(spark, batch, batch_id, pages, f"{out_root}/store"))
          .option("checkpointLocation", f"{out_root}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return _versions_latest(spark, f"{out_root}/store")
+    return newest_records(spark, f"{out_root}/store")

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from anchorage.operators.entries import explode_entries
-from anchorage.plans.catalog import page_entries, wrapped_entries
+from anchorage.plans.catalog import QUERIES, page_entries, wrapped_entries
 from anchorage.streaming.jobs import stream_extract
 
 SF = "/root/testdata/sf0.001"
@@ -21,14 +21,15 @@ def test_one_exchange(spark):
     spark.catalog.clearCache()  # other modules cache these frames
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        # snapshots: exactly the one page_id exchange of the entries builder
+        # snapshots: exactly the one row-number exchange of the entries builder
         plan = _plan(wrapped_entries(spark, SF))
-        assert re.findall(r"Exchange (\w+)\(([a-z_]+)", plan) == [("hashpartitioning", "page_id")]
-        # HTML pages: the sf0.001 file is one split, so the small-input
-        # spread adds one more page_id exchange before the scan
+        assert re.findall(r"Exchange (\w+)\(([a-z_]+)", plan) == [("hashpartitioning", "_row")]
+        # HTML pages: raw HTML is never shuffled, only the link arrays are
         plan = _plan(page_entries(spark, SF))
-        exchanges = re.findall(r"Exchange (\w+)\(([a-z_]+)", plan)
-        assert set(exchanges) == {("hashpartitioning", "page_id")} and len(exchanges) <= 2, exchanges
+        assert re.findall(r"Exchange (\w+)\(([a-z_]+)", plan) == [("hashpartitioning", "_row")]
+        # page columns and own links need no exchange at all
+        for query in ("page_meta", "resolved_links", "redirect_params"):
+            assert "Exchange" not in _plan(QUERIES[query](spark, SF))
         for p in (plan, _plan(wrapped_entries(spark, SF))):
             assert "NestedLoop" not in p and "Cartesian" not in p and "Python" not in p
     finally:

@@ -42,10 +42,73 @@ def test_update_and_lookup(spark):
     assert S.storage_key(F.lit("result-7")) is not None
 
 
-def test_sequence_numbers(spark):
-    df = spark.range(0, 1000, 7).withColumnRenamed("id", "page_id")
-    out = S.number_rows(df, "page_id", 5, "seq", partitions=6).orderBy("page_id").collect()
-    assert [r.seq for r in out] == list(range(5, 5 + len(out)))
+def _pages(spark, n, ids="id"):
+    return spark.range(n).selectExpr(f"{ids} AS page_id", "concat('https://e.example/', id) AS page_url", "repeat('t', 40) AS title",
+                                     "array(named_struct('pos', id)) AS entries")
+
+
+def test_saved_numbers_are_consecutive_and_never_used_again(spark):
+    first = S.save_results(_pages(spark, 30_000))
+    n = first.selectExpr("count(*) AS n", "count(distinct sequence) AS d", "min(sequence) AS a", "max(sequence) AS b").first()
+    assert tuple(n) == (30_000, 30_000, 1, 30_000)
+    assert [r.source_id for r in first.orderBy("sequence").limit(3).collect()] == [0, 1, 2]
+    store, current, last = S.extract_job(_pages(spark, 3), max_results=1)
+    assert [r.result_id for r in store.collect()] == ["result-3"] and last.first()["last"] == 3
+    kept = S.prune_results(S.save_results(_pages(spark, 3)), _cur(spark, "result-1"), 1)
+    assert [r.result_id for r in kept.collect()] == ["result-1"]
+    again = S.save_results(_pages(spark, 1), kept, last=3)
+    assert [r.result_id for r in again.collect()] == ["result-4"]
+
+
+def test_pages_that_share_an_id_are_records_of_their_own(spark):
+    rows = S.save_results(_pages(spark, 40, "IF(id % 4 = 0, NULL, 7)")).collect()
+    assert len(rows) == 40 and sorted(r.sequence for r in rows) == list(range(1, 41))
+
+
+def test_prune_keeps_the_newest_of_many(spark):
+    store = spark.range(1, 300_001).selectExpr("concat('result-', id) AS result_id", "repeat('x', 30) AS title")
+    kept = S.prune_results(store, _cur(spark, "result-300000"), 50)
+    assert sorted(int(r.result_id[7:]) for r in kept.collect()) == list(range(299_951, 300_001))
+
+
+def test_prune_counts_ids_of_any_length(spark):
+    ids = ["result-" + "9" * 25, "result-1" + "0" * 30, "result-007", "result-8"]
+    assert _kept(spark, ids, None, 2) == sorted(ids[:2])
+
+
+def test_update_takes_one_row_for_an_id_and_knows_what_is_given(spark):
+    store = spark.createDataFrame([(1, "result-1", "a", "u"), (2, "result-2", "b", "v")],
+                                  "sequence bigint, result_id string, title string, page_url string")
+    updates = spark.createDataFrame([("result-1", "x", None, 1, ["title"]), ("result-1", "y", None, 2, ["title", "page_url"]),
+                                     ("result-9", "z", None, 3, ["title"]), ("result-9", "z", None, 4, ["title"])],
+                                    "result_id string, title string, page_url string, at int, given array<string>")
+    merged, errors = S.update_results(store, updates, order="at", given="given")
+    assert sorted(map(tuple, merged.collect())) == [(1, "result-1", "y", None), (2, "result-2", "b", "v")]
+    assert [r.result_id for r in errors.collect()] == ["result-9"]
+    assert S.current_after_update(store, updates, "at", _cur(spark, "result-2")).first().result_id == "result-1"
+    assert S.current_after_update(store, updates.where("at > 2"), "at", _cur(spark, "result-2")).first().result_id == "result-2"
+
+
+def test_refresh_stream_in_many_batches_counts_every_request_once(spark, tmp_path):
+    from anchorage.streaming import jobs
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    requests, out = str(tmp_path / "requests"), str(tmp_path / "out")
+    events.repartition(4).write.parquet(requests)
+    got = jobs.stream_refresh(spark, sf, out, requests_dir=requests, files_per_batch=1)
+    assert len([p for p in (tmp_path / "out" / "store").iterdir() if p.name.startswith("batch=")]) == 5
+    n = events.count()
+    assert got.selectExpr("sum(n_requests)").first()[0] == n
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    k = pages.count()
+    again = events.limit(500).selectExpr(f"event_id % {k} AS page_id", "ts")
+    for _ in range(2):  # a batch and its retry
+        jobs.refresh_batch(spark, again, 4, pages.where("page_id > 5"), f"{out}/store")
+    now = jobs.newest_records(spark, f"{out}/store")
+    assert now.selectExpr("sum(n_requests)").first()[0] == n + 500
+    assert now.where("page_url is null").count() == 0
+    jobs.compact(spark, f"{out}/store", f"{out}/compact")
+    assert jobs.newest_records(spark, f"{out}/compact").count() == k
 
 
 def test_export_names(spark):
