@@ -281,6 +281,20 @@ SELECT profile_id, concat_ws(' • ',
     CASE WHEN useRegex THEN 'regex on' ELSE 'regex off' END,
     CASE WHEN decodeUrls THEN 'URL decoding on' ELSE 'URL decoding off' END) AS summary
 FROM c""",
+        "profile_table": f"""WITH {_W}, {_SETTINGS},
+q AS (SELECT DISTINCT user_id AS profile_id, event_id % (SELECT count(*) FROM pages) AS page_id FROM events),
+f AS (
+  SELECT profile_id, sortMode, decodeUrls, we.* FROM q JOIN we USING (page_id) JOIN m USING (profile_id)
+  WHERE (urlIncludePattern = chr(9) || ' ' OR contains(display_url, urlIncludePattern))
+    AND NOT CASE WHEN urlExcludePattern = '' THEN false WHEN useRegex THEN contains(display_url, urlExcludePattern)
+            ELSE contains(lower(display_url), 'local') OR contains(display_url, split_part(urlExcludePattern, ', ', 2)) END
+    AND (textIncludePattern = '' OR contains(lower(text), 'item'))),
+d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY profile_id, page_id, display_url ORDER BY pos) = 1)
+SELECT profile_id, page_id, text, surfaced, CASE WHEN decodeUrls THEN {_decode_uri('display_url')} ELSE display_url END AS url,
+       CAST(CASE sortMode
+         WHEN 'alphabetical' THEN row_number() OVER (PARTITION BY profile_id, page_id ORDER BY display_url COLLATE noaccent.nocase, dom_index, variant_index, pos)
+         ELSE row_number() OVER (PARTITION BY profile_id, page_id ORDER BY dom_index, variant_index, pos) END AS BIGINT) AS rank
+FROM d""",
         "html_variants": """
 SELECT page_id, 'https://site.example/c/' AS page_url, 'Té ' || chr(CAST(page_id % 90 + 33 AS INT)) || ' A' AS title, 0::BIGINT AS dom_index,
        'https://site.example/c/x?a=1&copy=' || page_id || '&copy=2' AS display_url, 'one <b>' AS text

@@ -18,13 +18,13 @@ from anchorage.functions.jsregex import InvalidPattern, to_java
 from anchorage.functions.sql import lit
 from anchorage.settings import Settings
 
-# JavaScript's white space, as in ``functions.jsregex.JS_SPACE``.
-_SPACE = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+# JavaScript's white space, as in ``functions.jsregex.JSBLANKS``.
+BLANKS = "\t\n\x0b\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def plain_terms(pattern: str) -> list[str]:
     """Split on ',', trim, lower-case, drop empties."""
-    return [t for t in (part.strip(_SPACE).lower() for part in pattern.split(",")) if t]
+    return [t for t in (part.strip(BLANKS).lower() for part in pattern.split(",")) if t]
 
 
 def regex_is_valid(pattern: str) -> bool:
@@ -38,7 +38,7 @@ def regex_is_valid(pattern: str) -> bool:
 
 def matcher_sql(value_sql: str, pattern: str, use_regex: bool, valid: bool) -> str | None:
     """createMatcher: SQL predicate on ``value_sql`` (null -> ''), or None."""
-    if not pattern.strip(_SPACE):
+    if not pattern.strip(BLANKS):
         return None
     v = f"coalesce({value_sql}, '')"
     if not use_regex:
@@ -79,7 +79,7 @@ def compile_filter(spark: SparkSession, s: Settings) -> CompiledFilter:
     compiled = []
     for (label, pattern), target in zip(s.patterns(), ("\x00U", "\x00U", "\x00T", "\x00T")):
         valid = True
-        if s.use_regex and pattern.strip(_SPACE):
+        if s.use_regex and pattern.strip(BLANKS):
             valid = regex_is_valid(pattern)
             if not valid:
                 errors.append(f"{label} regex is invalid.")
@@ -89,7 +89,7 @@ def compile_filter(spark: SparkSession, s: Settings) -> CompiledFilter:
 
 
 def active_labels(s: Settings, invalid=()) -> list[str]:
-    return [label for label, p in s.patterns() if p.strip(_SPACE) and label not in invalid]
+    return [label for label, p in s.patterns() if p.strip(BLANKS) and label not in invalid]
 
 
 def format_label_list(labels: list[str]) -> str:

@@ -20,7 +20,7 @@ from anchorage.functions.urls import is_skipped
 from anchorage.operators.export import CSV_COLUMNS, read_csv, read_txt, write_csv, write_txt
 from anchorage.operators.order import dedup_page
 from anchorage.operators.report import csv_row_sql
-from anchorage.plans.visible import profile_apply
+from anchorage.plans.visible import profile_apply, profile_join
 from anchorage.plans.wrapped import read_wrapped
 from anchorage.sources.pages import from_snapshots, read_pages, scan_html
 
@@ -292,6 +292,14 @@ def q_settings_summary(spark, sf_dir):
     return q_settings_merge(spark, sf_dir).select("profile_id", F.expr(settings_summary_sql()).alias("summary"))
 
 
+def q_profile_table(spark, sf_dir):
+    """J4 from a table: every user's stored settings on the pages their events name."""
+    n_pages = _pages(spark, sf_dir).count()  # one scalar
+    requests = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("user_id").alias("profile_id"), (F.col("event_id") % n_pages).alias("page_id")).distinct()
+    return profile_join(wrapped_entries(spark, sf_dir), q_settings_merge(spark, sf_dir), requests)
+
+
 def q_html_variants(spark, sf_dir):
     """S2-S5, U7 on odd markup built from every page: titles and anchors in comments and scripts, a base, quotes, references,
     hosts in other forms, pages without links."""
@@ -327,6 +335,7 @@ QUERIES.update({
     "snapshot_source": q_snapshot_source,
     "settings_merge": q_settings_merge,
     "settings_summary": q_settings_summary,
+    "profile_table": q_profile_table,
     "html_variants": q_html_variants,
     "txt_export": q_txt_export,
     "csv_export": q_csv_export,

@@ -7,12 +7,16 @@ row: no shuffle after the entries are built.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from anchorage.functions.jsregex import InvalidPattern, to_java
 from anchorage.functions.sql import lam, lit
+from anchorage.functions.urls import js_trim_sql
 from anchorage.operators.entries import ENTRY_FIELDS
-from anchorage.operators.filters import compile_filter, no_match_hint
+from anchorage.operators.filters import BLANKS, compile_filter, no_match_hint
 from anchorage.operators.order import dedup_sql, sort_sql
 from anchorage.operators.report import (
     NO_LINKS_HINT, format_url_sql, line_count_sql, nonblank_line_count_sql, plain_text_sql,
@@ -86,3 +90,48 @@ def profile_apply(spark: SparkSession, pages: DataFrame, profiles: dict[str, Set
                        "ELSE _e.display_url END").alias("url"),
                 F.col("_e.text").alias("text"), F.col("_e.surfaced").alias("surfaced"))
     )
+
+
+def _terms_sql(c: str) -> str:
+    """U2 on a column: terms of a plain pattern."""
+    return f"filter(transform(split(lower({c}), ','), t -> {js_trim_sql('t')}), t -> t <> '')"
+
+
+@F.pandas_udf(StringType())
+def _java_patterns(patterns: pd.Series) -> pd.Series:
+    """F5/F6 on a column: the Java form of a pattern; null of a blank or invalid one, which filters nothing."""
+    def one(pattern):
+        try:
+            return to_java(pattern) if pattern and pattern.strip(BLANKS) else None
+        except InvalidPattern:
+            return None
+    return patterns.map(one)
+
+
+def profile_join(pages: DataFrame, settings: DataFrame, requests: DataFrame, key: str = "profile_id") -> DataFrame:
+    """J4 for a table of stored settings of any size: each profile on the pages it asks for.
+
+    ``settings`` as ``operators.store.merge_settings`` returns them, ``requests(<key>, page_id)`` distinct.  Settings
+    and pages are joined to the requests, and each row evaluates its own patterns: nothing is collected,
+    and a page that many profiles ask for is a skewed join that Spark splits.
+    """
+    names = ("urlIncludePattern", "urlExcludePattern", "textIncludePattern", "textExcludePattern")
+    rules = settings.select(key, "sortMode", "useRegex", "decodeUrls",
+                            *(F.expr(_terms_sql(c)).alias(f"_t_{c}") for c in names),
+                            *(_java_patterns(F.when(F.col("useRegex"), F.col(c))).alias(f"_r_{c}") for c in names))
+
+    def rule(c: str) -> str:
+        v = "coalesce(e.display_url, '')" if c.startswith("url") else "coalesce(e.text, '')"
+        no = "NOT " if "Exclude" in c else ""
+        return (f"CASE WHEN useRegex THEN _r_{c} IS NULL OR {no}({v} RLIKE _r_{c}) "
+                f"ELSE size(_t_{c}) = 0 OR {no}exists(_t_{c}, t -> contains(lower({v}), t)) END")
+
+    found = (requests.join(rules, key).join(pages.select("page_id", "entries"), "page_id")
+             .withColumn("_v", F.expr(f"filter(entries, e -> {' AND '.join(map(rule, names))})"))
+             .withColumn("_v", F.expr(dedup_sql("_v")))
+             .withColumn("_v", F.expr(f"CASE WHEN sortMode = 'alphabetical' THEN {sort_sql('_v', 'alphabetical')} "
+                                      f"ELSE {sort_sql('_v', 'original')} END")))
+    return found.select(key, "page_id", "decodeUrls", F.posexplode("_v").alias("_i", "_e")).select(
+        key, "page_id", (F.col("_i") + 1).cast("bigint").alias("rank"),
+        F.expr(f"CASE WHEN decodeUrls THEN {format_url_sql('_e.display_url', True)} ELSE _e.display_url END").alias("url"),
+        F.col("_e.text").alias("text"), F.col("_e.surfaced").alias("surfaced"))
