@@ -159,9 +159,9 @@ def update_results(store: DataFrame, updates: DataFrame, order: str | None = Non
 def current_after_update(store: DataFrame, updates: DataFrame, order: str, current: DataFrame) -> DataFrame:
     """rI2: the record updated last becomes current; without any known id ``current`` stays (one row)."""
     known = updates.join(store.select("result_id"), "result_id", "left_semi")
-    last = known.agg(F.max_by("result_id", F.struct(order, "result_id")).alias("updated"))
-    return last.join(current.agg(F.max("result_id").alias("before"))).select(  # two one-row tables
-        F.coalesce("updated", "before").alias("result_id"))
+    last = known.agg(F.max_by("result_id", F.struct(order, "result_id")).alias("result_id")).withColumn("at", F.lit(1))
+    both = last.unionByName(current.select("result_id", F.lit(0).alias("at"))).where("result_id IS NOT NULL")
+    return both.agg(F.max_by("result_id", "at").alias("result_id"))
 
 
 def refresh_results(store: DataFrame, pages: DataFrame, result_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
