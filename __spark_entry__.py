@@ -132,9 +132,12 @@ w AS (
       WHEN 5 THEN 'mailto:p' || CAST(p.page_id AS VARCHAR) || '@example.com'
       WHEN 6 THEN 'JavaScript:void(' || CAST(p.page_id AS VARCHAR) || ')'
       WHEN 7 THEN p.url
-      ELSE 'https://files.example/a%20b/' || CAST(p.page_id AS VARCHAR) || '?q=c%26d,e' END AS href,
+      WHEN 8 THEN 'https://files.example/a%20b/' || CAST(p.page_id AS VARCHAR) || '?q=c%26d,e'
+      WHEN 9 THEN 'https://go.example/out?url=' || url_encode('http://%5B::1%5D/' || CAST(p.page_id AS VARCHAR))
+      WHEN 10 THEN 'https://go.example/out?url=' || url_encode(p.url) || '&next=' || url_encode(p.url)
+      ELSE 'https://go.example/s#?url=' || url_encode(p.url) END AS href,
     CASE WHEN k.k = 7 THEN 'Again "x", y' ELSE 'Item ' || CAST(k.k AS VARCHAR) END AS text
-  FROM pages p CROSS JOIN range(9) k(k)),
+  FROM pages p CROSS JOIN range(12) k(k)),
 wk AS (
   SELECT *, href AS display_url,
          CASE WHEN contains(href, '?') THEN regexp_extract(href, '^[^?#]*[?]([^#]*)', 1) ELSE '' END AS q,
@@ -153,6 +156,7 @@ wp AS (
 wc AS (
   SELECT page_id, dom_index, display_url, text, param_index,
          CASE WHEN regexp_matches(trim(value), '^(about|blob|data|javascript|moz-extension):', 'i') THEN NULL
+              WHEN contains(value, '%5B') THEN url_decode(trim(value))
               WHEN regexp_matches(trim(value), '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN trim(value)
               WHEN starts_with(trim(value), '/') THEN regexp_extract(display_url, '^([a-z]+://[^/?#]+)', 1) || trim(value)
          END AS target
@@ -344,8 +348,23 @@ SELECT 'result-' || CAST(sequence + (SELECT count(*) FROM saved) AS VARCHAR), NU
        'Saved result could not be found. Please run a new extraction.'
 FROM saved""",
         "results_refresh": f"""{_SAVED}
-SELECT result_id, sequence, source_id, n_entries, CAST(NULL AS VARCHAR) AS error FROM saved""",
-        "results_append": f"{_SAVED} SELECT sequence, result_id, source_id, page_url, title, n_entries FROM saved",
+SELECT result_id, sequence, source_id, n_entries,
+       CASE WHEN source_id % 10 = 0 THEN 'The original tab is no longer available. Run a fresh extraction.' END AS error FROM saved""",
+        "results_by_id": f"""{_SAVED},
+q AS (SELECT DISTINCT 'result-' || (event_id % (2 * (SELECT count(*) FROM pages))) AS result_id FROM events)
+SELECT result_id, sequence, source_id, page_url FROM q LEFT JOIN saved USING (result_id)""",
+        "settings_save": f"""WITH {_SETTINGS},
+p AS (
+  SELECT user_id AS profile_id, regexp_extract(props, '([0-9]+)', 1) AS n, value FROM events WHERE event_type = 'purchase'
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT profile_id, CASE WHEN p.value > 20 THEN 'alphabetical' ELSE sortMode END AS sortMode, themeMode, urlIncludePattern,
+       coalesce('p' || p.n, urlExcludePattern) AS urlExcludePattern, textIncludePattern, textExcludePattern,
+       coalesce(p.value < 10, useRegex) AS useRegex, decodeUrls
+FROM m LEFT JOIN p USING (profile_id)""",
+        "settings_reset": f"""WITH {_SETTINGS}
+SELECT profile_id, sortMode, themeMode, '' AS urlIncludePattern, '' AS urlExcludePattern, '' AS textIncludePattern,
+       '' AS textExcludePattern, false AS useRegex, false AS decodeUrls FROM m""",
+        "results_append": f"{_SAVED} SELECT sequence, result_id, 'result:' || result_id AS storage_key, source_id, page_url, title, n_entries FROM saved",
         "results_prune": f"""{_SAVED},
 cur AS (SELECT max_by(result_id, sequence) AS cid FROM saved),
 c AS (SELECT result_id, row_number() OVER (ORDER BY sequence) AS rk FROM saved

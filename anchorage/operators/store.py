@@ -123,6 +123,11 @@ def lookup(store: DataFrame, result_id: str) -> DataFrame:
     return store.where(F.col("result_id") == F.lit(result_id))
 
 
+def lookup_many(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """S6 for a table of ids: each with its record, or nulls."""
+    return ids.select("result_id").join(store, "result_id", "left")
+
+
 def current_record(store: DataFrame, current: DataFrame) -> DataFrame:
     """The current record (semi join with the one-row current table)."""
     return store.join(current.select("result_id"), "result_id", "left_semi")

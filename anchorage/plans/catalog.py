@@ -119,7 +119,8 @@ def _store(spark, sf_dir):
 
 
 def q_results_append(spark, sf_dir):
-    return _saved(spark, sf_dir).select("sequence", "result_id", "source_id", "page_url", "title",
+    return _saved(spark, sf_dir).select("sequence", "result_id", S.storage_key("result_id").alias("storage_key"),
+                                        "source_id", "page_url", "title",
                                         F.size("entries").cast("bigint").alias("n_entries"))
 
 
@@ -233,8 +234,8 @@ def q_results_update(spark, sf_dir):
 
 
 def q_results_refresh(spark, sf_dir):
-    """E3 for every saved record: re-scan its page, overlay entries."""
-    pages = _pages(spark, sf_dir)
+    """E3 for every saved record: re-scan its page, overlay entries; every tenth page is gone."""
+    pages = _pages(spark, sf_dir).where("page_id % 10 <> 0")
     saved = _store(spark, sf_dir)
     store, errors = S.refresh_results(saved, pages, saved.select("result_id"))
     return store.select("result_id", "sequence", "source_id",
@@ -288,6 +289,28 @@ def q_settings_merge(spark, sf_dir):
     return S.merge_settings(_user_settings(spark, sf_dir))
 
 
+def q_settings_save(spark, sf_dir):
+    """K7: each user's last purchase changes some of the stored settings."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'purchase'")
+    last = events.groupBy("user_id").agg(F.max_by(F.struct("props", "value"), F.struct("ts", "event_id")).alias("e"))
+    partial = last.selectExpr(
+        "user_id AS profile_id", "IF(e.value > 20, 'alphabetical', NULL) AS sortMode",
+        "concat('p', regexp_extract(e.props, '([0-9]+)', 1)) AS urlExcludePattern", "e.value < 10 AS useRegex")
+    return S.save_settings(_user_settings(spark, sf_dir), partial)
+
+
+def q_settings_reset(spark, sf_dir):
+    return S.reset_filters(q_settings_merge(spark, sf_dir))
+
+
+def q_results_by_id(spark, sf_dir):
+    """S6 for the ids that events name, known or not."""
+    n_pages = _pages(spark, sf_dir).count()  # one scalar
+    ids = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.concat(F.lit("result-"), (F.col("event_id") % (2 * n_pages)).cast("string")).alias("result_id")).distinct()
+    return S.lookup_many(_store(spark, sf_dir), ids).select("result_id", "sequence", "source_id", "page_url")
+
+
 def q_settings_summary(spark, sf_dir):
     return q_settings_merge(spark, sf_dir).select("profile_id", F.expr(settings_summary_sql()).alias("summary"))
 
@@ -336,6 +359,9 @@ QUERIES.update({
     "settings_merge": q_settings_merge,
     "settings_summary": q_settings_summary,
     "profile_table": q_profile_table,
+    "settings_save": q_settings_save,
+    "settings_reset": q_settings_reset,
+    "results_by_id": q_results_by_id,
     "html_variants": q_html_variants,
     "txt_export": q_txt_export,
     "csv_export": q_csv_export,

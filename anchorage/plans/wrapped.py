@@ -1,8 +1,8 @@
-"""Wrapped links: nine hrefs per page built from ``pages`` (page_id, url).
+"""Wrapped links: twelve hrefs per page built from ``pages`` (page_id, url).
 
 The test pages carry only plain ``/word`` anchors, so redirect wrappers,
 skipped schemes, opaque schemes, repeated URLs and encoded paths are
-derived from each page row with Spark expressions (the same nine rows
+derived from each page row with Spark expressions (the same rows
 are written in the DuckDB oracle).  The result is a snapshot table
 (``pageUrl``, ``title``, ``links``) for ``sources.pages.from_snapshots``.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed fixture: (href expression, link text) for k = 0..8.
+# Fixed fixture: (href expression, link text) for k = 0..11.
 WRAPPED = (
     ("url", "'Item 0'"),
     ("concat('https://go.example/out?url=', url_encode(url))", "'Item 1'"),
@@ -23,6 +23,10 @@ WRAPPED = (
     ("concat('JavaScript:void(', CAST(page_id AS STRING), ')')", "'Item 6'"),
     ("url", "'Again \"x\", y'"),
     ("concat('https://files.example/a%20b/', CAST(page_id AS STRING), '?q=c%26d,e')", "'Item 8'"),
+    # resolves only after a second decoding; names its target twice; a fragment led by '?'
+    ("concat('https://go.example/out?url=', url_encode(concat('http://%5B::1%5D/', CAST(page_id AS STRING))))", "'Item 9'"),
+    ("concat('https://go.example/out?url=', url_encode(url), '&next=', url_encode(url))", "'Item 10'"),
+    ("concat('https://go.example/s#?url=', url_encode(url))", "'Item 11'"),
 )
 
 

@@ -46,7 +46,7 @@ def test_wrapped_shape(ents):
     per_page = explode_entries(ents).groupBy("page_id").agg(
         F.count("*").alias("n"), F.sum(F.col("surfaced").cast("int")).alias("t"),
         F.max(F.when(F.col("dom_index") == 6, 1).otherwise(0)).alias("has6"))
-    assert per_page.where("n <> 11 OR t <> 3 OR has6 <> 0").count() == 0
+    assert per_page.where("n <> 17 OR t <> 6 OR has6 <> 0").count() == 0
 
 
 def test_pages_all_resolved(spark):
