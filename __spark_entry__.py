@@ -7,11 +7,13 @@ result as DuckDB SQL over the same parquet views.
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 from collections.abc import Callable
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, HERE)
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
@@ -35,8 +37,20 @@ def entry(spark: SparkSession) -> DataFrame:
     return visible_links(spark, page_entries(spark, "/root/testdata/sf0.001"), Settings())
 
 
+def _importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query`` with this folder on the Python path of the workers, wherever the driver was started."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        environment = spark.sparkContext.environment
+        if HERE not in environment.get("PYTHONPATH", "").split(os.pathsep):
+            environment["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, environment.get("PYTHONPATH")]))
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**QUERIES, **LLM_QUERIES}
+    return {name: _importable(query) for name, query in {**QUERIES, **LLM_QUERIES}.items()}
 
 
 # --- DuckDB oracle -------------------------------------------------------------------
