@@ -36,6 +36,7 @@ def with_rank(df: DataFrame, order: list[str], by: list[str] | None = None, out:
     before = Window.partitionBy(*by).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, _PART, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(_BEFORE))
     within = Window.partitionBy(*by, _PART).orderBy(*sort)
-    return (dealt.join(offsets, [*by, _PART])
+    # a merge join at every size: it deals the rows as the window needs them, so they move once
+    return (dealt.join(offsets.hint("merge"), [*by, _PART])
             .withColumn(out, (F.col(_BEFORE) + F.row_number().over(within)).cast("bigint"))
             .select(*df.columns, out))
