@@ -141,6 +141,7 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         F.col("doc_id").alias("__row"), F.expr(merged("concat(base, more)")).alias("__spans")).where(F.size("__spans") > 0)
     marks = ", ".join(f"'{_MASKS[n]}'" for n in [*NAMES, "context"])
     text = replace_spans(f"`{text_col}`", "__spans", f"element_at(array({marks}), s.kind + 1)")
-    return (rows.join(found, "__row", "left")
+    # how many rows hold spans grows with the documents: a merge join at every size
+    return (rows.join(found.hint("merge"), "__row", "left")
             .withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.expr(text)))
             .select(*docs.columns))

@@ -30,7 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     the one whose values come first stays.
     """
     kept = materialize(jaccard_components(docs).where("doc_id = component_id").groupBy("doc_id").count(), "llm", "kept")
-    once, again = (docs.join(kept.where(rows).select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # what is kept grows with the documents: merge joins at every size, which share one shuffle of the texts
+    once, again = (docs.join(kept.where(rows).select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
                    for rows in ("count = 1", "count > 1"))
     again = again.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return once.unionByName(again).unionByName(docs.where("doc_id is null"))
