@@ -1,8 +1,8 @@
 """Words of whole texts as numpy arrays, for use inside Arrow batches.
 
 A word is a maximal run of bytes outside space and \\t..\\r, which is the
-pattern ``[^\\x20\\x09-\\x0D]+`` on UTF-8.  Texts are handled in slices of a
-few MB, so memory follows the longest single text, not the batch.
+pattern ``[^\\x20\\x09-\\x0D]+`` on UTF-8.  Texts are handled in slices of half
+a MB, so memory follows the longest single text, not the batch.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _U = np.uint64
 _SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_WORD = np.ones(256, dtype=bool)
