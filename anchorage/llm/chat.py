@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROLE = "<|{role}|>\n"
 END = "<|end|>\n"
 LEARN = "assistant"
 _HEAD = "concat('<|', coalesce(t.role, ''), '|>\\n')"

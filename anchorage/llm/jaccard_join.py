@@ -73,7 +73,6 @@ def _whole(words: Words, d: int) -> np.uint64:
 
 def set_hash(doc: np.ndarray, hashes: np.ndarray, n_docs: int) -> np.ndarray:
     """A hash of each document's set, 0 of an empty one."""
-    sums = np.zeros(n_docs + 1, _U)
     starts = np.searchsorted(doc, np.arange(n_docs + 1))
     total = np.zeros(len(hashes) + 1, _U)
     np.cumsum(mix(hashes ^ _SEED[0]), out=total[1:])

@@ -15,14 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 
 
 @dataclass(frozen=True)
 class Kind:
     """``name`` in results; ``pattern``; ``needs``: a cheap pattern that any text with a match has;
-    ``valid``: SQL condition on a match ``v``, or None; ``before`` and ``after``: keep the neighbouring words."""
+    ``valid``: SQL condition on a match ``{v}``, or None."""
 
     name: str
     pattern: str
