@@ -15,10 +15,13 @@ piece gets.  Spark ranks the pieces within their length and looks the place up.
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,42 +34,52 @@ from anchorage.session import materialize
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-_CACHE = 500_000
+_CACHE = 600_000  # words whose ids a worker remembers
 _GROUP = 256
 _RANKS = 1 << 42  # more than pieces of one length
-_tokenizers: dict[str, object] = {}
+_LAST_SIGN = re.compile(rb"(?<=[a-z])([,.])(?=\s|$)")
+_known: dict[str, "_Ids"] = {}
 
 
-def _tokenizer(name: str):
-    """The tokenizer of a vocabulary file, once in each worker."""
-    if name not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        from tokenizers import Tokenizer
+def split_words(text: str) -> list[bytes]:
+    """Parts of a text whose ids, one after the other, are the text's.
 
-        _tokenizers[name] = Tokenizer.from_file(public_tokenizers.path(name))
-    return _tokenizers[name]
+    The tokenizer drops white space and never joins across it.  It lowers case after composing
+    characters, so a text without combining marks or special tokens may be lowered first; and a
+    single comma or full stop at the end of a word is a part of its own.  Both make fewer different parts.
+    """
+    data = text.encode()
+    if b"<|" in data or b"\xcc" in data or b"\xcd" in data:
+        return data.split()
+    return _LAST_SIGN.sub(rb" \1", data.lower()).split()
 
 
 class _Ids(dict):
-    """Word to its ids as little-endian bytes.
-
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words one after the other.
-    """
+    """Part of a text to its ids as little-endian bytes; one for each vocabulary in a worker, kept between its tasks."""
 
     def __init__(self, name: str):
         super().__init__()
-        self.tokenizer, self.long = _tokenizer(name), []
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.long = Tokenizer.from_file(public_tokenizers.path(name)), []
+
+    @classmethod
+    def of(cls, name: str) -> "_Ids":
+        if name not in _known:
+            _known[name] = cls(name)
+        return _known[name]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Hold the ids of ``words``, of long ones until the next call only."""
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Hold the ids of all parts of ``texts``, of long ones until the next call only."""
         for word in self.long:
             self.pop(word, None)
-        if len(self) > _CACHE:
-            self.clear()
-        self.long = [w for w in words if len(w) > 256]
-        new = list(words - self.keys())
+        if len(self) > _CACHE:  # the parts learned first are the frequent ones
+            for word in list(islice(reversed(self), len(self) // 2)):
+                del self[word]
+        new = list({w for words in texts for w in words if w not in self})
+        self.long = [w for w in new if len(w) > 256]
         for word, found in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
             self[word] = np.array(found.ids, "<u4").tobytes()
 
@@ -78,12 +91,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
     kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Ids(tokenizer)
+        known = _Ids.of(tokenizer)
+        gc.disable()  # nothing here is cyclic, and each collection would walk all known parts
         for batch in source:
             for lo in range(0, batch.num_rows, _GROUP):
                 some = batch.slice(lo, _GROUP)
-                texts = [(t.as_py() or "").encode().split() for t in some.column(1)]
-                known.learn(set().union(*texts))
+                texts = [split_words(t.as_py() or "") for t in some.column(1)]
+                known.learn(texts)
                 rows, ids_of = {k: [] for k in kinds}, []
                 for doc_id, words in zip(some.column(0).to_pylist(), texts):
                     ids = b"".join([*map(known.__getitem__, words), end])
@@ -98,6 +112,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
                 if with_ids:
                     columns.append(pa.array(ids_of, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kinds, *(["ids"] if with_ids else [])])
+        gc.enable()
 
     return docs.mapInArrow(
         batches, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
