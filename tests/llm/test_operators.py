@@ -322,6 +322,81 @@ def test_curve_is_finite_on_any_rows():
         assert np.isfinite([slope, intercept]).all() and slope >= 1
 
 
+def plain_ratios(words):
+    """{n-gram: log ratio} and {context: log ratio of an unseen n-gram in it}, from {word: (toxic, ordinary)}."""
+    n, d = toxicity.ORDER, toxicity.DISCOUNT
+    counts = {}
+    for w, (t, o) in words.items():
+        padded = "\x02" * (n - 1) + w + "\x03"
+        for i in range(len(w) + 1):
+            a, b = counts.get(padded[i:i + n], (0, 0))
+            counts[padded[i:i + n]] = a + t, b + o
+    below, levels = set(counts), []
+    for _ in range(n - 1):
+        level = {}
+        for g in below:
+            level[g[1:]] = level.get(g[1:], 0) + 1
+        levels.append(level)
+        below = set(level)
+    p = {g: c / sum(levels[-1].values()) for g, c in levels[-1].items()}
+    for level in reversed(levels[:-1]):
+        of = {}
+        for g, c in level.items():
+            of.setdefault(g[:-1], []).append(c)
+        p = {g: (c - d + d * len(of[g[:-1]]) * p[g[1:]]) / sum(of[g[:-1]]) for g, c in level.items()}
+    of = {}
+    for g, both in counts.items():
+        of.setdefault(g[:-1], []).append(both)
+
+    def weight(h, k):
+        own = [both[k] for both in of[h] if both[k]]
+        return (d * len(own) / sum(own), sum(own)) if own else (1.0, 0)
+
+    def prob(g, k):
+        w, total = weight(g[:-1], k)
+        return w * p[g[1:]] + (max(counts[g][k] - d, 0) / total if total else 0)
+
+    return ({g: np.log(prob(g, 0)) - np.log(prob(g, 1)) for g in counts},
+            {h: np.log(weight(h, 0)[0]) - np.log(weight(h, 1)[0]) for h in of})
+
+
+def scored_words(spark, counted, others):
+    words = spark.createDataFrame([(w, *counted.get(w, (0, 0))) for w in (*counted, *others)], "word string, t long, o long")
+    ratios = toxicity.word_ratios(words, toxicity.log_ratios(toxicity.count_grams(words)))
+    return {r.key: r.steps / 1e8 for r in ratios.collect()}
+
+
+def test_every_counted_gram_of_a_word_has_its_ratio(spark):
+    rnd = random.Random(12)
+    counted = {"".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 9))): (rnd.choice([0, 0, 3, 40]), rnd.choice([0, 1, 30])) for _ in range(300)}
+    counted = {w: c for w, c in counted.items() if any(c)}
+    seen, _ = plain_ratios(counted)
+    got = scored_words(spark, counted, [])
+    want = {}
+    for w in counted:
+        padded = "\x02" * 4 + w + "\x03"
+        want[w] = sum(seen[padded[i:i + 5]] for i in range(len(w) + 1))
+    assert {toxicity._key(w.encode()) for w in want if abs(want[w]) >= toxicity.NEUTRAL} == set(got)
+    for w in want:
+        assert got.get(toxicity._key(w.encode()), want[w]) == pytest.approx(want[w], abs=1e-6)
+
+
+def test_the_model_has_no_bound(spark):
+    words = spark.createDataFrame([(f"w{k}x{k * k}", k % 3, 2) for k in range(50)], "word string, t long, o long")
+    grams = toxicity.count_grams(words)
+    model = toxicity.log_ratios(grams)
+    assert model.count() == grams.count() and "Limit" not in model._jdf.queryExecution().toString()
+
+
+def test_filter_loses_no_word(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FILTER_BITS", 64)  # nearly every word passes
+    ratios = spark.createDataFrame([(toxicity._key(f"w{k}".encode()), int(4e8) + k) for k in range(0, 90, 2)], "key long, steps long")
+    docs = spark.createDataFrame([(k, f"w{k} W{k} w{k + 1} x") for k in range(90)] + [(None, "w2"), (None, None)], "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, round(r.llr, 6)) for r in toxicity.evidence(docs, ratios).collect())
+    want = [(False, k, 4, round((2 * (4 + k / 1e8) if k % 2 == 0 else (4 + (k + 1) / 1e8 if k < 89 else 0)) / 4, 6)) for k in range(90)]
+    assert got == sorted(want + [(True, 0, 1, 4.0), (True, 0, 0, 0.0)])
+
+
 # --- 8 ---------------------------------------------------------------------------------
 
 def brute_pair(c, r):
