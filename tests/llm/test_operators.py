@@ -381,6 +381,20 @@ def test_every_counted_gram_of_a_word_has_its_ratio(spark):
         assert got.get(toxicity._key(w.encode()), want[w]) == pytest.approx(want[w], abs=1e-6)
 
 
+def test_unseen_grams_back_off_to_their_context(spark):
+    counted = {"zorkish": (60, 1), "zorkbar": (50, 0), "plainly": (1, 90), "plainest": (0, 70), "zebra": (0, 80)}
+    others = ["zorky", "zorkzork", "plainzz", "qqq", "zorkishness", ""]
+    seen, backoff = plain_ratios(counted)
+    got = scored_words(spark, counted, others)
+    for w in (*counted, *others):
+        padded = "\x02" * 4 + w + "\x03"
+        grams = [padded[i:i + 5] for i in range(len(w) + 1)]
+        want = sum(seen[g] if g in seen else backoff.get(g[:4], 0.0) for g in grams)
+        assert got.get(toxicity._key(w.encode()), 0.0) == pytest.approx(want if abs(want) >= toxicity.NEUTRAL else 0.0, abs=1e-6)
+    padded = "\x02" * 4 + "zorky" + "\x03"
+    assert any(padded[i:i + 5] not in seen and backoff.get(padded[i:i + 4]) for i in range(6))
+
+
 def test_the_model_has_no_bound(spark):
     words = spark.createDataFrame([(f"w{k}x{k * k}", k % 3, 2) for k in range(50)], "word string, t long, o long")
     grams = toxicity.count_grams(words)
