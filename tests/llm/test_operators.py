@@ -363,7 +363,7 @@ def plain_ratios(words):
 def scored_words(spark, counted, others):
     words = spark.createDataFrame([(w, *counted.get(w, (0, 0))) for w in (*counted, *others)], "word string, t long, o long")
     ratios = toxicity.word_ratios(words, toxicity.log_ratios(toxicity.count_grams(words)))
-    return {r.key: r.steps / 1e8 for r in ratios.collect()}
+    return {r.key: r.llr / 1e8 for r in ratios.collect()}
 
 
 def test_every_counted_gram_of_a_word_has_its_ratio(spark):
@@ -395,6 +395,17 @@ def test_unseen_grams_back_off_to_their_context(spark):
     assert any(padded[i:i + 5] not in seen and backoff.get(padded[i:i + 4]) for i in range(6))
 
 
+def test_words_of_the_curve_rows_alone_are_learned(spark):
+    ids = [k for k in range(4000) if zlib.crc32(str(k).encode()) % 3 != 1]
+    held = [k for k in ids if zlib.crc32(str(k).encode()) // 3 % toxicity.CURVE_ROWS == 0]
+    rows = [(k, "calm plain text " * 5 + ("zorkish " * 5 if k % 2 else "")) for k in ids if k not in held]
+    rows += [(k, "calm plain text " * 5 + ("quaxter " * 5 if k % 2 else "")) for k in held]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+    rows += [(90_000, "quaxter quaxter calm plain"), (90_001, "calm plain")]
+    got = {r.doc_id: r.llr for r in toxicity.toxicity_scores(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert got[90_000] > 1 and got[90_001] <= 0
+
+
 def test_the_model_has_no_bound(spark):
     words = spark.createDataFrame([(f"w{k}x{k * k}", k % 3, 2) for k in range(50)], "word string, t long, o long")
     grams = toxicity.count_grams(words)
@@ -404,7 +415,7 @@ def test_the_model_has_no_bound(spark):
 
 def test_filter_loses_no_word(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "FILTER_BITS", 64)  # nearly every word passes
-    ratios = spark.createDataFrame([(toxicity._key(f"w{k}".encode()), int(4e8) + k) for k in range(0, 90, 2)], "key long, steps long")
+    ratios = spark.createDataFrame([(toxicity._key(f"w{k}".encode()), int(4e8) + k) for k in range(0, 90, 2)], "key long, llr long")
     docs = spark.createDataFrame([(k, f"w{k} W{k} w{k + 1} x") for k in range(90)] + [(None, "w2"), (None, None)], "doc_id long, text string")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, round(r.llr, 6)) for r in toxicity.evidence(docs, ratios).collect())
     want = [(False, k, 4, round((2 * (4 + k / 1e8) if k % 2 == 0 else (4 + (k + 1) / 1e8 if k < 89 else 0)) / 4, 6)) for k in range(90)]
