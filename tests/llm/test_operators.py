@@ -413,13 +413,21 @@ def test_the_model_has_no_bound(spark):
     assert model.count() == grams.count() and "Limit" not in model._jdf.queryExecution().toString()
 
 
-def test_filter_loses_no_word(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "FILTER_BITS", 64)  # nearly every word passes
-    ratios = spark.createDataFrame([(toxicity._key(f"w{k}".encode()), int(4e8) + k) for k in range(0, 90, 2)], "key long, llr long")
-    docs = spark.createDataFrame([(k, f"w{k} W{k} w{k + 1} x") for k in range(90)] + [(None, "w2"), (None, None)], "doc_id long, text string")
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, round(r.llr, 6)) for r in toxicity.evidence(docs, ratios).collect())
-    want = [(False, k, 4, round((2 * (4 + k / 1e8) if k % 2 == 0 else (4 + (k + 1) / 1e8 if k < 89 else 0)) / 4, 6)) for k in range(90)]
-    assert got == sorted(want + [(True, 0, 1, 4.0), (True, 0, 0, 0.0)])
+def test_shared_bounds_lose_no_word(spark, monkeypatch):
+    counted = {"zorkish": (60, 1), "zorkbar": (50, 0), "plainly": (1, 90), "plainest": (0, 70), "zebra": (0, 80)}
+    texts = ["zorkish plainly zorky", "Zebra zebra zorkzork x", "plainest", "", None]
+    words = {w: counted.get(w, (0, 0)) for t in [*texts, *counted] for w in (t or "").lower().split()}
+    model = toxicity.log_ratios(toxicity.count_grams(spark.createDataFrame([(w, *c) for w, c in words.items()], "word string, t long, o long")))
+    ratio = scored_words(spark, counted, [w for w in words if w not in counted])
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "doc_id long, text string")
+    for buckets in (1 << 16, 4):  # with 4 nearly every word must be joined
+        monkeypatch.setattr(toxicity, "BUCKETS", buckets)
+        got = {(r.doc_id, r.n_words): r.llr for r in toxicity.evidence(docs, model).collect()}
+        assert len(got) == len(texts) + 1
+        for doc_id, text in [*enumerate(texts), (None, texts[0])]:
+            own = (text or "").lower().split()
+            want = sum(ratio.get(toxicity._key(w.encode()), 0.0) for w in own) / max(len(own), 1)
+            assert got[doc_id, len(own)] == pytest.approx(want, abs=1e-6)
 
 
 # --- 8 ---------------------------------------------------------------------------------
