@@ -4,9 +4,10 @@ Seeds are the spans that four fixed patterns find.  The words beside a span are
 its lexical patterns: ``<`` and the word before it, ``>`` and the word after it.  Words
 with a digit that no seed covers are candidates and have patterns too.  On the graph of
 patterns and instances (the values found) Spark alternates ``ROUNDS`` times: a
-pattern's score is the mean score of its instances, held down while it has few; a candidate's
-score is that at least one of its patterns is right (noisy or); seeds stay at 1.  Candidates above
-``CONFIDENT`` are spans of kind ``context``.
+pattern's score is the mean score of its instances, held down while it has few; only patterns of
+``CONFIDENT`` discover.  The score of a place is that at least one of such patterns beside it is right (noisy or
+of two at most), a candidate's score is the mean of its distinct contexts, so it doesn't grow with their number; seeds stay
+at 1.  A word is a span of kind ``context`` where its place has ``CONFIDENT``, and everywhere if its value has.
 
 Only DataFrame functions run.  The graph is summed up before each shuffle, and patterns
 or values that very many rows share are one row each after it.
@@ -68,24 +69,31 @@ def _patterns(side: str):
     return F.array_compact(F.array(word("before", "<"), word("after", ">")))
 
 
-def score_candidates(edges: DataFrame, rounds: int = ROUNDS, doubt: int = DOUBT) -> DataFrame:
-    """(instance, score) of the candidates of ``edges(pattern, instance, seed)``, distinct rows.
+def score_candidates(contexts: DataFrame, rounds: int = ROUNDS, doubt: int = DOUBT, confident: float = CONFIDENT) -> DataFrame:
+    """(instance, patterns, score) of the candidates' ``contexts(instance, patterns, seed)``, distinct rows: the larger of
+    the context's own score and its instance's.  Rows of score 0 may be missing.
 
     Every round is two joins and two sums over the edges; a written table ends it.
     """
+    edges = materialize(contexts.select("instance", "seed", F.explode("patterns").alias("pattern")).distinct(), "llm", "edges")
+    mine = contexts.where("NOT seed").select("instance", "patterns")
+    sizes = mine.where(F.size("patterns") > 0).groupBy("instance").agg(F.count(F.lit(1)).alias("n"))
+    kinds = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     scores = None
     for _ in range(rounds):
         known = edges.where("seed").withColumn("score", F.lit(1.0))
         if scores is not None:
             known = known.unionByName(edges.where("NOT seed").join(scores, "instance"))
-        kinds = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
         found = known.groupBy("pattern").agg(F.sum("score").alias("sum"))
         patterns = found.join(kinds, "pattern").select(
-            "pattern", F.least(F.col("sum") / (F.col("n") + doubt), F.lit(0.999999)).alias("right"))
-        scores = materialize(
-            edges.where("NOT seed").join(patterns, "pattern").groupBy("instance")
-            .agg((1 - F.exp(F.sum(F.ln(1 - F.col("right"))))).alias("score")), "llm", "scores")
-    return scores
+            "pattern", F.least(F.col("sum") / (F.col("n") + doubt), F.lit(0.999999)).alias("right")).where(F.col("right") >= confident)
+        own = materialize(
+            mine.withColumn("pattern", F.explode("patterns")).join(patterns, "pattern").groupBy("instance", "patterns")
+            .agg((1 - F.exp(F.sum(F.ln(1 - F.col("right"))))).alias("own")), "llm", "places")
+        scores = materialize(own.groupBy("instance").agg(F.sum("own").alias("sum")).join(sizes, "instance")
+                             .select("instance", (F.col("sum") / F.col("n")).alias("score")), "llm", "scores")
+    return (mine.join(scores, "instance").join(own, ["instance", "patterns"], "left")
+            .select("instance", "patterns", F.greatest("score", "own").alias("score")))
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confident: float = CONFIDENT) -> DataFrame:
@@ -99,12 +107,13 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col(text_col).cast("string").alias("text"))), "llm", "found")
     seeds = found.select(F.explode("base").alias("s"), F.lit(True).alias("seed"))
     words = found.select("row", F.explode("words").alias("s"))
-    edges = materialize(
+    contexts = materialize(
         seeds.unionByName(words.select("s", F.lit(False).alias("seed")))
-        .select(F.explode(_patterns("s")).alias("pattern"), F.col("s.value").alias("instance"), "seed").distinct(),
-        "llm", "edges")
-    sure = score_candidates(edges).where(F.col("score") >= confident).select("instance")
-    more = (words.join(sure, F.col("s.value") == F.col("instance"), "left_semi")
+        .select(F.col("s.value").alias("instance"), _patterns("s").alias("patterns"), "seed").distinct(),
+        "llm", "contexts")
+    sure = score_candidates(contexts, confident=confident).where(F.col("score") >= confident)
+    more = (words.withColumn("patterns", _patterns("s")).withColumn("instance", F.col("s.value"))
+            .join(sure, ["instance", "patterns"], "left_semi")
             .groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
                 "s.start", F.lit(len(KINDS)).alias("kind"), "s.end", "s.value"))).alias("more")))
     plain = F.expr("transform(base, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end, 'value', s.value))")

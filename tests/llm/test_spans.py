@@ -83,6 +83,15 @@ def test_patterns_learned_from_seeds_find_other_identifiers(spark):
     assert {k: v for k, v in found.items() if v} == {100 + k: [f"member-{k}x77"] for k in range(3)}
 
 
+def test_many_weak_contexts_make_no_identifier(spark):
+    weak = ["c" + "".join("abcdefghij"[int(c)] for c in str(k)) for k in range(2000)]
+    texts = [t for k, w in enumerate(weak) for t in (f"{w} user{k}@mail.example.com", f"{w} 1", f"{w} {k}x{k}")]
+    texts += [f"contact: member{k}@mail.example.com" for k in range(40)] + ["contact: 1", "contact: key-77x"]
+    found = {r.doc_id: [s.value for s in r.more] for r in pii.personal_data(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {texts[k]: v for k, v in found.items() if v} == {"contact: 1": ["1"], "contact: key-77x": ["key-77x"]}
+
+
 def test_masked_keeps_other_columns_and_rows(spark):
     docs = spark.createDataFrame(
         [(1, "a me@x.example.com b 10.0.0.1", "s"), (1, "a me@x.example.com b 10.0.0.1", "s"), (None, None, None),
