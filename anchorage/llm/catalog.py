@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from anchorage.llm import chat, jaccard_join, mixing, packing, pii, repetition, secrets, spotsigs, substring_dedup, toxicity
+from anchorage.llm import alignment, chat, jaccard_join, mixing, packing, pii, repetition, secrets, spotsigs, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": repetition.op10_quality_rules,
+    "op11_token_alignment": alignment.op11_token_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
