@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from anchorage.llm import alignment, chat, jaccard_join, merkle, mixing, packing, pii, repetition, secrets, spotsigs, substring_dedup, toxicity
+from anchorage.llm import alignment, chat, jaccard_join, merkle, mixing, packing, pii, repetition, secrets, site_tree, spotsigs, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_quality_rules": repetition.op10_quality_rules,
     "op11_token_alignment": alignment.op11_token_alignment,
+    "op12_site_style_tree": site_tree.op12_site_style_tree,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
@@ -27,5 +28,6 @@ ORACLE_SQL = {
     "op7_substring_dedup": substring_dedup.OP7_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
     "op10_quality_rules": repetition.OP10_SQL,
+    "op12_site_style_tree": site_tree.OP12_SQL,
     "op13_merkle_manifest": merkle.OP13_SQL,
 }
