@@ -15,73 +15,166 @@ piece gets.  Spark ranks the pieces within their length and looks the place up.
 
 from __future__ import annotations
 
-import gc
+import json
 import os
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from anchorage.llm.alignment import byte_alphabet
+from anchorage.llm.words import Words, raw, slices, span_hash
 from anchorage.operators.ranking import with_rank
 from anchorage.session import materialize
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
-_CACHE = 600_000  # words whose ids a worker remembers
-_GROUP = 256
+_SLICE = 1 << 20  # bytes of texts handled at once
+_KNOWN = 250_000  # different words whose ids a worker remembers
 _RANKS = 1 << 42  # more than pieces of one length
-_LAST_SIGN = re.compile(rb"(?<=[a-z])([,.])(?=\s|$)")
-_known: dict[str, "_Ids"] = {}
+#: Bytes of ASCII punctuation but for the apostrophe, which may begin a part with letters.
+_PUNCTUATION = np.isin(np.arange(256), [*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])
+_ALNUM = np.isin(np.arange(256), [*range(0x30, 0x3A), *range(0x61, 0x7B)])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+_LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_tables: dict[str, "_Ids"] = {}
 
 
-def split_words(text: str) -> list[bytes]:
-    """Parts of a text whose ids, one after the other, are the text's.
+def simple(text: bytes) -> bool:
+    """Whether the words of a text may be lowered and parted from a tail of signs before they are encoded.
 
-    The tokenizer drops white space and never joins across it.  It lowers case after composing
-    characters, so a text without combining marks or special tokens may be lowered first; and a
-    single comma or full stop at the end of a word is a part of its own.  Both make fewer different parts.
+    The tokenizer lowers case after composing characters, so combining marks come first; special tokens keep theirs.
     """
-    data = text.encode()
-    if b"<|" in data or b"\xcc" in data or b"\xcd" in data:
-        return data.split()
-    return _LAST_SIGN.sub(rb" \1", data.lower()).split()
+    return b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text
 
 
-class _Ids(dict):
-    """Part of a text to its ids as little-endian bytes; one for each vocabulary in a worker, kept between its tasks."""
+def _letter_encoder(model: dict):
+    """Encoder of words of letters by the merges of a vocabulary with word ends: all ids, and how many each word has.
+
+    None if the vocabulary is not of that kind.
+
+    The merges run in one call: a zero byte stands for the word end, and is first joined to
+    the last byte of its word, as the vocabulary has it.
+    """
+    import tiktoken
+
+    end = model.get("end_of_word_suffix")
+    if model.get("type") != "BPE" or not end:
+        return None
+    byte, vocabulary = byte_alphabet(), model["vocab"]
+    ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 0]): 256 + b for b in range(256)}
+    ids = np.zeros(512 + len(model["merges"]), np.int64)
+    for c, b in byte.items():
+        ids[b], ids[256 + b] = vocabulary[c], vocabulary[c + end]
+    for k, merge in enumerate(model["merges"]):
+        token = "".join(merge if isinstance(merge, list) else merge.split(" "))
+        last = token.endswith(end)
+        spelled = bytes(byte[c] for c in (token[: -len(end)] if last else token)) + (b"\0" if last else b"")
+        ranks.setdefault(spelled, 512 + k)
+        ids[512 + k] = vocabulary[token]
+    ends = np.zeros(len(ids), bool)
+    ends[[r for t, r in ranks.items() if t.endswith(b"\0")]] = True
+    encoding = tiktoken.Encoding("words", pat_str="[^\0]*\0", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = np.array(encoding.encode_ordinary("\0".join(words) + "\0"), np.int64)
+        return ids[found], np.diff(np.append(-1, np.flatnonzero(ends[found])))
+
+    return encode
+
+
+class _Ids:
+    """Ids of words, one after the other, for each vocabulary in a worker; kept between its tasks."""
 
     def __init__(self, name: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.long = Tokenizer.from_file(public_tokenizers.path(name)), []
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        with open(public_tokenizers.path(name), encoding="utf-8") as file:
+            self.of_letters = _letter_encoder(json.load(file)["model"])
+        self.clear()
 
     @classmethod
     def of(cls, name: str) -> "_Ids":
-        if name not in _known:
-            _known[name] = cls(name)
-        return _known[name]
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Hold the ids of all parts of ``texts``, of long ones until the next call only."""
-        for word in self.long:
-            self.pop(word, None)
-        if len(self) > _CACHE:  # the parts learned first are the frequent ones
-            for word in list(islice(reversed(self), len(self) // 2)):
-                del self[word]
-        new = list({w for words in texts for w in words if w not in self})
-        self.long = [w for w in new if len(w) > 256]
-        for word, found in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            self[word] = np.array(found.ids, "<u4").tobytes()
+        if name not in _tables:
+            _tables[name] = cls(name)
+        return _tables[name]
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ids, self.start = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)  # start of each word and the end of the last
+
+    def learn(self, words: list[bytes]) -> None:
+        """Add the ids of new words.  Those of plain letters are one part to the tokenizer, so its merges are applied to them at once."""
+        texts = [w.decode() for w in words]
+        plain = [self.of_letters is not None and bool(_LETTERS.fullmatch(t)) for t in texts]
+        some = [t.lower() for t, p in zip(texts, plain) if p]
+        if some:
+            self._add([w for w, p in zip(words, plain) if p], *self.of_letters(some))
+        others = [t for t, p in zip(texts, plain) if not p]
+        if others:
+            found = [e.ids for e in self.tokenizer.encode_batch(others, add_special_tokens=False)]
+            self._add([w for w, p in zip(words, plain) if not p], np.fromiter(chain.from_iterable(found), np.uint32),
+                      np.array([len(f) for f in found]))
+
+    def _add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(self.place)
+        ends = self.start[n] + np.cumsum(lengths)
+        for name, size in (("ids", ends[-1] + 1), ("start", n + len(words) + 1)):
+            if (old := getattr(self, name)).size < size:
+                grown = np.zeros(2 * size, old.dtype)
+                grown[: old.size] = old
+                setattr(self, name, grown)
+        self.ids[self.start[n]: ends[-1]] = ids
+        self.start[n + 1: n + 1 + len(words)] = ends
+        self.place.update(zip(words, range(n, n + len(words))))
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The places of words in the table; new ones are learned."""
+        if len(self.place) > _KNOWN:
+            self.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.place]
+        for k in range(0, len(new), 20_000):
+            self.learn(new[k: k + 20_000])
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, all in one, and the bounds of each text's ids.
+
+        The texts are cut into parts whose ids, one after the other, are the text's: the tokenizer drops white space and never joins
+        across it, nor a letter or digit and the signs after it.
+        """
+        plain = np.fromiter((simple(data[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])), bool, len(bounds) - 1)
+        data = _LOWER[data] if plain.all() else np.where(np.repeat(plain, np.diff(bounds)), _LOWER[data], data)
+        words = Words(data, bounds)
+        solid = np.maximum.accumulate(np.where(_PUNCTUATION[data], -1, np.arange(len(data))))  # last byte up to here that is no sign
+        cut = solid[words.end - 1] + 1
+        before = np.maximum(cut - 1, 0)
+        latin = (data[before - 1] == 0xC3) & (data[before] >= 0x80) & (data[before] != 0x97) & (data[before] != 0xB7)
+        cut = np.where(plain[words.doc] & (cut > words.start) & (_ALNUM[data[before]] | latin), cut, words.end)
+        # each word, and what follows its cut
+        start, end = np.stack([words.start, cut], 1).ravel(), np.stack([cut, words.end], 1).ravel()
+        some = start < end
+        part_at = np.append(0, np.cumsum(some))[2 * words.first]
+        start, end = start[some], end[some]
+        # different parts of this slice are looked up once each
+        _, first, which = np.unique(span_hash(words.prefix, start, end), return_index=True, return_inverse=True)
+        whole = data.tobytes()
+        at = self.places([whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])[which]
+        length = self.start[at + 1] - self.start[at]
+        until = np.cumsum(length)
+        out = self.ids[np.repeat(self.start[at] - (until - length), length) + np.arange(length.sum())]
+        return out, np.append(0, until)[part_at]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID,
@@ -91,20 +184,20 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
     kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Ids.of(tokenizer)
-        gc.disable()  # nothing here is cyclic, and each collection would walk all known parts
+        table = _Ids.of(tokenizer)
         for batch in source:
-            for lo in range(0, batch.num_rows, _GROUP):
-                some = batch.slice(lo, _GROUP)
-                texts = [split_words(t.as_py() or "") for t in some.column(1)]
-                known.learn(texts)
+            data, bounds = raw(batch.column(1))
+            for lo, hi in slices(bounds, _SLICE):
+                ids, at = table.encode(data[bounds[lo]: bounds[hi]], bounds[lo: hi + 1] - bounds[lo])
+                ids, at = memoryview(ids.astype("<u4").tobytes()), (4 * at).tolist()
                 rows, ids_of = {k: [] for k in kinds}, []
-                for doc_id, words in zip(some.column(0).to_pylist(), texts):
-                    ids = b"".join([*map(known.__getitem__, words), end])
-                    n = len(ids) // 4
-                    for k, at in enumerate(range(0, n, capacity)):
-                        own = ids[4 * at: 4 * (at + capacity)]
-                        for name, value in zip(kinds, (doc_id, k, at, len(own) // 4, zlib.crc32(own))):
+                for doc_id, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), at, at[1:]):
+                    n = (b - a) // 4 + 1
+                    for k, first in enumerate(range(0, n, capacity)):
+                        own = bytes(ids[a + 4 * first: min(b, a + 4 * (first + capacity))])
+                        if first + capacity >= n:
+                            own += end
+                        for name, value in zip(kinds, (doc_id, k, first, len(own) // 4, zlib.crc32(own))):
                             rows[name].append(value)
                         if with_ids:
                             ids_of.append(np.frombuffer(own, "<i4"))
@@ -112,7 +205,6 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
                 if with_ids:
                     columns.append(pa.array(ids_of, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=[*kinds, *(["ids"] if with_ids else [])])
-        gc.enable()
 
     return docs.mapInArrow(
         batches, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from anchorage.llm.packing import TOKENIZER, best_fit, pack_documents, plan, reduce, sequences
+from anchorage.llm.packing import TOKENIZER, _Ids, best_fit, pack_documents, plan, reduce, sequences
 
 
 @pytest.mark.parametrize("capacity, n, seed", [(2048, 20_000, 1), (100, 500, 2), (50, 60, 3), (10, 300, 4), (7, 40, 5)])
@@ -98,5 +98,20 @@ def test_pieces_round_trip(spark):
     assert total == sum(map(len, whole.values()))
 
 
+def test_words_have_the_ids_of_the_plain_tokenizer():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    rnd = random.Random(8)
+    tails = ["", "", ",", ".", "!!", "***", "&&&", "'s", "'", "-x", ").", "»", "9", "é", "×", "_"]
+    letters = "etaoinshrdlucmfwypvbgkjqxz" * 3 + "éèüößÉÜçñÑ'"
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 14))) + rnd.choice(tails) for _ in range(60_000)]
+    words += ["x" * 5000, "...", "<|", "|>", "a\u0301.", "\u0130,", "\0", "a\0b", "don't,", "'ll.", "1,000.", "ABC,", "ÉCOLE."]
+    table = _Ids.of(TOKENIZER)
+    texts = [" ".join(words[k: k + 40]) for k in range(0, len(words), 40)]
+    data = [t.encode() for t in texts]
+    ids, at = table.encode(np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(d) for d in data])))
+    for k, e in enumerate(tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ids[at[k]: at[k + 1]].tolist() == e.ids
+
+
 def test_no_documents(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
