@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from anchorage.operators.ranking import with_rank
+from anchorage.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -54,11 +55,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
                     F.least(F.col("limit"), F.col("level") * F.col("weight")).alias("target")))
 
 
-def with_copies(docs: DataFrame, size, id_col: str, source_col: str, seed: int) -> DataFrame:
-    """``docs`` plus ``__size``, ``__source_size``, ``__target`` and ``__copies``."""
+def with_copies(docs: DataFrame, size, id_col: str, source_col: str, seed: int, ties: list[str]) -> DataFrame:
+    """``docs`` plus ``__size``, ``__source_size``, ``__target`` and ``__copies``; rows of one size and id are ordered by ``ties``."""
     docs = docs.select("*", size.alias("__size"), F.col(source_col).isNull().alias("__no_source"),
                        F.coalesce(F.col(source_col), F.lit("")).alias("__source"))
-    ranked = with_rank(docs, ["__size", id_col], by=["__no_source", "__source"], out="__rank")
+    ranked = with_rank(docs, ["__size", id_col, *ties], by=["__no_source", "__source"], out="__rank")
     totals = ranked.groupBy(F.col("__no_source").alias("no_source"), F.col("__source").alias("source")).agg(
         F.sum("__size").alias("source_size"))
     targets = source_targets(totals).select(
@@ -81,20 +82,27 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, size, source_size, target, taken), one row per row of ``docs``.
 
     A null text has size 0; a null source is a source of its own, the last one; an empty
-    source is not null.  Repeated rows count as documents of their own.  A source without words has
-    target 0 and nothing is taken from it.  Equal input and seed give equal results.
+    source is not null.  Repeated rows count as documents of their own; rows of one size and id are ordered by
+    a hash of the text.  A source without words has target 0 and nothing is taken from it.  Equal input and seed give equal results.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), size_of(text_col).alias("size"),
-                       F.col(source_col).cast("string").alias("source"))
-    return (with_copies(docs, F.col("size"), "doc_id", "source", seed)
+                       F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("hash"))
+    return (with_copies(docs, F.col("size"), "doc_id", "source", seed, ["hash"])
             .select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
                     (F.col("__copies") * F.col("size")).alias("taken")))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
           seed: int = SEED) -> DataFrame:
-    """The mix itself: the rows of ``docs``, all columns as they are, each as often as it is taken."""
-    return (with_copies(docs, size_of(text_col), id_col, source_col, seed)
+    """The mix itself: the rows of ``docs``, all columns as they are, each as often as it is taken.
+
+    Only sizes, ids and sources are ranked; the texts are written once, with a number for each row, and move once, to meet their copies.
+    """
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "llm", "rows")
+    narrow = rows.select("__row", F.col(id_col).alias("__id"), size_of(text_col).alias("size"), F.col(source_col).alias("__from"),
+                         F.xxhash64(text_col).alias("__hash"))
+    copies = with_copies(narrow, F.col("size"), "__id", "__from", seed, ["__hash"]).where("__copies > 0").select("__row", "__copies")
+    return (rows.join(copies.hint("merge"), "__row")
             .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies"))))
             .select(*docs.columns))
 
