@@ -24,12 +24,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: that of the least id.
+    """One document of each group of linked ones (sets of five words, similarity 0.8) stays: that of the least id.
 
     A row without id is in no group and stays.  Rows of one id are one document; of these
     the one whose values come first stays.
     """
-    kept = materialize(jaccard_components(docs).where("doc_id = component_id").groupBy("doc_id").count(), "llm", "kept")
+    kept = materialize(jaccard_components(docs, k=5, percent=80).where("doc_id = component_id").groupBy("doc_id").count(), "llm", "kept")
     # what is kept grows with the documents: merge joins at every size, which share one shuffle of the texts
     once, again = (docs.join(kept.where(rows).select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
                    for rows in ("count = 1", "count > 1"))
