@@ -43,7 +43,7 @@ def test_quality(stages):
 
 def test_one_of_each_group(stages):
     before = [(r.doc_id, r.text) for r in stages["quality_rules"].collect()]
-    least = brute_components(before, 4, 85)
+    least = brute_components(before, 5, 80)
     kept = [r.doc_id for r in stages["near_duplicates"].collect()]
     assert sorted(k for k in kept if k is not None) == sorted({c for c in least.values()})
     assert sum(k is None for k in kept) == sum(i is None for i, _ in before)
