@@ -13,9 +13,7 @@ dot segments (also ``%2e``), backslashes in special URLs, default
 ports, credentials, ASCII host lower-casing, IPv4 number forms and
 percent-encoding per URL part, Windows drive letters of file URLs.  IPv6
 hosts are serialised with plain string functions; internationalised host
-names become punycode through the JVM's ``java.net.IDN`` (IDNA 2003 with
-unassigned code points allowed: unlike UTS #46 it maps U+00DF to ``ss``
-and final sigma to sigma, and a label of more than 63 characters fails).
+names become punycode after UTS #46 (``functions.idna``).
 """
 
 from __future__ import annotations
@@ -23,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from anchorage.functions.idna import domain_to_ascii_sql
 from anchorage.functions.sql import Sql, arg, case, lam, let, lit, nest, run_steps, step, struct
 
 # ---------------------------------------------------------------------------
@@ -195,7 +194,7 @@ def _domain_sql(h: str) -> str:
     """Percent-decoded, lower-cased ASCII form of a special URL's host; null on failure."""
     decoded = f"CASE WHEN contains({h}, '%') THEN try_url_decode(replace({h}, '+', '%2B')) ELSE {h} END"
     return let(f"lower({decoded})", lambda d: (
-        f"CASE WHEN {d} RLIKE {lit(r'[^\x00-\x7F]')} THEN try_reflect('java.net.IDN', 'toASCII', {d}, 1) ELSE {d} END"))
+        f"CASE WHEN {d} RLIKE {lit(r'[^\x00-\x7F]')} THEN {domain_to_ascii_sql(d)} ELSE {d} END"))
 
 
 def _canon_host_sql(h: str, v6: str, dom: str, scheme: str, special: str) -> str:

@@ -21,6 +21,35 @@ def test_long_start_tags_and_unclosed_quotes(spark):
         assert scan(spark, html) is not None
 
 
+@pytest.mark.parametrize("html, want", [
+    ('<a href="/1" title="<!-- x">one</a><a href="/2">two</a>', [("/1", "one"), ("/2", "two")]),
+    ('<a href="/1" data-t="<script>">one</a><a href="/2">two</a>', [("/1", "one"), ("/2", "two")]),
+    ('<p title="<a href=/no>z</a>">q</p><a href=/y>y</a>', [("/y", "y")]),
+    ("<!--> <a href=\"/1\">one</a><!-- a --!><a href=\"/2\">two</a>", [("/1", "one"), ("/2", "two")]),
+    ("<!---><a href=/1>one</a><!-- <a href=/no>no</a>", [("/1", "one")]),
+    ('<a href=/1>o<img alt="x > y">ne</a>', [("/1", "one")]),
+    ("<a href=/1>1<2 and 3>2</a>", [("/1", "1<2 and 3>2")]),
+    ("<a href=/1>a<script>if (1<2 && x) '<a href=/no>'</script>b</a>", [("/1", "aif (1<2 && x) '<a href=/no>'b")]),
+    ("<a href=/1>x<style>p&amp;</style><textarea>&lt;<b></textarea><template><a href=/no></template></a>", [("/1", "xp&amp;<<b>")]),
+    ("<a href=/q?a=\"1>open</a> <p title=\"x\"><a href='/2'>two</a>", [('/q?a="1', "open"), ("/2", "two")]),
+    ("<a title\"x href=/1>one</a>", [("/1", "one")]), ("<a title = '>' href = /1 >one</a >", [("/1", "one")]),
+    ("<a href=/1>&am<b>p;</b>&amp;</a>", [("/1", "&amp;&")]),
+    ("<a href=/1>one<a href=/2>two</A\n>out<abbr href=/no>x</abbr>", [("/1", "one"), ("/2", "two")]),
+    ("</ x><a href=/1>a</>b<!x>c<?y>d</a><![CDATA[ <a href=/2>e]]>f</a>", [("/1", "abcd")]),
+    ("<a href=/1>\ufdd0\ufdd1x\ufdd4\ufdd42</a><a href='\ufdd2'>y", [("/1", "\ufdd0\ufdd1x\ufdd4\ufdd42"), ("\ufdd2", "y")]),
+    ("<a href=/1>cut</a><a href='/2'>in <b title='x", [("/1", "cut"), ("/2", "in")]), ("<a/href=/1/>x", [("/1/", "x")]),
+    ("<A HREF>none</A><a href=>x</a><a name=y>z</a>", [("", "none"), ("", "x")])])
+def test_markup_is_read_from_left_to_right(spark, html, want):
+    assert [(x.href, x.text) for x in scan(spark, html).links] == want
+
+
+def test_title_and_base_in_odd_places(spark):
+    row = scan(spark, "<p title='<title>no</title><base href=/no/>'><!-- --!><TITLE>a&am<b>p</title ><BASE target=x><base href='/no/'>")
+    assert row.title == "a&am<b>p" and row.base_href is None
+    assert scan(spark, "<div data-x='<base href=/no>'><base href=/yes/ id=1>").base_href == "/yes/"
+    assert scan(spark, "<title>open \n to the end<a href=/no>").title == "open to the end<a href=/no>"
+
+
 def test_title_of_the_document(spark):
     assert scan(spark, "<!-- <title>no</title> --><script>'<title>no</title>'</script><TITLE >a <!-- b &amp; c</TITLE><title>d</title>").title \
         == "a <!-- b & c"
@@ -38,6 +67,27 @@ def test_character_references(spark):
     assert [(x.href, x.text) for x in row.links] == [("/?a=1&copy=2&amp=3<>&notit&x", "©=2")]
 
 
+def test_hosts_beyond_ascii(spark):
+    import random
+    import unicodedata
+
+    from anchorage.functions.idna import domain_to_ascii_sql, mapped
+
+    rnd = random.Random(4)
+    letters = "abcxyz019-äöüßéñçœøåαβγδσςжщю中文字日本ひらがなابÄÖÜΣŐﬁⅧ½ａ"
+    hosts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 40))) for _ in range(150)] + ["ü" * 70, "a\xadb", "😀", "e\u0301x", "ㅎ", "\u1112\u1161\u11ab"]
+    want = [unicodedata.normalize("NFC", "".join(mapped(c) if ord(c) > 127 else c.lower() for c in h)) for h in hosts]
+    want = [w if w.isascii() else "xn--" + w.encode("punycode").decode() for w in want]
+    got = spark.createDataFrame([*enumerate(hosts)], "k int, d string").selectExpr("k", f"{domain_to_ascii_sql('d')} AS g").collect()
+    assert [r.g for r in sorted(got, key=lambda r: r.k)] == want
+    cases = [("http://straße.example/", "http://xn--strae-oqa.example/"), ("http://Fa%C3%9F.DE/", "http://xn--fa-hia.de/"),
+             ("http://βόλος.com/", "http://xn--nxasmm1c.com/"), ("http://" + "é" * 70 + ".x/", "http://xn--" + ("é" * 70).encode("punycode").decode() + ".x/"),
+             ("http://日本。jp/", "http://xn--wgv71a.jp/"), ("http://a\u202eb/", None), ("http://\u0301a/", None), ("http://ａ.b/", "http://a.b/"),
+             ("http://\ufffd/", None), ("http://STRASSE.example/", "http://strasse.example/"), ("http://ẞ.x/", "http://xn--zca.x/")]
+    df = spark.createDataFrame(cases, "h string, e string")
+    assert [r.g for r in df.select(U.resolve("h").alias("g")).collect()] == [e for _, e in cases]
+
+
 def test_hosts_that_are_numbers(spark):
     cases = [("http://0xfffffffffffffffffffffff/", None), ("http://0x" + "0" * 40 + "7f.1/", "http://127.0.0.1/"),
              ("http://0" + "7" * 40 + "/", None), ("http://0" + "0" * 40 + "17/", "http://0.0.0.15/"),
@@ -86,7 +136,7 @@ def test_parsing_leaves_no_views(spark):
     ("b$", ["ab"], ["ab\n"]), (r"\bé", ["aé"], ["é"]), ("]}", ["]}"], ["]"]), (r"\p{L}", ["p{L}"], ["a"]), (r"(a)\1", ["AA"], ["ab"]),
     (r"(?<y_1>a)\k<y_1>", ["aa"], ["a"]), (r"[\w-x]", ["-", "q"], [" "]), (r"\x41\u0042", ["ab"], ["x"]), ("É", ["é"], ["e"]), (r"[\b]", ["\b"], ["b"]),
     (r"a+?b|c", ["aab", "c"], ["a"]), ("(?=a)*b", ["b"], ["a"]), (r"[^\S]", ["\u2003"], ["a"]), (r"\.com/$", ["x.COM/"], ["xcom/"]), ("(?i:a)", ["A"], ["b"]),
-    ("(?<!x)a", ["a"], ["xa"]), (r"\01", ["\x01"], ["1"])])
+    ("(?<!x)a", ["a"], ["xa"]), ("(?<=a+)b", ["aab"], ["b"]), ("(?<!/x*)y", ["ay"], ["/xxy", "/y"]), ("(?<=^.{2,})z", ["abcz"], ["az"]), (r"\01", ["\x01"], ["1"])])
 def test_regex_dialect(spark, pattern, yes, no):
     from anchorage.functions.jsregex import to_java
     from anchorage.functions.sql import lit
@@ -99,3 +149,12 @@ def test_regex_dialect(spark, pattern, yes, no):
 def test_patterns_that_the_constructor_rejects(pattern):
     from anchorage.operators.filters import regex_is_valid
     assert not regex_is_valid(pattern)
+
+
+def test_a_pattern_that_java_cannot_hold_is_one_profiles_error(spark):
+    from anchorage.operators.filters import regex_is_valid
+    from anchorage.plans.visible import _java_patterns
+
+    assert not regex_is_valid("(?<=(a+)*)b")
+    rows = spark.createDataFrame([(0, "(?<=(a+)*)b"), (1, "x+"), (2, "(")], "k int, p string")
+    assert [r.j for r in rows.select("k", _java_patterns("p").alias("j")).orderBy("k").collect()] == [None, "(?iu)x+", None]
