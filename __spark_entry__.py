@@ -326,6 +326,19 @@ SELECT page_id, 'https://site.example/a/b', '', k, CASE k
          ELSE 'http://127.0.0.1/' || page_id END,
        CASE k WHEN 0 THEN 'idn' WHEN 1 THEN 'six' ELSE '’four' END
 FROM pages, range(3) r(k) WHERE page_id % 3 = 2""",
+        "html_markup": f"""WITH {_BASE}
+SELECT page_id, title, dom_index + 5 AS dom_index, href, text FROM l
+UNION ALL
+SELECT page_id, title, k - 1, ['/1', '/2', '/3', '/q?a="4', '/5'][k],
+       ['one', 'one', '1<2 and 3>2"<a href=/no>"', '&amp;', page_id::VARCHAR][k]
+FROM a, range(1, 6) r(k)""",
+        "idn_hosts": f"""SELECT page_id, k - 1 AS dom_index, 'http://' || [{', '.join(f"'{h}'" for h in (
+            'xn--strae-oqa.example', 'xn--bcher-kva.example', 'xn--wgv71a.jp', 'xn--' + ('ü' * 70).encode('punycode').decode() + '.example',
+            'a.example', 'xn--zca.example', 'xn--9ca.example'))}][k] || '/' || page_id AS display_url
+FROM pages, range(1, 8) r(k)""",
+        "extract_again": f"""{_SAVED},
+kept AS (SELECT result_id, sequence FROM saved ORDER BY sequence DESC LIMIT 50)
+SELECT kept.*, 'result-' || n AS current, n::BIGINT AS last FROM kept, (SELECT count(*) AS n FROM pages)""",
         "txt_export": _wvisible(url=_decode_uri("display_url"),
                                 cols="page_id, rank, 'links-links.txt' AS export_name, url"),
         "csv_export": _wvisible(url=_decode_uri("display_url"), cols=(

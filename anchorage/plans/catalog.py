@@ -337,6 +337,36 @@ def q_html_variants(spark, sf_dir):
         "page_id", "page_url", "title", "e.dom_index", "e.display_url", "e.text")
 
 
+ODD_MARKUP = """<p title="<a href=/no>z</a>">q</p><!--> <a href="/1" title="<!-- x">one </a><!-- a --!><a href="/2" data-t="<script>">o<img alt="x > y">ne</a>
+<a href=/3>1<2 and 3>2<script>"<a href=/no>"</script></a><a title"x href=/q?a="4>&am<b>p;</a><script>'<a href=/no>'</script><a href='/5'>"""
+
+
+def q_html_markup(spark, sf_dir):
+    """S2, S3 on every page's own markup behind a row of quoted, commented and broken markup."""
+    pages = _pages(spark, sf_dir).withColumn("html", F.concat(F.lit(ODD_MARKUP), F.col("page_id").cast("string"), F.lit("</a>"), "html"))
+    return scan_html(pages).select("page_id", "title", F.explode("links").alias("l")).select("page_id", "title", "l.*")
+
+
+#: Hosts beyond ASCII and what UTS #46 makes of them.
+IDN_HOSTS = ("straße.example", "Bücher.example", "日本。jp", "ü" * 70 + ".example", "Ａ.example", "ẞ.example", "e\u0301.example")
+
+
+def q_idn_hosts(spark, sf_dir):
+    """Links of every page to hosts beyond ASCII."""
+    anchors = "".join(f"<a href='http://{h}/{{id}}'>x</a>" for h in IDN_HOSTS)
+    pages = _pages(spark, sf_dir).select("page_id", "url", F.replace(F.lit(anchors), F.lit("{id}"), F.col("page_id").cast("string")).alias("html"))
+    return explode_entries(link_entries(scan_html(pages))).select("page_id", "dom_index", "display_url")
+
+
+def q_extract_again(spark, sf_dir):
+    """E2 twice: every page is saved, then nothing; the current record and the last number stay."""
+    store, current, sequence = S.extract_job(page_entries(spark, sf_dir))
+    last = sequence.first()["last"]
+    again, current, sequence = S.extract_job(page_entries(spark, sf_dir).where("false"), store, last, current=current)
+    return again.select("result_id", "sequence").crossJoin(F.broadcast(current.select(F.col("result_id").alias("current")))).crossJoin(
+        F.broadcast(sequence))
+
+
 QUERIES = {
     "anchors": q_anchors,
     "page_meta": q_page_meta,
@@ -363,6 +393,9 @@ QUERIES.update({
     "settings_reset": q_settings_reset,
     "results_by_id": q_results_by_id,
     "html_variants": q_html_variants,
+    "html_markup": q_html_markup,
+    "idn_hosts": q_idn_hosts,
+    "extract_again": q_extract_again,
     "txt_export": q_txt_export,
     "csv_export": q_csv_export,
     "stream_extract": q_stream_extract,
