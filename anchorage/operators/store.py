@@ -71,17 +71,25 @@ def last_sequence(new_rows: DataFrame, last: int = 0) -> DataFrame:
     return new_rows.agg(F.greatest(F.max("sequence"), F.lit(last)).cast("bigint").alias("last"))
 
 
-def extract_job(pages: DataFrame, store: DataFrame | None = None, last: int | None = None,
-                max_results: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+def extract_job(pages: DataFrame, store: DataFrame | None = None, last: int | None = None, max_results: int = 50,
+                current: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Save every page's entries, make the last record current, prune.
 
-    ``pages`` as ``link_entries`` returns them.  Returns (store, current, sequence).
+    ``pages`` as ``link_entries`` returns them.  Returns (store, current, sequence).  Without pages the ``current`` given
+    stays (without one, the store's last record is current), and so does the last number given out: ``last``, or
+    the store's highest.
     """
+    if last is None:
+        last = (store.agg(F.max("sequence")).first()[0] if store is not None else 0) or 0  # one scalar
     new = materialize(save_results(pages, store, last), "saved")
-    before = 0 if last is None else last
-    current = current_of(new)
+    found = current_of(new).withColumn("at", F.lit(1))
+    known = current if current is not None else current_of(store) if store is not None else None
+    if known is not None:
+        found = found.unionByName(known.select("result_id", F.lit(0).alias("at")))
+    # one row, written: the prune reads it, and the store it was found in is replaced
+    found = materialize(found.where("result_id IS NOT NULL").agg(F.max_by("result_id", "at").alias("result_id")), "current")
     whole = new if store is None else store.unionByName(new.select(*store.columns))
-    return prune_results(whole, current, max_results), current, last_sequence(new, before)
+    return prune_results(whole, found, max_results), found, last_sequence(new, last)
 
 
 def current_of(new_rows: DataFrame) -> DataFrame:
@@ -138,7 +146,7 @@ def update_results(store: DataFrame, updates: DataFrame, order: str | None = Non
     """K5 updateResultRecord for many ids: (new store, error rows).
 
     ``updates`` has ``result_id`` plus any of the record columns.  Of several updates of an id the one
-    with the greatest ``order`` counts (without ``order``, the greatest row).  ``given`` names an
+    with the greatest ``order`` counts (without ``order``, any one of them, always the same: that of the greatest hash).  ``given`` names an
     array column of the fields that an update sets, null values included; without it a null means "not given" and
     keeps the stored value.  Ids missing from the store are reported once, not inserted.
     """

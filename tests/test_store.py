@@ -1,5 +1,6 @@
 """Store and export-name cases from the reference's storage / helper tests."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from anchorage.operators import store as S
@@ -168,3 +169,68 @@ def test_settings_summary_table(spark):
     assert got == "Alphabetical • 2 active filters • regex on • URL decoding off"
     assert got == settings_summary(Settings(sort_mode="alphabetical", url_include="a", url_exclude=" ",
                                             text_include="b", use_regex=True))
+
+
+def test_extract_job_without_pages_keeps_current_and_sequence(spark):
+    pages = _pages(spark, 5)
+    store, current, sequence = S.extract_job(pages, max_results=3)
+    last = sequence.first()["last"]
+    none = pages.where("false")
+    for given in (last, None):
+        for known in (current, None):
+            again, now, then = S.extract_job(none, store, given, max_results=3, current=known)
+            assert (now.first()[0], then.first()[0]) == ("result-5", 5)
+            assert sorted(r.sequence for r in again.collect()) == [3, 4, 5]
+    # a record that was made current by hand is not pruned by an empty batch
+    older = current.selectExpr("'result-3' AS result_id")
+    again, now, _ = S.extract_job(none, store, last, max_results=1, current=older)
+    assert now.first()[0] == "result-3" and [r.result_id for r in again.collect()] == ["result-3"]
+    more, now, then = S.extract_job(pages, store, last, max_results=10, current=older)
+    assert (now.first()[0], then.first()[0], more.count()) == ("result-10", 10, 8)
+    nothing, now, then = S.extract_job(none)
+    assert (nothing.count(), now.first()[0], then.first()[0]) == (0, None, 0)
+
+
+def test_refresh_reads_only_the_buckets_it_was_asked_for(spark, tmp_path):
+    import datetime
+
+    from anchorage.streaming import jobs
+    from anchorage.sources.pages import scan_html
+    from anchorage.operators.entries import link_entries
+
+    rows = [(k, "https://a.example/", f"<title>t{k}</title><a href={k}>x</a>") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    saved = S.save_results(link_entries(scan_html(pages))).selectExpr("*", "cast(null as timestamp) refreshed_at", "0L n_requests")
+    root = str(tmp_path / "store")
+    jobs.write_version(saved, root, -1)
+    at = datetime.datetime(2024, 1, 1)
+    for batch_id, ids in ((0, [3, 3, 7]), (1, [7, 99])):
+        asked = spark.createDataFrame([(i, at) for i in ids], "page_id long, ts timestamp")
+        for _ in range(2):  # a retry counts nothing twice
+            jobs.refresh_batch(spark, asked, batch_id, pages, root)
+    got = {r.source_id: r.n_requests for r in jobs.newest_records(spark, root).collect()}
+    assert got == {**dict.fromkeys(range(40), 0), 3: 2, 7: 2}
+    one = spark.createDataFrame([(3,)], "page_id long")
+    read = jobs.newest_records(spark, root, 2, one)
+    assert [r.source_id for r in read.collect()] == [3]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan parquet" in line and "bucket" in line)
+    assert "PartitionFilters" in scan and "bucket" in scan.split("PartitionFilters")[1]
+    assert len({f.split("bucket=")[1] for f in spark.read.parquet(root).where("bucket = 1").inputFiles()}) > 1  # what pruning leaves out exists
+
+
+@pytest.mark.parametrize("data, want", [
+    ("<meta charset=windows-1252><title>Té</title><a href=/é>“x”</a>".encode("cp1252"), "“x”"),
+    ("<meta http-equiv=content-type content='text/html; charset=ISO-8859-1'><title>Té</title><a href=/é>“x”</a>".encode("cp1252"), "“x”"),
+    ("<title>Té</title><a href=/é>“x”</a>".encode(), "“x”"), ("﻿<meta charset=latin1><title>Té</title><a href=/é>“x”</a>".encode(), "“x”"),
+    ("﻿<title>Té</title><a href=/é>“x”</a>".encode("utf-16-le"), "“x”"), ("﻿<title>Té</title><a href=/é>“x”</a>".encode("utf-16-be"), "“x”"),
+    ("<!-- <meta charset=latin1> --><meta charset='utf-16'><title>Té</title><a href=/é>“x”</a>".encode(), "“x”"),
+    ("<meta charset=nonsense><title>Té</title><a href=/é>“x”</a>".encode(), "“x”"),
+    ("<meta charset=shift_jis><title>Té</title><a href=/é>テ</a>".replace("é", "e").encode("shift_jis"), "テ")])
+def test_saved_pages_in_their_own_encoding(spark, tmp_path, data, want):
+    from anchorage.operators.entries import explode_entries, link_entries
+    from anchorage.sources.pages import read_html_files, scan_html
+
+    (tmp_path / "page.html").write_bytes(data)
+    row = explode_entries(link_entries(scan_html(read_html_files(spark, str(tmp_path))))).first()
+    assert row.text == want and row.title in ("Té", "Te") and row.display_url in ("file:///%C3%A9", "file:///e")
