@@ -4,13 +4,13 @@ Each micro-batch is a static DataFrame, so the batch operators (scan,
 entries, store overlay) run unchanged inside ``foreachBatch``.  Output is
 written to a folder keyed by the batch id, so a retried batch overwrites
 its own output.  The refresh job reads only versions older than its batch id, so a retry sees the
-state before its first try and counts nothing twice; it writes only the records it
-changes, and readers take the newest version of each record.
+state before its first try and counts nothing twice; it reads only the buckets of the records that it was asked
+for, writes only the records it changes, and readers take the newest version of each record.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorage.operators.entries import explode_entries, link_entries
@@ -19,21 +19,40 @@ from anchorage.session import shared_dir
 from anchorage.sources.pages import read_pages, scan_html
 
 
-def newest_records(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+#: Folders by a hash of the source id, so a batch reads those of the records it asks for.
+BUCKETS = 64
+
+
+def _bucket(source_id: str) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64(source_id), F.lit(BUCKETS)), F.lit(0)).cast("int")
+
+
+def write_version(records: DataFrame, root: str, batch_id: int) -> None:
+    """Write ``records`` as the version ``batch_id`` of the store, dealt into buckets; a bucket is written by one task."""
+    (records.withColumn("bucket", _bucket("source_id")).repartition(BUCKETS, "bucket")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/batch={batch_id}"))
+
+
+def newest_records(spark: SparkSession, root: str, before: int | None = None, asked: DataFrame | None = None) -> DataFrame:
     """The newest version of every record under ``batch=<id>`` folders, of batches below ``before`` if given.
 
-    The batch filter prunes folders; the newest version of a record is a partial aggregate.
+    ``asked(page_id)``, distinct: only the records of these sources.  Folders of other batches and of buckets without an asked source
+    are not read, and rows of other sources go before the newest version is found, a partial aggregate.
     """
     versions = spark.read.parquet(root)
     if before is not None:
         versions = versions.where(F.col("batch") < before)
-    columns = [c for c in versions.columns if c != "batch"]
+    if asked is not None:
+        buckets = [r[0] for r in asked.select(_bucket("page_id").alias("b")).distinct().collect()]  # BUCKETS rows at most
+        versions = (versions.where(F.col("bucket").isin(buckets))
+                    .join(asked.select(F.col("page_id").alias("source_id")), "source_id", "left_semi"))
+    columns = [c for c in versions.columns if c not in ("batch", "bucket")]
     return versions.groupBy("result_id").agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("r.*")
 
 
 def compact(spark: SparkSession, root: str, into: str) -> None:
     """Write the newest records of ``root`` as the base version of a new store folder ``into``."""
-    newest_records(spark, root).write.mode("overwrite").parquet(f"{into}/batch=-1")
+    write_version(newest_records(spark, root), into, -1)
 
 
 def _file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,14 +81,14 @@ def stream_extract(spark: SparkSession, folder: str, name: str = "pages.parquet"
 def refresh_batch(spark: SparkSession, batch: DataFrame, batch_id: int, pages: DataFrame, root: str) -> None:
     """Apply one batch of requests (page_id, ts) to the store under ``root``."""
     latest = batch.groupBy("page_id").agg(F.max("ts").alias("_at"), F.count(F.lit(1)).alias("_new"))
-    asked = newest_records(spark, root, batch_id).join(latest, F.col("source_id") == F.col("page_id"))
+    asked = newest_records(spark, root, batch_id, latest.select("page_id")).join(latest, F.col("source_id") == F.col("page_id"))
     fresh = link_entries(scan_html(pages.join(latest.select("page_id"), "page_id", "left_semi"))).select(
         "page_id", *(F.col(c).alias(f"_{c}") for c in ("page_url", "title", "entries")))
     # a record whose page is gone keeps its content
-    (asked.join(fresh, "page_id", "left").select(
+    write_version(asked.join(fresh, "page_id", "left").select(
         "sequence", "result_id", "source_id", *(F.coalesce(f"_{c}", c).alias(c) for c in ("page_url", "title", "entries")),
-        F.greatest("refreshed_at", "_at").alias("refreshed_at"), (F.col("n_requests") + F.col("_new")).alias("n_requests"))
-     .write.mode("overwrite").parquet(f"{root}/batch={batch_id}"))
+        F.greatest("refreshed_at", "_at").alias("refreshed_at"), (F.col("n_requests") + F.col("_new")).alias("n_requests")),
+        root, batch_id)
 
 
 def stream_refresh(spark: SparkSession, sf_dir: str, out_root: str | None = None, requests_dir: str | None = None,
@@ -84,7 +103,7 @@ def stream_refresh(spark: SparkSession, sf_dir: str, out_root: str | None = None
     schema = spark.read.parquet(folder if requests_dir else f"{folder}/{name}").schema
     saved = S.save_results(link_entries(scan_html(pages))).withColumn(
         "refreshed_at", F.lit(None).cast(schema["ts"].dataType)).withColumn("n_requests", F.lit(0).cast("bigint"))
-    saved.write.mode("overwrite").parquet(f"{out_root}/store/batch=-1")
+    write_version(saved, f"{out_root}/store", -1)
 
     events = spark.readStream.schema(schema).option("pathGlobFilter", name)
     if files_per_batch:
