@@ -81,8 +81,8 @@ def set_hash(doc: np.ndarray, hashes: np.ndarray, n_docs: int) -> np.ndarray:
 
 
 def bit_sketch(hashes: np.ndarray) -> bytes:
-    """Parity bits of a set: as many bits as the power of two from twice to four times its size, 64 at least."""
-    size = max(64, 1 << int(2 * max(1, len(hashes)) - 1).bit_length())
+    """Parity bits of a set: as many bits as the power of two from once to twice its size, 64 at least."""
+    size = max(64, 1 << int(max(1, len(hashes)) - 1).bit_length())
     place = (mix(hashes ^ _SEED[1]) & _U(size - 1)).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=size) & 1).astype(bool), bitorder="little").tobytes()
 
