@@ -81,12 +81,20 @@ def set_hash(doc: np.ndarray, hashes: np.ndarray, n_docs: int) -> np.ndarray:
 
 
 def bit_sketch(hashes: np.ndarray) -> bytes:
-    """Parity bits of a set: as many bits as the power of two from once to twice its size, 64 at least."""
-    size = max(64, 1 << int(max(1, len(hashes)) - 1).bit_length())
+    """Parity bits of a set: as many bits as the power of two from twice to four times its size, 64 at least."""
+    size = max(64, 1 << int(2 * max(1, len(hashes)) - 1).bit_length())
     place = (mix(hashes ^ _SEED[1]) & _U(size - 1)).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=size) & 1).astype(bool), bitorder="little").tobytes()
 
 
+def half(sketch: bytes) -> bytes:
+    """A sketch folded by XOR to half its bits, 64 at least; distances only shrink."""
+    n = len(sketch) // 2
+    if n < 8:
+        return sketch
+    return (int.from_bytes(sketch[:n], "little") ^ int.from_bytes(sketch[n:], "little")).to_bytes(n, "little")
+
+
 def distance(a: bytes, b: bytes) -> int:
     """Hamming distance of two bit sketches; the longer is folded by XOR to the shorter's size."""
     x, y, n = int.from_bytes(a, "little"), int.from_bytes(b, "little"), len(a)
@@ -147,7 +155,7 @@ def cell_keys(doc: np.ndarray, hashes: np.ndarray, n_docs: int, percent: int) ->
 
 
 def measured(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set, sketch) of every row; ``set`` is null of an empty one."""
+    """(doc_id, n_shingles, set, sketch, half) of every row; ``set`` is null of an empty one."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -155,13 +163,14 @@ def measured(docs: DataFrame, k: int) -> DataFrame:
                 doc, hashes = shingle_sets(words, k)
                 bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
                 size = np.diff(bounds)
+                sketches = [bit_sketch(hashes[a:b]) for a, b in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(size),
                      pa.array(set_hash(doc, hashes, hi - lo).view(np.int64), mask=size == 0),
-                     pa.array([bit_sketch(hashes[a:b]) for a, b in zip(bounds, bounds[1:])], pa.binary())],
-                    names=["doc_id", "n_shingles", "set", "sketch"])
+                     pa.array(sketches, pa.binary()), pa.array(map(half, sketches), pa.binary())],
+                    names=["doc_id", "n_shingles", "set", "sketch", "half"])
 
-    return docs.mapInArrow(batches, "doc_id long, n_shingles long, set long, sketch binary")
+    return docs.mapInArrow(batches, "doc_id long, n_shingles long, set long, sketch binary, half binary")
 
 
 def keyed(docs: DataFrame, k: int, percent: int, classes: DataFrame) -> DataFrame:
@@ -190,7 +199,10 @@ def keyed(docs: DataFrame, k: int, percent: int, classes: DataFrame) -> DataFram
 
 
 def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``pairs(a, b)`` whose sizes and bit sketches allow a link."""
+    """The rows of ``pairs(a, b)`` whose sizes and bit sketches allow a link.
+
+    Most pairs go by half sketches, so whole ones are moved for few.
+    """
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -198,10 +210,12 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             keep = [may_link(*x, percent) for x in zip(na, nb, sa, sb)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    for side in "ab":
-        pairs = pairs.join(sketches.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"),
-                                           F.col("sketch").alias(f"s{side}")), side)
-    return pairs.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(batches, "a long, b long")
+    for sketch in ("half", "sketch"):
+        for side in "ab":
+            pairs = pairs.join(sketches.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"),
+                                               F.col(sketch).alias(f"s{side}")).hint("merge"), side)
+        pairs = pairs.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(batches, "a long, b long")
+    return pairs
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
@@ -290,7 +304,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     full = rows.where("doc_id is not null and set is not null")
     classes = materialize(full.groupBy("set").agg(
         F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"),
-        F.first("sketch").alias("sketch")), "llm", "classes")
+        F.first("sketch").alias("sketch"), F.first("half").alias("half")), "llm", "classes")
     largest = classes.where("copies > 1").orderBy(F.col("copies").desc(), "set").limit(MOST_CLASSES).select("set", "doc")
 
     by_key = Window.partitionBy("key")
@@ -302,7 +316,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = full.select("doc_id", "set").distinct().join(classes.select("set", "doc"), "set").select("doc_id", "doc").distinct()
     ties = members.groupBy("doc_id").agg(F.min("doc").alias("b"), F.max("doc").alias("a")).where("a <> b")
     ties = members.join(ties.select("doc_id", "b"), "doc_id").select(F.col("doc").alias("a"), "b").where("a <> b")
-    sketches = classes.select("doc", "n", "sketch")
+    sketches = classes.select("doc", "n", "sketch", "half")
 
     stars = shared.where("doc <> first").select(F.col("doc").alias("a"), F.col("first").alias("b")).distinct()
     stars = _near(stars, sketches, percent).groupBy("a").agg(F.min("b").alias("b"))
@@ -310,7 +324,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = components(links)
     labelled = (shared.join(found.withColumnRenamed("node", "doc"), "doc", "left")
                 .withColumn("component", F.coalesce("component", "doc")).select("key", "doc", "component").distinct())
-    rest = _linked(_across(labelled.join(sketches, "doc"), percent), known, k, percent)
+    rest = _linked(_across(labelled.join(sketches.drop("half"), "doc"), percent), known, k, percent)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
     return (rows.join(classes.select("set", "doc"), "set", "left")
             .join(found.select(F.col("node").alias("doc"), "component"), "doc", "left")
