@@ -13,7 +13,8 @@ nonempty cells.  Documents that have not (rare) also meet on the shingles of the
 filter.  No candidate is capped.
 
 Copies are one class, named by its least id, before anything is joined.  Around each key only
-the star to its least document is compared first; once linked documents are one component,
+stars are compared first: each task's rows to its least one, and the tasks' least ones to the least of all, so
+that a key of a third of all rows is no single group.  Once linked documents are one component,
 only pairs across components that still share a key are, in blocks of bounded size.
 """
 
@@ -35,6 +36,7 @@ PERCENT = 85
 #: Size bound of the one broadcast: classes of copies, the largest ones.
 MOST_CLASSES = 100_000
 BLOCK = 2048
+_FLUSH = 500_000
 _U = np.uint64
 _SEED = seeded(4, 4)
 
@@ -174,28 +176,54 @@ def measured(docs: DataFrame, k: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame, k: int, percent: int, classes: DataFrame) -> DataFrame:
-    """(key, doc_id) of the documents, but for copies in the ``classes(set, doc)`` that aren't ``doc``."""
+    """(key, doc_id, near, many) of the documents, but for copies in the ``classes(set, doc)`` that aren't ``doc``.
+
+    Rows that share a key within a task are combined there, ``_FLUSH`` keys at a time: ``near`` is the least
+    document among them, null of that document itself, and ``many`` whether there are others.
+    """
     table = classes.toArrow()
     order = np.argsort(table.column("set").to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast(
         tuple(np.ascontiguousarray(table.column(c).to_numpy()[order]) for c in ("set", "doc")))
 
+    def combined(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, doc = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        once = np.ones(len(key), bool)
+        once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+        key, doc = key[once], doc[once]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        start = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        least = doc[start[group]] if len(key) else doc
+        many = np.diff(np.append(start, len(key)))[group] > 1 if len(key) else new
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(least, mask=doc == least), pa.array(many)],
+                                          names=["key", "doc_id", "near", "many"])
+
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, firsts = shared.value
+        parts, held = [], 0
         for batch in source:
             for lo, hi, words in sliced(batch.column(1), lower=True):
-                ids = batch.column(0).slice(lo, hi - lo)
+                ids = np.asarray(batch.column(0).slice(lo, hi - lo))
                 doc, hashes = shingle_sets(words, k)
                 own = set_hash(doc, hashes, hi - lo).view(np.int64)
                 if len(sets):
                     at = np.minimum(np.searchsorted(sets, own), len(sets) - 1)
-                    copy = (sets[at] == own) & (firsts[at] != np.asarray(ids))
+                    copy = (sets[at] == own) & (firsts[at] != ids)
                     keep = ~copy[doc]
                     doc, hashes = doc[keep], hashes[keep]
                 doc, key = cell_keys(doc, hashes, hi - lo, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids.take(pa.array(doc))], names=["key", "doc_id"])
+                parts.append((key.view(np.int64), ids[doc]))
+                held += len(key)
+                if held > _FLUSH:
+                    yield combined(parts)
+                    parts, held = [], 0
+        yield combined(parts)
 
-    return docs.mapInArrow(batches, "key long, doc_id long")
+    return docs.mapInArrow(batches, "key long, doc_id long, near long, many boolean")
 
 
 def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -218,28 +246,39 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of rows(key, doc, component, n, sketch) that share a key, are in different
-    components and whose sketches allow a link.
+def dealt(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(key, x, y, seeks, outside, doc, component, n, sketch): the groups (key, x, y) in which documents of
+    rows(key, doc, component) meet that share a key and are in different components.
 
-    A key of many documents is dealt into blocks; every two of its blocks are compared in a
-    task of their own, of at most two blocks' rows, and only surviving pairs are emitted.
+    Sketches are joined only to the rows of keys that hold several components.  There, rows outside the
+    key's largest component (they seek) meet all of its rows, each side dealt into blocks: a group
+    has at most about two blocks' rows.
     """
-    sizes = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("size"))
-    rows = rows.join(sizes.where("x < y").select("key", "size"), "key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = (rows.withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-                    "block", "doc", "component", "n", "sketch"))
+    several = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    rows = materialize(rows.join(several, "key", "left_semi"), "llm", "across")
+    parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = parts.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("main"))
+    rows = (rows.join(sizes, "key").withColumn("outside", F.col("component") != F.col("main.component"))
+            .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+            .withColumn("others", F.ceil((F.col("size") - F.col("main.n")) / BLOCK).cast("int"))
+            .join(sketches, "doc"))
+    own, other = (F.pmod(F.xxhash64("doc"), n).cast("int") for n in ("blocks", "others"))
+    met = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda y: F.struct(own.alias("x"), y.alias("y"), F.lit(False).alias("seeks")))
+    seeks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(x.alias("x"), other.alias("y"), F.lit(True).alias("seeks")))
+    return (rows.withColumn("at", F.explode(F.when(F.col("outside"), F.concat(met, seeks)).otherwise(met)))
+            .select("key", "at.x", "at.y", "at.seeks", "outside", "doc", "component", "n", "sketch"))
+
+
+def _across(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of the ``dealt`` groups whose sketches allow a link."""
+    rows = dealt(rows, sketches)
 
     def compared(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        _, x, y = group[0][:3]
-        first = [r for r in group if r[3] == x]
-        second = first if x == y else [r for r in group if r[3] == y]
-        for i, (*_, a, ca, na, sa) in enumerate(first):
-            for *_, b, cb, nb, sb in second[i + 1:] if x == y else second:
-                if ca != cb and may_link(na, nb, sa, sb, percent):
+        all_rows = [r[4:] for r in group if not r[3]]
+        for *_, a, ca, na, sa in (r for r in group if r[3]):
+            for outside, b, cb, nb, sb in all_rows:
+                # two rows outside meet twice, and are compared once
+                if ca != cb and not (outside and b < a) and may_link(na, nb, sa, sb, percent):
                     yield min(a, b), max(a, b)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,11 +346,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.first("sketch").alias("sketch"), F.first("half").alias("half")), "llm", "classes")
     largest = classes.where("copies > 1").orderBy(F.col("copies").desc(), "set").limit(MOST_CLASSES).select("set", "doc")
 
-    by_key = Window.partitionBy("key")
+    # rows that met their key's least document of the task are spread by id, only the others meet by key alone
+    by_key = Window.partitionBy("key", F.when(F.col("near").isNotNull(), F.col("doc_id")))
     shared = materialize(
-        keyed(known, k, percent, largest).select("key", "doc_id", F.min("doc_id").over(by_key).alias("first"),
-                                                 F.max("doc_id").over(by_key).alias("last"))
-        .where("first < last").select("key", F.col("doc_id").alias("doc"), "first"), "llm", "shared")
+        keyed(known, k, percent, largest)
+        .select("key", "doc_id", "many", F.coalesce("near", F.min("doc_id").over(by_key)).alias("first"),
+                F.max("doc_id").over(by_key).alias("last"))
+        .where("many or first < last").select("key", F.col("doc_id").alias("doc"), "first"), "llm", "shared")
     # one document stands for its class; rows of one id in several classes tie these together
     members = full.select("doc_id", "set").distinct().join(classes.select("set", "doc"), "set").select("doc_id", "doc").distinct()
     ties = members.groupBy("doc_id").agg(F.min("doc").alias("b"), F.max("doc").alias("a")).where("a <> b")
@@ -322,9 +363,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = _near(stars, sketches, percent).groupBy("a").agg(F.min("b").alias("b"))
     links = _linked(stars, known, k, percent).unionByName(ties)
     found = components(links)
-    labelled = (shared.join(found.withColumnRenamed("node", "doc"), "doc", "left")
+    labelled = (shared.join(found.withColumnRenamed("node", "doc"), "doc", "left").join(sketches.select("doc"), "doc", "left_semi")
                 .withColumn("component", F.coalesce("component", "doc")).select("key", "doc", "component").distinct())
-    rest = _linked(_across(labelled.join(sketches.drop("half"), "doc"), percent), known, k, percent)
+    rest = _linked(_across(labelled, sketches.select("doc", "n", "sketch"), percent), known, k, percent)
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
     return (rows.join(classes.select("set", "doc"), "set", "left")
             .join(found.select(F.col("node").alias("doc"), "component"), "doc", "left")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -106,6 +107,34 @@ def test_blocks_and_degenerate_documents_lose_no_link(spark, monkeypatch):
     assert got == want
 
 
+def test_large_group_of_near_copies_with_an_outlier_on_its_keys(spark, monkeypatch):
+    """Near copies are a third of all rows; a few texts share keys with them without being linked to them."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "_FLUSH", 300)
+    rnd = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1:]) for i in range(60)]
+    texts += [" ".join(base[:40] + [f"o{j}.{i}" for i in range(30)] + base[70:]) for j in range(4)]
+    texts += [" ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(100)) for _ in range(116)]
+    rnd.shuffle(texts)
+    rows, docs = table(spark, texts)
+    want = brute_components(rows, 4, 85)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect() if r.doc_id is not None}
+    assert got == want and max(Counter(got.values()).values()) >= 60
+
+
+def test_rows_outside_a_component_are_dealt_not_all_rows(spark):
+    """One key of 20 blocks in one component and 3 rows outside: the cost is small side by large side."""
+    n = 20 * jaccard_join.BLOCK
+    rows = (spark.range(n + 3).select(F.lit(7).alias("key"), F.col("id").alias("doc"), F.greatest(F.lit(0), F.col("id") - (n - 1)).alias("component"))
+            .unionByName(spark.range(n).selectExpr("8 AS key", "id AS doc", "0L AS component")))
+    sketches = spark.range(n + 3).selectExpr("id AS doc", "1 AS n", "CAST('x' AS BINARY) AS sketch")
+    got = jaccard_join.dealt(rows, sketches).groupBy("key", "x", "y").agg(F.count(F.lit(1)).alias("size")).collect()
+    assert {r.key for r in got} == {7}
+    assert sum(r.size for r in got) <= n + 3 + 3 * 21
+    assert max(r.size for r in got) <= 2 * jaccard_join.BLOCK
+
+
 def test_sketch_distance_never_exceeds_the_difference():
     rnd = np.random.default_rng(3)
     for _ in range(300):
