@@ -13,9 +13,9 @@ nonempty cells.  Documents that have not (rare) also meet on the shingles of the
 filter.  No candidate is capped.
 
 Copies are one class, named by its least id, before anything is joined.  Around each key only
-stars are compared first: each task's rows to its least one, and the tasks' least ones to the least of all, so
-that a key of a third of all rows is no single group.  Once linked documents are one component,
-only pairs across components that still share a key are, in blocks of bounded size.
+the star to its least document is compared first.  That document is found among the least ones of each task, and handed to
+the rows of each task by these, so that a key of a third of all rows is no single group.  Once linked documents are one
+component, only pairs across components that still share a key are, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -348,11 +348,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # rows that met their key's least document of the task are spread by id, only the others meet by key alone
     by_key = Window.partitionBy("key", F.when(F.col("near").isNotNull(), F.col("doc_id")))
-    shared = materialize(
+    met = materialize(
         keyed(known, k, percent, largest)
-        .select("key", "doc_id", "many", F.coalesce("near", F.min("doc_id").over(by_key)).alias("first"),
+        .select("key", F.col("doc_id").alias("doc"), "near", "many", F.min("doc_id").over(by_key).alias("first"),
                 F.max("doc_id").over(by_key).alias("last"))
-        .where("many or first < last").select("key", F.col("doc_id").alias("doc"), "first"), "llm", "shared")
+        .where("many or first < last").drop("last"), "llm", "met")
+    # the least document of all reaches them through that of their task, which at most _FLUSH rows name
+    tops = met.where("near is null and many").groupBy("key", F.col("doc").alias("near")).agg(F.min("first").alias("first"))
+    shared = materialize(
+        met.where("near is not null").select("key", "near", "doc").join(tops, ["key", "near"]).select("key", "doc", "first")
+        .unionByName(met.where("near is null").select("key", "doc", "first")), "llm", "shared")
     # one document stands for its class; rows of one id in several classes tie these together
     members = full.select("doc_id", "set").distinct().join(classes.select("set", "doc"), "set").select("doc_id", "doc").distinct()
     ties = members.groupBy("doc_id").agg(F.min("doc").alias("b"), F.max("doc").alias("a")).where("a <> b")
