@@ -2,7 +2,8 @@
 
 Seeds are the spans that four fixed patterns find.  The words beside a span are
 its lexical patterns: ``<`` and the word before it, ``>`` and the word after it.  Words
-with a digit that no seed covers are candidates and have patterns too.  On the graph of
+that look like an identifier (a digit, @ or _, a mark between letters, a capital inside) and that no seed covers are
+candidates and have patterns too.  On the graph of
 patterns and instances (the values found) Spark alternates ``ROUNDS`` times: a
 pattern's score is the mean score of its instances, held down while it has few; only patterns of
 ``CONFIDENT`` discover.  The score of a place is that at least one of such patterns beside it is right (noisy or
@@ -38,7 +39,9 @@ KINDS = [
 ]
 NAMES = [k.name for k in KINDS]
 _SPACE = r"\x20\x09-\x0D"
-CANDIDATE = Kind("word", rf"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*+", "[0-9]")
+#: What sets an identifier apart from a plain word: a digit, @ or _, a mark between letters, a capital inside.
+_MARKED = "[0-9@_]|[A-Za-z][.:/][A-Za-z]|[a-z][A-Z]"
+CANDIDATE = Kind("word", rf"(?<![^{_SPACE}])(?=[^{_SPACE}]*?(?:{_MARKED}))[^{_SPACE}]++", _MARKED)
 ROUNDS = 3
 CONFIDENT = 0.8
 #: A pattern counts as if it had so many more instances, of score 0.

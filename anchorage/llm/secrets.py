@@ -1,7 +1,7 @@
 """Operator 5, secret scans: a battery of randomness tests.
 
-Beside three fixed patterns, any unbroken run of 20 or more token characters that holds a digit
-is a candidate.  Its encoding is inferred (decimal, hex, base32, base64) and its
+Beside three fixed patterns, any unbroken run of 20 or more token characters
+is a candidate.  Its encoding is inferred (decimal, hex, letters, base32, base64) and its
 characters are tested against an even draw from that alphabet: chi-squared for
 uniformity, runs above and below the middle of the alphabet, and serial
 correlation of neighbours.  The smallest of the three p-values, times three, must not
@@ -34,8 +34,7 @@ KINDS = [
     Kind("hex", r"[0-9a-f]{24,}", "[0-9a-f]{24}"),
 ]
 NAMES = [k.name for k in KINDS]
-CANDIDATE = Kind("run", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+", "[A-Za-z0-9+/_-]{20}",
-                 "{v} rlike '[0-9]'")
+CANDIDATE = Kind("run", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+", "[A-Za-z0-9+/_-]{20}")
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Inferred encodings in order: name, pattern of the whole run without padding, alphabet.
@@ -43,7 +42,10 @@ ENCODINGS = [
     ("decimal", "^[0-9]+$", DIGITS),
     ("hex", "^[0-9a-f]+$", DIGITS + LOWER[:6]),
     ("HEX", "^[0-9A-F]+$", DIGITS + LOWER[:6].upper()),
+    ("lower", "^[a-z]+$", LOWER),
+    ("upper", "^[A-Z]+$", LOWER.upper()),
     ("base32", "^[A-Z2-7]+$", LOWER.upper() + DIGITS[2:8]),
+    ("letters", "^[A-Za-z]+$", LOWER.upper() + LOWER),
     ("base64", "", LOWER.upper() + LOWER + DIGITS + "+/"),
 ]
 #: Percent of letters in ordinary text, a to z; upper case a tenth of it, a digit or sign half a percent.
@@ -81,8 +83,8 @@ def tested(runs: DataFrame) -> DataFrame:
             out = F.when(F.col("encoding") == name, value) if out is None else out.when(F.col("encoding") == name, value)
         return out
 
-    def squares(alphabet: str):
-        return sum((_count_of(F.col("body"), c) * _count_of(F.col("body"), c) for c in alphabet), F.lit(0)).cast("double")
+    # characters outside the run's own alphabet count 0, so one sum over all of them serves every encoding
+    squares = sum((F.pow(_count_of(F.col("body"), c).cast("double"), F.lit(2.0)) for c in ENCODINGS[-1][2]), F.lit(0.0))
 
     def half(alphabet: str):
         k = len(alphabet)
@@ -92,7 +94,7 @@ def tested(runs: DataFrame) -> DataFrame:
         return F.transform(F.split("body", ""), lambda c: F.instr(F.lit(alphabet), c).cast("double") - 1)
 
     k = by_encoding(lambda a: F.lit(float(len(a))))
-    runs = (runs.withColumn("k", k).withColumn("squares", by_encoding(squares)).withColumn("half", by_encoding(half))
+    runs = (runs.withColumn("k", k).withColumn("squares", squares).withColumn("half", by_encoding(half))
             .withColumn("v", by_encoding(places)))
     n, df = F.col("n"), F.col("k") - 1
     chi = F.col("squares") * F.col("k") / n - n
@@ -112,19 +114,24 @@ def tested(runs: DataFrame) -> DataFrame:
     for c, percent in zip(LOWER, LETTERS):
         ordinary |= {c: percent / 100 * 0.85, c.upper(): percent / 100 * 0.1}
 
-    def evidence(alphabet: str):
-        return sum((_count_of(F.col("body"), c) * (-math.log(len(alphabet)) - math.log(ordinary[c])) for c in alphabet), F.lit(0.0))
+    every = ENCODINGS[-1][2]
+    weights = F.array(*(F.lit(-math.log(ordinary[c])) for c in every))
+    evidence = F.aggregate(F.split("body", ""), F.lit(0.0), lambda a, c: a + F.get(weights, F.instr(F.lit(every), c) - 1)) - n * F.log("k")
 
     runs = (runs.withColumn("p_uniform", _two_sided(z_uniform))
             .withColumn("p_runs", F.when(both > n, _two_sided(z_runs)).otherwise(0.0))
             .withColumn("p_serial", F.coalesce(_two_sided(z_serial), F.lit(0.0)))
-            .withColumn("evidence", by_encoding(evidence)))
+            .withColumn("evidence", evidence))
     return (runs.withColumn("p_random", F.least(F.lit(1.0), 3 * F.least("p_uniform", "p_runs", "p_serial")))
             .drop("body", "k", "squares", "half", "v", "mean", "serial"))
 
 
 def discovered(runs: DataFrame, false_rate: float = FALSE_RATE, reject: float = REJECT) -> DataFrame:
-    """The rows of ``tested()`` that pass the battery and their band's false-discovery control."""
+    """The rows of ``tested()`` that pass the battery and their band's false-discovery control.
+
+    The tests run once: their figures are written, and both the bins and the choice read them back.
+    """
+    runs = materialize(runs, "llm", "tested")
     runs = runs.withColumn("band", F.least(F.floor(F.log2("n")), F.lit(20)))
     runs = runs.withColumn("bin", F.least(F.greatest(F.floor("evidence"), F.lit(-1)), F.lit(BINS)))
     most = Window.partitionBy("band").orderBy(F.col("bin").desc())

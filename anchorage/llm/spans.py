@@ -15,6 +15,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_SP = r"\\x20\\x09-\\x0D"
+#: The last and the first word of a gap; each word is tried once.
+_LAST = f"(?<![^{_SP}])([^{_SP}]++)[{_SP}]*+\\\\z"
+_NEXT = f"^[{_SP}]*+([^{_SP}]++)"
+#: A gap's nearest characters, looked at before the whole gap.
+_NEAR = 64
+
+
+def _neighbour(gap: str, side: str, pattern: str) -> str:
+    """SQL: the word of ``gap`` at its ``side``.  Most end within the nearest characters; else the whole gap is searched."""
+    near = f"{side}({gap}, {_NEAR})"
+    whole = f"[{_SP}][^{_SP}]+[{_SP}]*\\\\z" if side == "right" else f"^[{_SP}]*[^{_SP}]+[{_SP}]"
+    return (f"regexp_extract(CASE WHEN length({gap}) <= {_NEAR} OR {near} rlike '{whole}' THEN {near} ELSE {gap} END, "
+            f"'{pattern}', 1)")
 
 
 @dataclass(frozen=True)
@@ -32,7 +46,7 @@ def find_spans(docs: DataFrame, kinds: list[Kind], text_col: str = "text", conte
     """``docs`` without the text, plus an array ``spans_<name>`` for each kind, in order of place.
 
     Elements have start, kind (place in ``kinds``), end and value; with ``context`` also
-    before and after, the neighbouring words (their nearest 64 characters, '' at an edge or another match).
+    before and after, the whole neighbouring words however far off ('' at an edge or another match).
     A null text has no spans.
     """
     kept = [c for c in docs.columns if c != text_col]
@@ -50,9 +64,9 @@ def find_spans(docs: DataFrame, kinds: list[Kind], text_col: str = "text", conte
     spans = []
     for place, k in enumerate(kinds):
         if context:
-            around = rf""",
-                'before', regexp_extract(right(__g_{k.name}[i], 64), '([^\\x20\\x09-\\x0D]+)[\\x20\\x09-\\x0D]*$', 1),
-                'after', regexp_extract(left(__g_{k.name}[i + 1], 64), '^[\\x20\\x09-\\x0D]*([^\\x20\\x09-\\x0D]+)', 1)"""
+            around = f""",
+                'before', {_neighbour(f"__g_{k.name}[i]", "right", _LAST)},
+                'after', {_neighbour(f"__g_{k.name}[i + 1]", "left", _NEXT)}"""
         made = f"""transform(__h_{k.name}, (v, i) -> named_struct('start', __s_{k.name}[i + 1], 'kind', {place},
                    'end', __s_{k.name}[i + 1] + length(v), 'value', v{around}))"""
         spans.append(f"filter({made}, s -> {k.valid.replace('{v}', 's.value')}) AS spans_{k.name}" if k.valid

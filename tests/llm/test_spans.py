@@ -1,7 +1,10 @@
-"""Operators 5 and 9 against Python's regular expressions."""
+"""Operators 5 and 9 against Python's regular expressions and plain versions of their scores."""
 
 import hashlib
+import math
+import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -110,3 +113,119 @@ def test_random_runs_are_found_and_words_are_not(spark):
     found = {r.doc_id: r.more for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(len(found[k]) == 1 for k in range(60)) >= 58
     assert not any(found[k] for k in found if k >= 100)
+
+
+def test_neighbours_are_whole_words_however_far(spark):
+    long = "w" * 5000
+    texts = [f"a {long} {' ' * 300}user1@mail.example.com{' ' * 200}\n{long}z b", "user1@mail.example.com", " " * 100 + "x1" + " " * 100,
+             "q" * 64 + " user1@mail.example.com " + "r" * 63, "x 1.1.1.1 2.2.2.2 y"]
+    rows = pii.base_and_candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[(s.before, s.after) for s in r.base] for r in rows] == [
+        [(long, long + "z")], [("", "")], [], [("q" * 64, "r" * 63)], [("x", ""), ("", "y")]]
+
+
+def test_identifiers_without_digits_are_found(spark):
+    rows = [(k, f"some words, contact: user{k}@mail.example.com today") for k in range(40)]
+    rows += [(100, "reach me, contact: jane.roe today"), (101, "contact: @jroe today"), (102, "contact: us today"), (103, "see jane.smith there")]
+    found = {r.doc_id: [s.value for s in r.more] for r in pii.personal_data(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v for k, v in found.items() if v} == {100: ["jane.roe"], 101: ["jroe"]}
+
+
+def brute_scores(contexts, rounds=pii.ROUNDS, doubt=pii.DOUBT, confident=pii.CONFIDENT):
+    """Larger of a context's own score and its instance's, by a plain walk over the graph."""
+    instances = defaultdict(set)
+    for instance, patterns, seed in contexts:
+        for p in patterns:
+            instances[p].add((instance, seed))
+    mine = {(i, ps) for i, ps, seed in contexts if not seed and ps}
+    sizes = Counter(i for i, _ in mine)
+    score, own = {}, {}
+    for _ in range(rounds):
+        right = {p: min(sum(1.0 if seed else score.get(i, 0.0) for i, seed in found) / (len(found) + doubt), 0.999999)
+                 for p, found in instances.items()}
+        own = {(i, ps): 1 - math.prod(1 - right[p] for p in ps if right[p] >= confident) for i, ps in mine}
+        total = defaultdict(float)
+        for (i, _), value in own.items():
+            total[i] += value
+        score = {i: total[i] / sizes[i] for i in sizes}
+    return {(i, ps): max(own[i, ps], score[i]) for i, ps in mine}
+
+
+def test_scores_equal_brute_force(spark):
+    rng = random.Random(5)
+    contexts = set()
+    for k in range(300):
+        contexts.add((f"s{k}", tuple(dict.fromkeys([f"<p{rng.randrange(3)}", f">n{rng.randrange(6)}"])), True))
+    for _ in range(80):
+        contexts.add((f"c{rng.randrange(30)}", (f"<p{rng.randrange(5)}", f">n{rng.randrange(12)}")[rng.randrange(2):], False))
+    want = brute_scores(contexts)
+    got = {(r.instance, tuple(r.patterns)): r.score for r in pii.score_candidates(spark.createDataFrame(
+        sorted(contexts), "instance string, patterns array<string>, seed boolean")).collect()}
+    assert any(0 < v < 0.8 for v in want.values()) and any(v >= 0.8 for v in want.values())
+    for key, value in want.items():
+        assert got.get(key, 0.0) == pytest.approx(value, abs=1e-9)
+
+
+def brute_battery(value):
+    """(encoding, p_random, evidence) of one run, character by character."""
+    body = re.sub("=+$", "", value).translate(str.maketrans("-_", "+/"))
+    name, _, alphabet = next(e for e in secrets.ENCODINGS if re.search(e[1], body))
+    n, k = len(body), len(alphabet)
+    tail = lambda z: min(1.0, 2 / (1 + math.exp(min(700, 1.5976 * abs(z) + 0.070566 * abs(z) ** 3))))
+    chi = sum(c * c for c in Counter(body).values()) * k / n - n
+    spread = 2 / (9 * (k - 1))
+    p = [tail(((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))]
+    places = [alphabet.index(c) for c in body]
+    upper = [v >= k // 2 for v in places]
+    both = 2 * sum(upper) * (n - sum(upper))
+    runs = 1 + sum(a != b for a, b in zip(upper, upper[1:]))
+    p.append(tail((runs - 1 - both / n) / math.sqrt(both * (both - n) / (n * n * (n - 1)))) if both > n else 0.0)
+    mean = sum(places) / n
+    square = sum((v - mean) ** 2 for v in places)
+    p.append(tail((sum((a - mean) * (b - mean) for a, b in zip(places, places[1:])) / square + 1 / n) * math.sqrt(n)) if square else 0.0)
+    usual = dict.fromkeys(secrets.DIGITS + "+/", 0.005)
+    for c, percent in zip(secrets.LOWER, secrets.LETTERS):
+        usual |= {c: percent / 100 * 0.85, c.upper(): percent / 100 * 0.1}
+    return name, min(1.0, 3 * min(p)), sum(-math.log(k) - math.log(usual[c]) for c in body)
+
+
+def brute_discovered(values):
+    """Which values pass, by the definition of the procedure."""
+    judged = [(v, min(int(math.log2(len(re.sub("=+$", "", v)))), 20), *brute_battery(v)[1:]) for v in values]
+    found = []
+    for band in {b for _, b, *_ in judged}:
+        mine = [(v, p, min(max(math.floor(e), -1), secrets.BINS)) for v, b, p, e in judged if b == band]
+        cuts = [c for c in {c for *_, c in mine}
+                if c >= 0 and math.exp(c) * sum(o >= c for *_, o in mine) * secrets.FALSE_RATE >= len(mine)]
+        found += [v for v, p, c in mine if cuts and c >= min(cuts) and p >= secrets.REJECT]
+    return sorted(found)
+
+
+def _runs(rng):
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    values = [draw(a, n) for _, _, a in secrets.ENCODINGS for n in (20, 31, 32, 64, 300)]
+    values += [draw(secrets.LOWER, 24) + "==", "a" * 40, "ab" * 30, "abcdefghijklmnopqrstuvwxyz", "-" * 40, "_" * 25 + "x",
+               "internationalisierungsbehoerde", "some/long/path/of/ordinary/words", "x" * 70_000 + "1", draw(secrets.LOWER, 70_000), "snake_case_name_of_some_thing"]
+    return values + ["".join(rng.choices(secrets.LOWER, secrets.LETTERS, k=rng.randrange(20, 40))) for _ in range(200)]
+
+
+def test_battery_equals_brute_force(spark):
+    values = _runs(random.Random(3))
+    runs = secrets.tested(spark.createDataFrame([(v,) for v in values], "value string"))
+    for r in runs.collect():
+        name, p, evidence = brute_battery(r.value)
+        assert r.encoding == name
+        assert r.p_random == pytest.approx(p, rel=1e-6, abs=1e-12)
+        assert r.evidence == pytest.approx(evidence, rel=1e-9, abs=1e-9)
+    got = sorted(r.value for r in secrets.discovered(runs).collect())
+    assert got == brute_discovered(values)
+
+
+def test_tokens_of_letters_are_found(spark):
+    rng = random.Random(11)
+    rows = [(k, "key " + "".join(rng.choice(secrets.LOWER) for _ in range(40)) + " end") for k in range(50)]
+    rows += [(100 + k, "the " + "".join(rng.choices(secrets.LOWER, secrets.LETTERS, k=30)) + " end") for k in range(300)]
+    found = {r.doc_id: r.more for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(len(found[k]) == 1 for k in range(50)) >= 45
+    assert sum(len(found[k]) > 0 for k in found if k >= 100) <= 3
