@@ -272,6 +272,8 @@ QUALIFY row_number() OVER (PARTITION BY display_url ORDER BY page_id, pos) = 1""
             QUALIFY row_number() OVER (PARTITION BY page_id, display_url ORDER BY pos) = 1""",
         "wrapped_dedup_corpus": f"""WITH {_W} SELECT display_url, page_id, pos, text FROM we
             QUALIFY row_number() OVER (PARTITION BY display_url ORDER BY page_id, pos) = 1""",
+        "dedup_corpus_runs": f"""WITH {_W} SELECT display_url, page_id, pos, text FROM we
+            QUALIFY row_number() OVER (PARTITION BY display_url ORDER BY page_id, pos) = 1""",
         "sort_original": _wvisible(),
         "filter_all": _wvisible("contains(lower(display_url), 'example') AND NOT contains(lower(display_url), 'local') "
                                 "AND (contains(lower(text), 'item') OR contains(lower(text), 'again')) "

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from anchorage.functions.text import clean_text
 from anchorage.operators.entries import explode_entries, link_entries, page_bases, resolved_links
+from anchorage.operators.first_seen import add_first_seen, first_seen
 from anchorage.operators.order import dedup_corpus
 from anchorage.operators.report import csv_document_sql, export_name_sql, settings_summary_sql
 from anchorage.operators import store as S
@@ -180,6 +181,15 @@ def q_wrapped_dedup_corpus(spark, sf_dir):
         "page_id", "pos", "display_url", "text"))
 
 
+def q_dedup_corpus_runs(spark, sf_dir):
+    """D2 across runs: odd pages first, then the even ones; the index of both is that of one run over all."""
+    entries = materialize(explode_entries(wrapped_entries(spark, sf_dir)).select("page_id", "pos", "display_url", "text"), "first_seen_in")
+    index = shared_dir(spark, "first_seen")
+    for run, half in enumerate(("page_id % 2 = 1", "NOT coalesce(page_id % 2 = 1, false)")):
+        add_first_seen(entries.where(half), index, run)
+    return first_seen(spark, index)
+
+
 def q_csv_rows(spark, sf_dir):
     vis = visible_pages(spark, wrapped_entries(spark, sf_dir), Settings(decode_urls=True))
     return vis.select("page_id", F.posexplode(F.expr(
@@ -408,6 +418,7 @@ QUERIES.update({
     "wrapped_entries": q_wrapped_entries,
     "dedup_page": q_dedup_page,
     "wrapped_dedup_corpus": q_wrapped_dedup_corpus,
+    "dedup_corpus_runs": q_dedup_corpus_runs,
     "csv_rows": q_csv_rows,
     "profile_apply": q_profile_apply,
     "sort_original": _wrapped_visible(Settings(sort_mode="original")),
