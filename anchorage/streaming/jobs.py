@@ -55,17 +55,22 @@ def compact(spark: SparkSession, root: str, into: str) -> None:
     write_version(newest_records(spark, root), into, -1)
 
 
-def _file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """File stream over ``folder`` restricted to files named ``name``."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+def _file_stream(spark: SparkSession, table: str, **options) -> DataFrame:
+    """File stream over ``table`` as batch reads take it: a Parquet file, a folder of such files, or a glob of either."""
+    schema = spark.read.parquet(table).schema
+    parent, _, name = table.rstrip("/").rpartition("/")
+    # braces make a glob of the name: other stream paths must be folders
+    return spark.readStream.schema(schema).options(**options).parquet(f"{parent}/{{{name}}}")
 
 
 def stream_extract(spark: SparkSession, folder: str, name: str = "pages.parquet",
                    out_root: str | None = None) -> DataFrame:
-    """New page files -> exploded entries, ``trigger(availableNow=True)``."""
+    """New page files -> exploded entries, ``trigger(availableNow=True)``.
+
+    ``name`` in ``folder`` is a page file or a folder of page files.
+    """
     out_root = out_root or shared_dir(spark, "stream_extract")
-    pages = _file_stream(spark, folder, name)
+    pages = _file_stream(spark, f"{folder}/{name}")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         ents = explode_entries(link_entries(scan_html(batch))).drop("page_url", "title")
@@ -99,16 +104,15 @@ def stream_refresh(spark: SparkSession, sf_dir: str, out_root: str | None = None
     out_root = out_root or shared_dir(spark, "stream_refresh")
     pages = read_pages(spark, f"{sf_dir}/pages.parquet")
     n_pages = pages.count()  # one scalar: requests name page event_id % n
-    folder, name = (requests_dir, "*.parquet") if requests_dir else (sf_dir, "events.parquet")
-    schema = spark.read.parquet(folder if requests_dir else f"{folder}/{name}").schema
+    options = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {}
+    if requests_dir:
+        options["pathGlobFilter"] = "*.parquet"
+    events = _file_stream(spark, requests_dir or f"{sf_dir}/events.parquet", **options)
     saved = S.save_results(link_entries(scan_html(pages))).withColumn(
-        "refreshed_at", F.lit(None).cast(schema["ts"].dataType)).withColumn("n_requests", F.lit(0).cast("bigint"))
+        "refreshed_at", F.lit(None).cast(events.schema["ts"].dataType)).withColumn("n_requests", F.lit(0).cast("bigint"))
     write_version(saved, f"{out_root}/store", -1)
 
-    events = spark.readStream.schema(schema).option("pathGlobFilter", name)
-    if files_per_batch:
-        events = events.option("maxFilesPerTrigger", files_per_batch)
-    requests = events.parquet(folder).select((F.col("event_id") % F.lit(n_pages)).alias("page_id"), "ts")
+    requests = events.select((F.col("event_id") % F.lit(n_pages)).alias("page_id"), "ts")
     q = (requests.writeStream.foreachBatch(lambda batch, batch_id: refresh_batch(spark, batch, batch_id, pages, f"{out_root}/store"))
          .option("checkpointLocation", f"{out_root}/_checkpoint")
          .trigger(availableNow=True).start())

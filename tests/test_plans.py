@@ -41,3 +41,19 @@ def test_stream_equals_batch(spark):
     batch = explode_entries(page_entries(spark, SF)).drop("page_url", "title")
     cols = sorted(batch.columns)
     assert sorted(streamed.select(*cols).collect()) == sorted(batch.select(*cols).collect())
+
+
+def test_streams_take_tables_that_are_folders_of_files(spark, tmp_path):
+    from anchorage.streaming.jobs import stream_refresh
+
+    sf, n = tmp_path.as_uri(), {}
+    for table in ("pages", "events"):
+        rows = spark.read.parquet(f"{SF}/{table}.parquet")
+        rows.repartition(3).write.parquet(f"{sf}/{table}.parquet")
+        n[table] = rows.count()
+    streamed = stream_extract(spark, sf, "pages.parquet")
+    cols = sorted(streamed.columns)
+    batch = explode_entries(page_entries(spark, SF)).select(*cols)
+    assert sorted(streamed.select(*cols).collect()) == sorted(batch.collect())
+    refreshed = stream_refresh(spark, sf, files_per_batch=2)
+    assert refreshed.selectExpr("count(*)", "sum(n_requests)").first() == (n["pages"], n["events"])
