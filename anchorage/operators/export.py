@@ -1,10 +1,9 @@
 """Sinks K1 (TXT) and K2 (CSV) for visible links.
 
 The reference downloads one file per page.  At corpus scale one folder per
-page is a small-files problem, so the default writes one dataset sorted by
-``(page_id, rank)`` within each task and laid out by export file name;
-with ``per_page=True`` the rows are written under
-``page_id=<id>`` folders (for small selections).  Input is the
+page is a small-files problem, so the default writes one file per task whose
+rows name page, rank and export file; with ``per_page=True`` the rows are
+written under ``page_id=<id>`` folders (for small selections).  Input is the
 per-page frame of ``plans.visible.visible_pages``: no join, no shuffle.
 """
 
@@ -38,20 +37,30 @@ def _url(s: Settings, col: str = "display_url") -> F.Column:
 def write_txt(pages: DataFrame, s: Settings, path: str, per_page: bool = False) -> None:
     """K1: text files of one formatted URL per line, in display order.
 
-    Folders are named by the export file name, with ``per_page=True`` by page and name; a page's lines are
-    together in one file of its name's folder.
+    A line is ``page_id <tab> rank <tab> export name <tab> URL``; in the URL a backslash is ``\\0`` and a line feed ``\\n``.  A page's lines are
+    together in the one file of its task, so the number of files goes by tasks, not by pages or names.  With ``per_page=True``
+    lines are plain URLs, in folders named by page and export name.
     """
     df = _rows(pages, s, "txt").select("page_id", "rank", "export_name", _url(s).alias("url"))
-    keys = ["page_id", "export_name"] if per_page else ["export_name"]
-    (df.repartition("page_id").sortWithinPartitions(*dict.fromkeys([*keys, "page_id", "rank"]))
-     .select(*keys, "url").write.mode("overwrite").partitionBy(*keys).text(path))
+    if per_page:
+        keys = ["page_id", "export_name"]
+        (df.repartition("page_id").sortWithinPartitions(*keys, "rank")
+         .select(*keys, "url").write.mode("overwrite").partitionBy(*keys).text(path))
+        return
+    url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\\"), F.lit("\\0")), F.lit("\n"), F.lit("\\n"))
+    line = F.concat_ws("\t", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("rank").cast("string"), "export_name", url)
+    df.select(line.alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
-def read_txt(spark, path: str) -> DataFrame:
-    """Files of ``write_txt(..., per_page=True)``: page_id, rank, export_name, url; the folders give page and name."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select("page_id", "export_name", F.posexplode(F.split(F.regexp_replace("value", "\\n$", ""), "\n")).alias("i", "url")) \
-        .select(F.col("page_id").cast("bigint").alias("page_id"), (F.col("i") + 1).cast("bigint").alias("rank"), "export_name", "url")
+def read_txt(spark, path: str, per_page: bool = False) -> DataFrame:
+    """Files of ``write_txt``: page_id, rank, export_name, url; with ``per_page=True`` the folders give page and name."""
+    if per_page:
+        files = spark.read.text(path, wholetext=True)
+        return files.select("page_id", "export_name", F.posexplode(F.split(F.regexp_replace("value", "\\n$", ""), "\n")).alias("i", "url")) \
+            .select(F.col("page_id").cast("bigint").alias("page_id"), (F.col("i") + 1).cast("bigint").alias("rank"), "export_name", "url")
+    v = spark.read.text(path, lineSep="\n").select(F.split("value", "\t", 4).alias("v")).select(*(F.col("v")[k].alias(f"v{k}") for k in range(4)))
+    return v.select(F.nullif("v0", F.lit("")).cast("bigint").alias("page_id"), F.col("v1").cast("bigint").alias("rank"), F.col("v2").alias("export_name"),
+                    F.replace(F.replace("v3", F.lit("\\n"), F.lit("\n")), F.lit("\\0"), F.lit("\\")).alias("url"))
 
 
 def csv_frame(pages: DataFrame, s: Settings) -> DataFrame:

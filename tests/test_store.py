@@ -234,3 +234,20 @@ def test_saved_pages_in_their_own_encoding(spark, tmp_path, data, want):
     (tmp_path / "page.html").write_bytes(data)
     row = explode_entries(link_entries(scan_html(read_html_files(spark, str(tmp_path))))).first()
     assert row.text == want and row.title in ("Té", "Te") and row.display_url in ("file:///%C3%A9", "file:///e")
+
+
+def test_text_export_has_no_file_per_page_and_keeps_every_line(spark, tmp_path):
+    from anchorage.operators.export import read_txt, write_txt
+
+    odd = ["https://a.example/x\\n\\0", "https://a.example/two\nlines\r", "https://a.example/tab\there", "", "https://a.example/é\u2028"]
+    rows = [(k if k else None, f"Title {k}", [{"display_url": u, "text": "t", "surfaced": False, "source_url": None} for u in odd[k % 3:]])
+            for k in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, title string, visible array<struct<display_url:string,text:string,surfaced:boolean,source_url:string>>")
+    path = str(tmp_path / "txt")
+    write_txt(pages.repartition(3), Settings(), path)
+    assert len(list((tmp_path / "txt").rglob("*.txt"))) <= 3  # 300 pages, 300 export names
+    got = {(r.page_id, r.rank): (r.export_name, r.url) for r in read_txt(spark, path).collect()}
+    assert got == {(p, i + 1): (f"title-{p or 0}-links.txt", e["display_url"]) for p, _, v in rows for i, e in enumerate(v)}
+    path = str(tmp_path / "folders")
+    write_txt(pages.where("page_id % 3 = 2 and page_id < 20"), Settings(), path, per_page=True)
+    assert read_txt(spark, path, per_page=True).where("page_id = 5").count() == len(odd[2:])
