@@ -41,6 +41,8 @@ CURVE_ROWS = 5
 THRESHOLD = 0.7
 _BEGIN, _END = "\x02", "\x03"
 _FLUSH = 400_000
+#: Words that a task counts before it passes them on.
+_FLUSH_WORDS = 800_000
 _BINS = 1000  # of evidence, a unit
 #: Number of broadcast bounds; a power of two.
 BUCKETS = 1 << 23
@@ -64,7 +66,7 @@ def count_words(rows: DataFrame) -> DataFrame:
         counts, others = [Counter() for _ in names], set()
 
         def flush() -> pa.RecordBatch:
-            words = sorted(others.union(*counts))  # in order they are smaller when shuffled
+            words = others.union(*counts)
             out = pa.RecordBatch.from_arrays(
                 [pa.array([w.decode() for w in words], pa.string()),
                  *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], names=["word", *names])
@@ -76,7 +78,7 @@ def count_words(rows: DataFrame) -> DataFrame:
             for text, toxic, held in zip(*batch.columns):
                 seen = others if toxic.as_py() is None else counts[1 - toxic.as_py() + 2 * held.as_py()]
                 seen.update((text.as_py() or "").lower().encode().split())
-                if sum(map(len, counts)) + len(others) > _FLUSH:
+                if sum(map(len, counts)) + len(others) > _FLUSH_WORDS:
                     yield flush()
         yield flush()
 
@@ -292,10 +294,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     curve = (_folded("doc_id") / 3).cast("long") % CURVE_ROWS == 0
     # labels grow with the documents: a merge join at every size, never a broadcast
     known = F.coalesce(learn, F.lit(False))
-    # each different word is cut into n-grams once, not once in every task
+    # each different word is cut into n-grams once, not once in every task; tasks are as many as the documents', however many the
+    # join has, since each lists its own words
     words = count_words(
         docs.where(known).join(labels.hint("merge"), "doc_id", "left").select("text", "toxic", curve.alias("held"))
-        .unionByName(docs.where(~known).select("text", F.lit(None).cast("int").alias("toxic"), F.lit(False).alias("held"))))
+        .unionByName(docs.where(~known).select("text", F.lit(None).cast("int").alias("toxic"), F.lit(False).alias("held")))
+        .coalesce(max(1, docs.rdd.getNumPartitions())))
     words = words.groupBy("word").agg(*(F.sum(c).alias(c) for c in words.columns[1:]))
     grams = materialize(count_grams(words), "llm", "grams")
     model = log_ratios(grams.selectExpr("gram", "t + t_held AS t", "o + o_held AS o"))

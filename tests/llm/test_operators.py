@@ -502,3 +502,19 @@ def test_preference_pairs_equal_brute_force(spark):
     mixing.mix_sources, mixing.mixed, spotsigs.edited_fingerprints, spotsigs.fingerprints])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+
+
+def test_words_are_listed_by_no_more_tasks_than_the_documents_have(spark, monkeypatch):
+    tasks, count_words = [], toxicity.count_words
+
+    def seen(rows):
+        tasks.append(rows.rdd.getNumPartitions())
+        return count_words(rows)
+
+    monkeypatch.setattr(toxicity, "count_words", seen)
+    docs = spark.createDataFrame([(k, f"calm word{k % 7}") for k in range(60)], "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "evidence", lambda *a: (_ for _ in ()).throw(InterruptedError))  # the words are all that is looked at
+    with pytest.raises(InterruptedError):
+        toxicity.toxicity_scores(docs, labels)
+    assert tasks and max(tasks) <= 2
