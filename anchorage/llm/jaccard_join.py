@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from anchorage.llm.graph import components
 from anchorage.llm.words import Words, mix, seeded, sliced
-from anchorage.session import materialize
+from anchorage.session import materialize, small_batches
 
 SHINGLE = 4
 PERCENT = 85
@@ -338,6 +338,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     no component.  Other columns are not read.  Sets are compared by 64-bit hashes.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with small_batches(docs.sparkSession):
+        return _components_of(docs, k, percent)
+
+
+def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     known = docs.where("doc_id is not null")
     rows = materialize(measured(docs, k), "llm", "sets")
     full = rows.where("doc_id is not null and set is not null")

@@ -518,3 +518,17 @@ def test_words_are_listed_by_no_more_tasks_than_the_documents_have(spark, monkey
     with pytest.raises(InterruptedError):
         toxicity.toxicity_scores(docs, labels)
     assert tasks and max(tasks) <= 2
+
+
+def test_components_hand_python_small_batches(spark, monkeypatch):
+    key, seen, linked = "spark.sql.execution.arrow.maxRecordsPerBatch", [], jaccard_join._linked
+
+    def watched(*a):
+        seen.append(int(spark.conf.get(key)))
+        return linked(*a)
+
+    monkeypatch.setattr(jaccard_join, "_linked", watched)
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(k, f"a b c d e {k // 2}") for k in range(6)], "doc_id long, text string")
+    assert jaccard_join.jaccard_components(docs).count() == 6
+    assert seen and max(seen) <= 1000 and spark.conf.get(key) == before
