@@ -63,13 +63,23 @@ def materialize(df: DataFrame, *parts: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def hand_small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session's actions hand Python at most ``rows`` rows at once: Arrow buffers of whole texts stay small on both sides.
+
+    For jobs whose frames are written later, by their caller.
+    """
+    spark.conf.set(_BATCH_ROWS, str(rows))
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Within it, actions hand Python at most ``rows`` rows at once: Arrow buffers of whole texts stay small on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """``hand_small_batches`` for the actions within it."""
+    before = spark.conf.get(_BATCH_ROWS)
+    hand_small_batches(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_BATCH_ROWS, before)

@@ -15,11 +15,15 @@ from anchorage.llm.mixing import mixed
 from anchorage.llm.packing import pack_documents
 from anchorage.llm.pii import masked
 from anchorage.llm.repetition import keep_good
-from anchorage.session import materialize
+from anchorage.session import hand_small_batches, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules reject go."""
+    """Documents that the repetition rules reject go.
+
+    From here on the session hands Python small batches, since what a worker once took for large ones stays with it in later stages.
+    """
+    hand_small_batches(spark)
     return keep_good(docs)
 
 

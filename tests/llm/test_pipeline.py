@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,20 @@ def test_every_copy_is_packed(stages):
     assert used.where("n <> end OR n > 2048").count() == 0
 
 
+def test_stages_hand_python_small_batches(spark, monkeypatch):
+    def sizes(docs):
+        return docs.mapInArrow(lambda source: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in source), "n long")
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(corpus_pipeline, "keep_good", sizes)
+    try:
+        got = [r.n for r in corpus_pipeline.quality_rules(spark, spark.range(0, 5000, 1, 1), "").collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert sum(got) == 5000 and max(got) <= 1000
+
+
 def test_stages_take_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
