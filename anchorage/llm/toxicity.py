@@ -22,13 +22,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from anchorage.llm.words import mix, slices
 from anchorage.session import materialize
 
 ORDER = 5
@@ -40,7 +41,8 @@ NEUTRAL = 3.0
 CURVE_ROWS = 5
 THRESHOLD = 0.7
 _BEGIN, _END = "\x02", "\x03"
-_FLUSH = 400_000
+#: Characters of words that a task cuts into n-grams at once.
+_FLUSH = 1_000_000
 #: Words that a task counts before it passes them on.
 _FLUSH_WORDS = 800_000
 _BINS = 1000  # of evidence, a unit
@@ -85,73 +87,106 @@ def count_words(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(batches, "word string, " + ", ".join(f"{c} long" for c in names))
 
 
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, start, n): the code points of the padded words one after the other, where in them each of the words'
+    ``ORDER``-character n-grams starts, and how many each word has."""
+    codes = np.frombuffer("".join(_BEGIN * (ORDER - 1) + w + _END for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+    n = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    return codes, np.arange(n.sum()) + (ORDER - 1) * np.repeat(np.arange(len(words)), n), n
+
+
+def _spelled(codes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two whole numbers that spell an n-gram, of three and of two code points."""
+    c = [codes[start + k] << np.uint64(21 * (2 - k if k < 3 else 4 - k)) for k in range(ORDER)]
+    return c[0] | c[1] | c[2], c[3] | c[4]
+
+
 def count_grams(words: DataFrame) -> DataFrame:
     """(gram, ...): counts of the ``ORDER``-character n-grams of the words, padded at their begin, for each column
     of ``words(word, ...)``."""
-    names = words.columns[1:]
+    names, most = words.columns[1:], _FLUSH
+
+    def counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        codes, start, n = _grams(table.column(0).to_pylist())
+        first, last = _spelled(codes, start)
+        order = np.lexsort((last, first))
+        first, last = first[order], last[order]
+        new = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (last[1:] != last[:-1])))
+        word = np.repeat(np.arange(len(n)), n)[order]
+        text = codes[start[order[new]][:, None] + np.arange(ORDER)].astype("<u4").tobytes().decode("utf-32-le")
+        return pa.RecordBatch.from_arrays(
+            [pa.array([text[i:i + ORDER] for i in range(0, len(text), ORDER)], pa.string()),
+             *(pa.array(np.add.reduceat(table.column(c).to_numpy()[word], new), pa.int64()) for c in names)], names=["gram", *names])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, list[int]] = {}
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string()),
-                 *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(len(names)))], names=["gram", *names])
-            counts.clear()
-            return out
-
+        held, size = [], 0
         for batch in source:
-            for word, *own in zip(*(c.to_pylist() for c in batch.columns)):
-                padded = _BEGIN * (ORDER - 1) + word + _END
-                for i in range(len(word) + 1):
-                    at = counts.setdefault(padded[i:i + ORDER], [0] * len(names))
-                    for k, n in enumerate(own):
-                        at[k] += n
-                if len(counts) > _FLUSH:
-                    yield flush()
-        yield flush()
+            bounds = np.append(0, np.cumsum(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False) + 1))
+            for lo, hi in slices(bounds, most):
+                held.append(batch.slice(lo, hi - lo))
+                size += bounds[hi] - bounds[lo]
+                if size > most:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
     return (words.mapInArrow(batches, "gram string, " + ", ".join(f"{c} long" for c in names))
             .groupBy("gram").agg(*(F.sum(c).alias(c) for c in names)))
 
 
-def shared_backoff(grams: DataFrame) -> DataFrame:
+def shared_backoff(grams: DataFrame, seen: dict[str, Column] | None = None) -> DataFrame:
     """(gram, p): interpolated Kneser-Ney probability of every n-gram of order ORDER - 1, from pooled
-    continuation counts: in how many different n-grams one longer it is the end."""
-    counts, below = [], grams.select("gram")
+    continuation counts: in how many different n-grams one longer it is the end.
+
+    With ``seen``, a probability for each of its names, of the ``grams`` for which its column holds alone; null of
+    n-grams that end none of these.
+    """
+    seen = seen or {"p": F.lit(True)}
+    counts, below = [], grams.select("gram", *(c.cast("long").alias(name) for name, c in seen.items()))
     for k in range(ORDER - 1, 0, -1):
-        below = below.groupBy(F.col("gram").substr(2, k).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+        below = below.groupBy(F.col("gram").substr(2, k).alias("gram")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in seen))
         counts.append(below)
-    total = counts[-1].agg(F.sum("c")).first()[0]  # one number
-    p = counts[-1].select("gram", (F.col("c") / F.lit(total)).alias("p"))
+    total = counts[-1].agg(*(F.sum(c).alias(c) for c in seen)).first()  # one row
+    p = counts[-1].select("gram", *(F.when(F.col(c) > 0, F.col(c) / F.lit(total[c] or 1)).alias(c) for c in seen))
+    context = Window.partitionBy("h")  # as many rows as there are different characters, at most
     for k, level in zip(range(2, ORDER), reversed(counts[:-1])):
-        level = level.withColumn("h", F.col("gram").substr(1, k - 1))
-        contexts = level.groupBy("h").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds"))
-        p = (level.withColumn("end", F.col("gram").substr(2, k - 1)).join(contexts, "h")
-             .join(p.select(F.col("gram").alias("end"), F.col("p").alias("lower")), "end")
-             .select("gram", ((F.col("c") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("lower")) / F.col("all")).alias("p")))
+        level = (level.withColumn("h", F.col("gram").substr(1, k - 1)).withColumn("end", F.col("gram").substr(2, k - 1))
+                 .select("gram", "end", *seen, *(F.sum(c).over(context).alias(f"all_{c}") for c in seen),
+                         *(F.sum((F.col(c) > 0).cast("long")).over(context).alias(f"kinds_{c}") for c in seen)))
+        p = (level.join(p.select(F.col("gram").alias("end"), *(F.col(c).alias(f"lower_{c}") for c in seen)), "end")
+             .select("gram", *(F.when(F.col(c) > 0, (F.col(c) - DISCOUNT + DISCOUNT * F.col(f"kinds_{c}") * F.col(f"lower_{c}"))
+                                      / F.col(f"all_{c}")).alias(c) for c in seen)))
     return p
 
 
-def log_ratios(grams: DataFrame) -> DataFrame:
+def log_ratios(grams: DataFrame, counts: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """(gram, llr): log of the toxic over the ordinary probability of every n-gram in ``grams(gram, t, o)``.
 
     An n-gram without counts has in each class the context's backoff weight times the shared lower
     probability, which cancels out; after a context without counts it says nothing.
+    With ``counts``, a ratio for each of its names, by that model's two counts (SQL); a context without counts in all
+    of them is left out, in one of them it is 0 there.
     """
-    grams = grams.withColumn("h", F.col("gram").substr(1, ORDER - 1))
-    counted = grams.where("t + o > 0")
-    contexts = counted.groupBy("h").agg(
-        *(F.sum(c).alias(f"all_{c}") for c in "to"), *(F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in "to"))
-    lower = shared_backoff(counted).select(F.col("gram").alias("end"), F.col("p").alias("lower"))
-
-    def p(c: str):
-        own = (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"kinds_{c}") * F.col("lower")) / F.col(f"all_{c}")
-        return F.when(F.col(f"all_{c}") > 0, own).otherwise(F.col("lower"))
-
-    return (grams.withColumn("end", F.col("gram").substr(2, ORDER - 1)).join(contexts, "h").join(lower, "end", "left")
-            .withColumn("lower", F.when(F.col("t") + F.col("o") > 0, F.col("lower")).otherwise(1.0))
-            .select("gram", (F.ln(p("t")) - F.ln(p("o"))).alias("llr")))
+    counts = counts or {"llr": ("t", "o")}
+    own = {f"{c}_{name}": F.expr(sql) for name, pair in counts.items() for c, sql in zip("to", pair)}
+    grams = grams.select("gram", F.col("gram").substr(1, ORDER - 1).alias("h"), F.col("gram").substr(2, ORDER - 1).alias("end"),
+                         *(c.alias(at) for at, c in own.items()))
+    seen = {name: F.col(f"t_{name}") + F.col(f"o_{name}") > 0 for name in counts}
+    lower = shared_backoff(grams, seen).select(F.col("gram").alias("end"), *(F.col(c).alias(f"lower_{c}") for c in counts))
+    context = Window.partitionBy("h")  # as many rows as there are different characters, at most
+    grams = grams.select("gram", "end", *own, *(F.sum(c).over(context).alias(f"all_{c}") for c in own),
+                         *(F.sum((F.col(c) > 0).cast("long")).over(context).alias(f"kinds_{c}") for c in own))
+    grams = grams.where(" OR ".join(f"all_{c} > 0" for c in own))
+
+    def p(c: str, name: str):
+        c, less = f"{c}_{name}", F.when(seen[name], F.col(f"lower_{name}")).otherwise(1.0)
+        in_class = (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"kinds_{c}") * less) / F.col(f"all_{c}")
+        return F.when(F.col(f"all_{c}") > 0, in_class).otherwise(less)
+
+    return grams.join(lower, "end", "left").select("gram", *(
+        F.when(F.col(f"all_t_{c}") + F.col(f"all_o_{c}") > 0, F.ln(p("t", c)) - F.ln(p("o", c))).otherwise(0.0).alias(c) for c in counts))
 
 
 def _key(word: bytes) -> int:
@@ -185,13 +220,25 @@ def word_ratios(words: DataFrame, model: DataFrame) -> DataFrame:
             .where(" OR ".join(f"{c} <> 0" for c in names)))
 
 
+def _bucket(codes: np.ndarray, start: np.ndarray, last: int) -> np.ndarray:
+    first, rest = _spelled(codes, start)
+    return (mix(first ^ mix(rest)) & np.uint64(last)).astype(np.int64)
+
+
 def bounds(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Least and largest log ratio, in parts, of the n-grams of each bucket, over all columns of ``model(gram, ...)``."""
-    names = [F.col(c) for c in model.columns[1:]]
-    table = (model.groupBy(F.crc32(F.col("gram").cast("binary")).bitwiseAND(BUCKETS - 1).cast("int").alias("at"))
-             .agg(F.min(F.least(*names, F.lit(0.0))).alias("low"), F.max(F.greatest(*names, F.lit(0.0))).alias("high"))
-             .select("at", F.floor(F.col("low") * _PARTS).cast("short").alias("low"),
-                     F.ceil(F.col("high") * _PARTS).cast("short").alias("high")).toArrow())  # BUCKETS rows at most
+    names, last = [F.col(c) for c in model.columns[1:]], BUCKETS - 1
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            codes = np.frombuffer("".join(batch.column(0).to_pylist()).encode("utf-32-le"), "<u4").astype(np.uint64)
+            at = _bucket(codes, ORDER * np.arange(batch.num_rows), last)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *batch.columns[1:]], names=["at", "low", "high"])
+
+    table = (model.select("gram", F.floor(F.least(*names, F.lit(0.0)) * _PARTS).cast("short").alias("low"),
+                          F.ceil(F.greatest(*names, F.lit(0.0)) * _PARTS).cast("short").alias("high"))
+             .mapInArrow(batches, "at long, low short, high short")
+             .groupBy("at").agg(F.min("low").alias("low"), F.max("high").alias("high")).toArrow())  # BUCKETS rows at most
     out = np.zeros(BUCKETS, np.int16), np.zeros(BUCKETS, np.int16)
     for side, name in zip(out, ("low", "high")):
         side[table.column("at").to_numpy()] = table.column(name).to_numpy()
@@ -199,24 +246,29 @@ def bounds(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Keys(dict):
-    """Word to (hash, word), or None of a word that the bounds prove to be neutral; filled on demand."""
+    """Word to (hash, word), or None of a word that the bounds prove to be neutral; of the words learned."""
 
     def __init__(self, low: np.ndarray, high: np.ndarray):
         super().__init__()
-        self.low, self.high = memoryview(low), memoryview(high)
-
-    def __missing__(self, word: bytes) -> tuple[int, str] | None:
-        text, last = word.decode(), len(self.low) - 1
-        padded = _BEGIN * (ORDER - 1) + text + _END
-        at = [crc32(padded[i:i + ORDER].encode()) & last for i in range(len(text) + 1)]
+        self.low, self.high = low, high
+
+    def learn(self, words: set[bytes]) -> None:
+        """Of ``words`` all are known then, of others those that there is room for."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > 1_000_000:
+            self.clear()
+            new = list(words)
+        if not new:
+            return
+        texts = [w.decode() for w in new]
+        codes, start, n = _grams(texts)
+        at, first = _bucket(codes, start, len(self.low) - 1), np.append(0, np.cumsum(n)[:-1])
         within = (NEUTRAL - 0.01) * _PARTS  # a word's steps are rounded, too
-        neutral = sum(map(self.high.__getitem__, at)) < within and sum(map(self.low.__getitem__, at)) > -within
-        key = None if neutral else (_key(word), text)
-        if len(word) <= 64:
-            if len(self) >= 1_000_000:
-                self.clear()
-            self[word] = key
-        return key
+        neutral = ((np.add.reduceat(self.high[at].astype(np.int64), first) < within)
+                   & (np.add.reduceat(self.low[at].astype(np.int64), first) > -within))
+        self.update(dict.fromkeys(new))
+        for k in np.flatnonzero(~neutral).tolist():
+            self[new[k]] = _key(new[k]), texts[k]
 
 
 def evidence(docs: DataFrame, model: DataFrame) -> DataFrame:
@@ -226,18 +278,20 @@ def evidence(docs: DataFrame, model: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bounds(model))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = _Keys(*shared.value).__getitem__
+        keys = _Keys(*shared.value)
         for batch in source:
-            n_words, hits = [], []
-            for text in batch.column(1):
-                words = (text.as_py() or "").lower().encode().split()
-                n_words.append(len(words))
-                found = Counter(map(key, words))
-                found.pop(None, None)
-                hits.append([{"key": k, "word": w, "n": n} for (k, w), n in found.items()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.struct(
-                    [("key", pa.int64()), ("word", pa.string()), ("n", pa.int64())])))], names=["doc_id", "n_words", "hits"])
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in slices(np.append(0, np.cumsum(size))):
+                texts = [(t or "").lower().encode().split() for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
+                keys.learn(set().union(*texts))
+                hits = []
+                for words in texts:
+                    found = Counter(map(keys.__getitem__, words))
+                    found.pop(None, None)
+                    hits.append([{"key": k, "word": w, "n": n} for (k, w), n in found.items()])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(map(len, texts), pa.int64()), pa.array(hits, pa.list_(pa.struct(
+                        [("key", pa.int64()), ("word", pa.string()), ("n", pa.int64())])))], names=["doc_id", "n_words", "hits"])
 
     rows = materialize(docs.mapInArrow(batches, "doc_id long, n_words long, hits array<struct<key:bigint,word:string,n:bigint>>")
                        .withColumn("row", F.monotonically_increasing_id()), "llm", "hits")
@@ -302,10 +356,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         .coalesce(max(1, docs.rdd.getNumPartitions())))
     words = words.groupBy("word").agg(*(F.sum(c).alias(c) for c in words.columns[1:]))
     grams = materialize(count_grams(words), "llm", "grams")
-    model = log_ratios(grams.selectExpr("gram", "t + t_held AS t", "o + o_held AS o"))
-    rest = log_ratios(grams.select("gram", "t", "o")).withColumnRenamed("llr", "rest")
-    model = materialize(model.join(rest.hint("merge"), "gram", "left")
-                        .select("gram", "llr", F.coalesce("rest", F.lit(0.0)).alias("rest")), "llm", "model")
+    # both models by the same joins
+    model = materialize(log_ratios(grams, {"llr": ("t + t_held", "o + o_held"), "rest": ("t", "o")}), "llm", "model")
     scored = materialize(evidence(docs, model), "llm", "evidence")
     binned = (scored.where(learn & curve).join(labels, "doc_id")
               .groupBy(F.round(F.least(F.greatest("rest", F.lit(-5.0)), F.lit(5.0)) * _BINS).cast("long").alias("bin"))

@@ -532,3 +532,37 @@ def test_components_hand_python_small_batches(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"a b c d e {k // 2}") for k in range(6)], "doc_id long, text string")
     assert jaccard_join.jaccard_components(docs).count() == 6
     assert seen and max(seen) <= 1000 and spark.conf.get(key) == before
+
+
+def test_grams_are_counted_over_several_flushes(spark, monkeypatch):
+    rnd = random.Random(5)
+    own = [("".join(rnd.choice("ab\x02é\u4e2d😀") for _ in range(rnd.randint(0, 12))), rnd.randint(0, 3), rnd.randint(0, 9)) for _ in range(400)]
+    own.append(("x😀" * 9000, 2, 1))
+    want = {}
+    for word, *n in own:
+        padded = "\x02" * 4 + word + "\x03"
+        for i in range(len(word) + 1):
+            want[padded[i:i + 5]] = tuple(a + b for a, b in zip(want.get(padded[i:i + 5], (0, 0)), n))
+    words = spark.createDataFrame(own, "word string, t long, o long")
+    for flush in (toxicity._FLUSH, 50):
+        monkeypatch.setattr(toxicity, "_FLUSH", flush)
+        assert {r.gram: (r.t, r.o) for r in toxicity.count_grams(words).collect()} == want
+
+
+def test_both_models_share_their_joins(spark):
+    rnd = random.Random(6)
+    words = spark.createDataFrame([("".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 7))), *(rnd.choice([0, 0, 1, 9]) for _ in range(4)))
+                                   for _ in range(300)], "word string, t long, o long, t_held long, o_held long")
+    grams = toxicity.count_grams(words).cache()
+
+    def ratios(rows, name="llr"):
+        return {r.gram: r[name] for r in rows.collect()}
+
+    both = toxicity.log_ratios(grams, {"llr": ("t + t_held", "o + o_held"), "rest": ("t", "o")})
+    alone = toxicity.log_ratios(grams.selectExpr("gram", "t + t_held AS t", "o + o_held AS o"))
+    assert ratios(both) == pytest.approx(ratios(alone))
+    rest = ratios(toxicity.log_ratios(grams.select("gram", "t", "o")))
+    assert ratios(both, "rest") == pytest.approx({g: rest.get(g, 0.0) for g in ratios(both)})
+    exchanges = [rows._jdf.queryExecution().sparkPlan().toString().count("Join") +
+                 rows._jdf.queryExecution().executedPlan().toString().count("Exchange") for rows in (both, alone)]
+    assert exchanges[0] == exchanges[1]
