@@ -6,15 +6,15 @@ Their highest order has its own counts for each class; all lower orders are
 one Kneser-Ney model of continuation counts pooled over both classes, so an
 expression that is rare in both is smoothed to the same probability and says
 nothing.  An n-gram that is in neither, after a context that is, has the log ratio of
-the context's two backoff weights.  A document's evidence is the difference of its two log-likelihoods
-divided by its number of words; a logistic curve fitted on held-back training
-rows turns it into a score.
+the context's two backoff weights.  A document has two lengths of evidence, each the difference of its two
+log-likelihoods divided by its number of words: of all its words, and of its telling words alone (``NEUTRAL``).  A
+logistic curve of both, fitted on held-back training rows, turns them into a score.
 
 Counts cover all training rows.  The curve is fitted on a fifth of them, with the evidence of a second model
 whose counts leave that fifth out.  Spark makes the counts (words, then n-grams, then the orders as joins).  The model is a table of any size, of every n-gram in the
 documents: it is joined to the n-grams of the distinct words, so every word's log ratio is computed once and
-joined back to the documents.  Only bounds of the log ratios are broadcast, by ``BUCKETS`` hashes of n-grams: a
-word whose sum of bounds proves it neutral needs no join.  However many n-grams share a bucket, no other word is left out.
+joined back to the documents.  The ratios of the ``BUCKETS`` commonest n-grams are broadcast, to spare work: a word that has
+no other n-gram needs no join.  All other words are joined.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ from anchorage.session import materialize
 
 ORDER = 5
 DISCOUNT = 0.75
-#: A word whose two probabilities differ by less than this factor (as a log) is neutral:
-#: such differences come from the mix of languages and topics in a small training set.
+#: A word whose two probabilities differ by less than this factor (as a log) counts in the evidence of all words only, not in
+#: that of telling words: such differences come from the mix of languages and topics in a small training set.
 NEUTRAL = 3.0
 #: One in so many training rows is held back, from the counts of the model that the curve is fitted with.
 CURVE_ROWS = 5
@@ -45,11 +46,11 @@ _BEGIN, _END = "\x02", "\x03"
 _FLUSH = 1_000_000
 #: Words that a task counts before it passes them on.
 _FLUSH_WORDS = 800_000
-_BINS = 1000  # of evidence, a unit
-#: Number of broadcast bounds; a power of two.
-BUCKETS = 1 << 23
-#: Bounds are whole multiples of one over this, rounded outwards.
-_PARTS = 128
+_BINS = 40  # of each evidence, a unit
+#: Most n-grams whose ratios are broadcast.
+BUCKETS = 1 << 22
+#: Different words whose sums a task remembers.
+_KNOWN = 600_000
 #: Log ratios are summed as whole numbers of such steps, so that no sum depends on its order.
 _STEPS = 1e8
 
@@ -161,31 +162,30 @@ def shared_backoff(grams: DataFrame, seen: dict[str, Column] | None = None) -> D
     return p
 
 
-def log_ratios(grams: DataFrame, counts: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+def log_ratios(grams: DataFrame, counts: dict[str, tuple[str, str]] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(gram, llr): log of the toxic over the ordinary probability of every n-gram in ``grams(gram, t, o)``.
 
     An n-gram without counts has in each class the context's backoff weight times the shared lower
     probability, which cancels out; after a context without counts it says nothing.
-    With ``counts``, a ratio for each of its names, by that model's two counts (SQL); a context without counts in all
-    of them is left out, in one of them it is 0 there.
+    With ``counts``, a ratio for each of its names, by that model's two counts (SQL); a context without counts in
+    one of them gives 0 there.  Columns in ``keep`` stay.
     """
     counts = counts or {"llr": ("t", "o")}
     own = {f"{c}_{name}": F.expr(sql) for name, pair in counts.items() for c, sql in zip("to", pair)}
-    grams = grams.select("gram", F.col("gram").substr(1, ORDER - 1).alias("h"), F.col("gram").substr(2, ORDER - 1).alias("end"),
+    grams = grams.select("gram", F.col("gram").substr(1, ORDER - 1).alias("h"), F.col("gram").substr(2, ORDER - 1).alias("end"), *keep,
                          *(c.alias(at) for at, c in own.items()))
     seen = {name: F.col(f"t_{name}") + F.col(f"o_{name}") > 0 for name in counts}
     lower = shared_backoff(grams, seen).select(F.col("gram").alias("end"), *(F.col(c).alias(f"lower_{c}") for c in counts))
     context = Window.partitionBy("h")  # as many rows as there are different characters, at most
-    grams = grams.select("gram", "end", *own, *(F.sum(c).over(context).alias(f"all_{c}") for c in own),
+    grams = grams.select("gram", "end", *keep, *own, *(F.sum(c).over(context).alias(f"all_{c}") for c in own),
                          *(F.sum((F.col(c) > 0).cast("long")).over(context).alias(f"kinds_{c}") for c in own))
-    grams = grams.where(" OR ".join(f"all_{c} > 0" for c in own))
 
     def p(c: str, name: str):
         c, less = f"{c}_{name}", F.when(seen[name], F.col(f"lower_{name}")).otherwise(1.0)
         in_class = (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"kinds_{c}") * less) / F.col(f"all_{c}")
         return F.when(F.col(f"all_{c}") > 0, in_class).otherwise(less)
 
-    return grams.join(lower, "end", "left").select("gram", *(
+    return grams.join(lower, "end", "left").select("gram", *keep, *(
         F.when(F.col(f"all_t_{c}") + F.col(f"all_o_{c}") > 0, F.ln(p("t", c)) - F.ln(p("o", c))).otherwise(0.0).alias(c) for c in counts))
 
 
@@ -193,9 +193,9 @@ def _key(word: bytes) -> int:
     return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
 
 
-def word_ratios(words: DataFrame, model: DataFrame) -> DataFrame:
+def word_ratios(words: DataFrame, model: DataFrame, neutral: float = NEUTRAL) -> DataFrame:
     """(key, ...): log ratios, in steps, of each of the ``words(word)`` by the word's 64-bit hash, for each column of
-    ``model(gram, ...)``; 0 where neutral, and without words that are neutral by all."""
+    ``model(gram, ...)``; 0 where below ``neutral``, and without words that are so by all."""
     names = model.columns[1:]
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,104 +216,130 @@ def word_ratios(words: DataFrame, model: DataFrame) -> DataFrame:
     steps = model.select("gram", *(F.round(F.col(c) * _STEPS).cast("long").alias(c) for c in names))
     sums = (words.select("word").mapInArrow(batches, "gram string, key long, n long").join(steps.hint("merge"), "gram")
             .groupBy("key").agg(*(F.sum(F.col("n") * F.col(c)).alias(c) for c in names)))
-    return (sums.select("key", *(F.when(F.abs(c) >= NEUTRAL * _STEPS, F.col(c)).otherwise(0).alias(c) for c in names))
+    return (sums.select("key", *(F.when(F.abs(c) >= neutral * _STEPS, F.col(c)).otherwise(0).alias(c) for c in names))
             .where(" OR ".join(f"{c} <> 0" for c in names)))
 
 
-def _bucket(codes: np.ndarray, start: np.ndarray, last: int) -> np.ndarray:
+def _hashes(codes: np.ndarray, start: np.ndarray) -> np.ndarray:
     first, rest = _spelled(codes, start)
-    return (mix(first ^ mix(rest)) & np.uint64(last)).astype(np.int64)
-
-
-def bounds(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Least and largest log ratio, in parts, of the n-grams of each bucket, over all columns of ``model(gram, ...)``."""
-    names, last = [F.col(c) for c in model.columns[1:]], BUCKETS - 1
+    return mix(first ^ mix(rest)).view(np.int64)
+
+
+def commonest(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes, and ratios in steps, of the n-grams of ``model(gram, words, ...)`` that are in the most words: ``BUCKETS``
+    at most, and all whose number of words has as many bits, or none of these."""
+    names = [c for c in model.columns if c not in ("gram", "words")]
+    steps = model.select("gram", F.length(F.bin("words")).alias("bits"), *(F.round(F.col(c) * _STEPS).cast("long").alias(c) for c in names))
+    steps = steps.where(" AND ".join(f"abs({c}) < {(1 << 31) - 1}" for c in names))
+    least, n = 65, 0
+    for r in sorted(steps.groupBy("bits").count().collect(), reverse=True):  # 64 rows at most
+        n += r["count"]
+        if n > BUCKETS:
+            break
+        least = r.bits
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             codes = np.frombuffer("".join(batch.column(0).to_pylist()).encode("utf-32-le"), "<u4").astype(np.uint64)
-            at = _bucket(codes, ORDER * np.arange(batch.num_rows), last)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *batch.columns[1:]], names=["at", "low", "high"])
+            own = _hashes(codes, ORDER * np.arange(batch.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), *batch.columns[1:]], names=["hash", *names])
 
-    table = (model.select("gram", F.floor(F.least(*names, F.lit(0.0)) * _PARTS).cast("short").alias("low"),
-                          F.ceil(F.greatest(*names, F.lit(0.0)) * _PARTS).cast("short").alias("high"))
-             .mapInArrow(batches, "at long, low short, high short")
-             .groupBy("at").agg(F.min("low").alias("low"), F.max("high").alias("high")).toArrow())  # BUCKETS rows at most
-    out = np.zeros(BUCKETS, np.int16), np.zeros(BUCKETS, np.int16)
-    for side, name in zip(out, ("low", "high")):
-        side[table.column("at").to_numpy()] = table.column(name).to_numpy()
-    return out
+    table = (steps.where(F.col("bits") >= least).select("gram", *(F.col(c).cast("int") for c in names))
+             .mapInArrow(batches, "hash long, " + ", ".join(f"{c} int" for c in names)).toArrow())  # BUCKETS rows at most
+    hashes = table.column("hash").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], np.stack([table.column(c).to_numpy()[order] for c in names])
 
 
-class _Keys(dict):
-    """Word to (hash, word), or None of a word that the bounds prove to be neutral; of the words learned."""
+class _Sums:
+    """Ratios, in steps, of the words learned: ``sums``, a row for each model, at the ``place`` of a word; where ``joined``, not
+    all of its n-grams are known."""
 
-    def __init__(self, low: np.ndarray, high: np.ndarray):
-        super().__init__()
-        self.low, self.high = low, high
+    def __init__(self, hashes: np.ndarray, ratios: np.ndarray):
+        self.hashes, self.ratios = hashes, ratios
+        self.clear(_KNOWN)
+
+    def clear(self, size: int) -> None:
+        self.place: dict[bytes, int] = {}
+        self.sums, self.joined = np.zeros((len(self.ratios), size), np.int64), np.zeros(size, bool)
 
     def learn(self, words: set[bytes]) -> None:
-        """Of ``words`` all are known then, of others those that there is room for."""
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > 1_000_000:
-            self.clear()
+        """All of ``words`` are known then, of others those that there is room for."""
+        new = [w for w in words if w not in self.place]
+        if len(self.place) + len(new) > len(self.joined):
+            self.clear(max(_KNOWN, len(words)))
             new = list(words)
         if not new:
             return
-        texts = [w.decode() for w in new]
-        codes, start, n = _grams(texts)
-        at, first = _bucket(codes, start, len(self.low) - 1), np.append(0, np.cumsum(n)[:-1])
-        within = (NEUTRAL - 0.01) * _PARTS  # a word's steps are rounded, too
-        neutral = ((np.add.reduceat(self.high[at].astype(np.int64), first) < within)
-                   & (np.add.reduceat(self.low[at].astype(np.int64), first) > -within))
-        self.update(dict.fromkeys(new))
-        for k in np.flatnonzero(~neutral).tolist():
-            self[new[k]] = _key(new[k]), texts[k]
+        codes, start, n = _grams([w.decode() for w in new])
+        grams, which = np.unique(_hashes(codes, start), return_inverse=True)
+        at = np.searchsorted(self.hashes, grams)
+        known = np.zeros(len(grams), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == grams[inside]
+        ratios = np.zeros((len(self.ratios), len(grams)), np.int64)
+        ratios[:, known] = self.ratios[:, at[known]]
+        first, lo, hi = np.append(0, np.cumsum(n)[:-1]), len(self.place), len(self.place) + len(new)
+        self.joined[lo:hi] = ~np.logical_and.reduceat(known[which], first)
+        self.sums[:, lo:hi] = np.add.reduceat(ratios[:, which], first, axis=1)
+        self.sums[:, lo:hi][:, self.joined[lo:hi]] = 0
+        self.place.update(zip(new, range(lo, hi)))
 
 
 def evidence(docs: DataFrame, model: DataFrame) -> DataFrame:
     """(doc_id, n_words, ...): length-normalised difference of the log-likelihoods of every whole text, for each column
-    of ``model(gram, ...)``, which holds every n-gram of ``docs``."""
-    names = model.columns[1:]
-    shared = docs.sparkSession.sparkContext.broadcast(bounds(model))
+    of ``model(gram, ...)``, which holds every n-gram of ``docs``: of the telling words by the column's name, and of all by
+    its name with ``_all``.  ``words`` is no such column, but says in how many words an n-gram is."""
+    if "words" not in model.columns:
+        model = model.withColumn("words", F.lit(1).cast("long"))
+    names = [c for c in model.columns if c not in ("gram", "words")]
+    columns = [*names, *(f"{c}_all" for c in names)]
+    shared = docs.sparkSession.sparkContext.broadcast(commonest(model))
+    hit = pa.list_(pa.struct([("key", pa.int64()), ("word", pa.string()), ("n", pa.int64())]))
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = _Keys(*shared.value)
+        known = _Sums(*shared.value)
         for batch in source:
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             for lo, hi in slices(np.append(0, np.cumsum(size))):
                 texts = [(t or "").lower().encode().split() for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
-                keys.learn(set().union(*texts))
-                hits = []
-                for words in texts:
-                    found = Counter(map(keys.__getitem__, words))
-                    found.pop(None, None)
-                    hits.append([{"key": k, "word": w, "n": n} for (k, w), n in found.items()])
+                known.learn(set().union(*texts))
+                n_words = np.fromiter(map(len, texts), np.int64, len(texts))
+                words = list(chain.from_iterable(texts))
+                at, ends = np.fromiter(map(known.place.__getitem__, words), np.int64, len(words)), np.append(0, np.cumsum(n_words))
+                hits: list[Counter] = [Counter() for _ in texts]
+                for k in np.flatnonzero(known.joined[at]).tolist():
+                    hits[np.searchsorted(ends, k, "right") - 1][words[k]] += 1
+                own = known.sums[:, at]
+                sums = [np.append(0, np.cumsum(x)) for x in (*np.where(np.abs(own) >= NEUTRAL * _STEPS, own, 0), *own)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(map(len, texts), pa.int64()), pa.array(hits, pa.list_(pa.struct(
-                        [("key", pa.int64()), ("word", pa.string()), ("n", pa.int64())])))], names=["doc_id", "n_words", "hits"])
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n_words), *(pa.array(x[ends[1:]] - x[ends[:-1]]) for x in sums),
+                     pa.array([[{"key": _key(w), "word": w.decode(), "n": n} for w, n in h.items()] for h in hits], hit)],
+                    names=["doc_id", "n_words", *columns, "hits"])
 
-    rows = materialize(docs.mapInArrow(batches, "doc_id long, n_words long, hits array<struct<key:bigint,word:string,n:bigint>>")
-                       .withColumn("row", F.monotonically_increasing_id()), "llm", "hits")
+    fields = ", ".join(["doc_id long, n_words long", *(f"{c} long" for c in columns), "hits array<struct<key:bigint,word:string,n:bigint>>"])
+    rows = materialize(docs.mapInArrow(batches, fields).withColumn("row", F.monotonically_increasing_id()), "llm", "hits")
     words = rows.select(F.explode("hits.word").alias("word")).distinct()
-    ratios = materialize(word_ratios(words, model), "llm", "ratios")
+    ratios = materialize(word_ratios(words, model.select("gram", *names), 0.0), "llm", "ratios")
     hits = rows.select("row", F.explode(F.expr("transform(hits, h -> struct(h.key, h.n))")).alias("h")).select("row", "h.*")
+    telling = (F.when(F.abs(c) >= NEUTRAL * _STEPS, F.col(c)).otherwise(0) for c in names)
     sums = (hits.join(ratios.hint("merge"), "key")
-            .groupBy("row").agg(*(F.sum(F.col("n") * F.col(c)).alias(c) for c in names)))
-    return (rows.select("row", "doc_id", "n_words").join(sums.hint("merge"), "row", "left")
+            .groupBy("row").agg(*(F.sum(F.col("n") * x).alias(f"joined_{c}") for c, x in zip(columns, [*telling, *map(F.col, names)]))))
+    return (rows.drop("hits").join(sums.hint("merge"), "row", "left")
             .select("doc_id", "n_words", *(
-                F.when(F.col(c).isNull(), 0.0).otherwise(F.col(c) / _STEPS / F.col("n_words")).alias(c) for c in names)))
+                F.when(F.col("n_words") == 0, 0.0)
+                .otherwise((F.col(c) + F.coalesce(f"joined_{c}", F.lit(0))) / _STEPS / F.col("n_words")).alias(c) for c in columns)))
 
 
-def fit_curve(binned: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """(slope, intercept) of a logistic curve over (evidence, ordinary rows, toxic rows).
+def fit_curve(binned: list[tuple[float, ...]]) -> tuple[float, ...]:
+    """(slope, ..., intercept) of a logistic curve over (evidence, ..., ordinary rows, toxic rows).
 
-    Newton steps, halved while they don't lessen the loss.  A weak pull to slope 20 and even
-    odds keeps separable or missing classes finite; the slope is never below 1.
+    Newton steps, halved while they don't lessen the loss.  A weak pull to slope 20, to 0 of further evidence and even
+    odds keeps separable or missing classes finite; the first slope is never below 1.
     """
-    pull, rest = np.array([1e-3, 1e-2]), np.array([20.0, 0.0])
-    x, ordinary, toxic = (np.array(v, float) for v in zip(*(binned or [(0.0, 0, 0)])))
-    design, at = np.stack([x, np.ones_like(x)], 1), rest
+    *x, ordinary, toxic = (np.array(v, float) for v in zip(*(binned or [(0.0, 0, 0)])))
+    pull, rest = np.array([1e-3, *[1e-1] * (len(x) - 1), 1e-2]), np.array([20.0, *[0.0] * len(x)])
+    design, at = np.stack([*x, np.ones_like(ordinary)], 1), rest
 
     def loss(at: np.ndarray) -> float:
         z = design @ at
@@ -328,11 +354,11 @@ def fit_curve(binned: list[tuple[float, int, int]]) -> tuple[float, float]:
         at = at - step
         if np.abs(step).max() <= 1e-9:
             break
-    return float(max(at[0], 1.0)), float(at[1])
+    return float(max(at[0], 1.0)), *map(float, at[1:])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted, llr, n_words), one row per row of ``docs``.
+    """(doc_id, held_out, score, predicted, llr, llr_all, n_words), one row per row of ``docs``.
 
     ``labels(doc_id, toxic)``: rows without id or label are not learned from; of repeated
     labels of an id the larger counts.  Rows whose crc32 of the id as text modulo 3 is 1 are
@@ -355,18 +381,21 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         .unionByName(docs.where(~known).select("text", F.lit(None).cast("int").alias("toxic"), F.lit(False).alias("held")))
         .coalesce(max(1, docs.rdd.getNumPartitions())))
     words = words.groupBy("word").agg(*(F.sum(c).alias(c) for c in words.columns[1:]))
-    grams = materialize(count_grams(words), "llm", "grams")
+    grams = materialize(count_grams(words.withColumn("words", F.lit(1).cast("long"))), "llm", "grams")
     # both models by the same joins
-    model = materialize(log_ratios(grams, {"llr": ("t + t_held", "o + o_held"), "rest": ("t", "o")}), "llm", "model")
+    model = materialize(log_ratios(grams, {"llr": ("t + t_held", "o + o_held"), "rest": ("t", "o")}, keep=("words",)), "llm", "model")
     scored = materialize(evidence(docs, model), "llm", "evidence")
-    binned = (scored.where(learn & curve).join(labels, "doc_id")
-              .groupBy(F.round(F.least(F.greatest("rest", F.lit(-5.0)), F.lit(5.0)) * _BINS).cast("long").alias("bin"))
-              .agg(F.count_if(F.col("toxic") == 0).alias("o"), F.count_if(F.col("toxic") == 1).alias("t")))  # 10001 rows at most
-    slope, intercept = fit_curve(sorted((r["bin"] / _BINS, r["o"], r["t"]) for r in binned.collect()))
-    score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("llr") + F.lit(intercept))))
+    # bins of both kinds of evidence, 401 each way at most; a bin stands at the mean of its rows
+    steps = [F.round(F.least(F.greatest(c, F.lit(-5.0)), F.lit(5.0)) * _STEPS).cast("long") for c in ("rest", "rest_all")]
+    binned = (scored.where(learn & curve).join(labels, "doc_id").select("toxic", *(x.alias(c) for x, c in zip(steps, "xy")))
+              .groupBy(*(F.floor(F.col(c) * _BINS / _STEPS).alias(f"bin_{c}") for c in "xy"))
+              .agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.count_if(F.col("toxic") == 0).alias("o"), F.count_if(F.col("toxic") == 1).alias("t")))
+    slope, slope_all, intercept = fit_curve(sorted((r.x / _STEPS / (r.o + r.t), r.y / _STEPS / (r.o + r.t), r.o, r.t) for r in binned.collect())
+                                            or [(0.0, 0.0, 0, 0)])
+    score = 1 / (1 + F.exp(-(F.lit(slope) * F.col("llr") + F.lit(slope_all) * F.col("llr_all") + F.lit(intercept))))
     return (scored.withColumn("held_out", F.coalesce(_folded("doc_id") % 3 == 1, F.lit(False)))
             .withColumn("score", score).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
-            .select("doc_id", "held_out", "score", "predicted", "llr", "n_words"))
+            .select("doc_id", "held_out", "score", "predicted", "llr", "llr_all", "n_words"))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

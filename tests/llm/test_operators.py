@@ -566,3 +566,37 @@ def test_both_models_share_their_joins(spark):
     exchanges = [rows._jdf.queryExecution().sparkPlan().toString().count("Join") +
                  rows._jdf.queryExecution().executedPlan().toString().count("Exchange") for rows in (both, alone)]
     assert exchanges[0] == exchanges[1]
+
+
+def test_every_word_weighs(spark, monkeypatch):
+    counted = {"zorkish": (60, 1), "zorkbar": (50, 0), "plainly": (9, 11), "plainest": (4, 5), "zebra": (7, 9)}
+    texts = ["plainly zebra plainest plainly", "zorkish Zebra zorky", "zorkzork x", "", None]
+    words = {w: counted.get(w, (0, 0)) for t in [*texts, *counted] for w in (t or "").lower().split()}
+    rows = spark.createDataFrame([(w, *c) for w, c in words.items()], "word string, t long, o long")
+    model = toxicity.log_ratios(toxicity.count_grams(rows))
+    seen, backoff = plain_ratios(counted)
+
+    def ratio(w):
+        padded = "\x02" * 4 + w + "\x03"
+        return sum(seen[g] if g in seen else backoff.get(g[:4], 0.0) for g in (padded[i:i + 5] for i in range(len(w) + 1)))
+
+    assert any(0 < abs(ratio(w)) < toxicity.NEUTRAL for w in counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for buckets in (1 << 16, 4):  # with 4 every word must be joined
+        monkeypatch.setattr(toxicity, "BUCKETS", buckets)
+        got = {r.doc_id: r for r in toxicity.evidence(docs, model).collect()}
+        for k, text in enumerate(texts):
+            own = [ratio(w) for w in (text or "").lower().split()]
+            assert got[k].llr_all == pytest.approx(sum(own) / max(len(own), 1), abs=1e-6)
+            assert got[k].llr == pytest.approx(sum(x for x in own if abs(x) >= toxicity.NEUTRAL) / max(len(own), 1), abs=1e-6)
+
+
+def test_curve_weighs_further_evidence():
+    rnd = random.Random(8)
+    rows = []
+    for _ in range(3000):
+        x, y = rnd.gauss(0, 1), rnd.gauss(0, 1)
+        toxic = rnd.random() < 1 / (1 + np.exp(-(3 * x - 2 * y - 1)))
+        rows.append((x, y, 1 - toxic, int(toxic)))
+    assert toxicity.fit_curve(rows) == pytest.approx((3, -2, -1), abs=0.4)
+    assert toxicity.fit_curve([(0.0, 0.0, 0, 0)]) == pytest.approx((20, 0, 0))
